@@ -1,15 +1,64 @@
-"""The corpus pipeline: stages that clean `documents`, each on all that the one before it kept."""
+"""The corpus pipeline: stages that clean and encode `documents`, each on all that the one before it kept.
+
+toxicity drops documents that the clause grammar scores at 0.5 or more; near_dedup keeps one document of each group of near
+duplicates, the one with the smallest doc_id; suffix_dedup cuts the bytes that a document with a smaller doc_id has in a run
+of 50 (bytes of a character that is cut through go with it); decontamination drops documents that hold a benchmark window;
+encoding gives the token ids of what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomgraph.llm.bpe import bpe_round_trip
+from loomgraph.llm.decontam import decontaminate
+from loomgraph.llm.minhash import near_duplicates
+from loomgraph.llm.queries import RANKS, fold, table
+from loomgraph.llm.suffix import suffix_dedup
+from loomgraph.llm.toxicity import fit_grammar, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_toxic(docs, fit_grammar(docs, table(spark, sf_dir, "labels").where(fold(5) != 0)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = suffix_dedup(docs, carry=rest)
+
+    @F.pandas_udf(T.StringType())
+    def readable(kept):
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    out = out.withColumn("text", readable("kept")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_array_dedup", suffix_array_dedup), ("decontamination", decontamination), ("encoding", encoding)]
 
-STAGES: list = []
+#: Learned scores, components and merges have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 U64 = np.uint64
 ASK = "shard int, block int, body binary"
 #: Columns of a block's rows; callers' own columns never reach them.
-DOC, TEXT, BLOCK = "doc_id", "text", "__block"
+DOC, TEXT, BLOCK, CARRY = "doc_id", "text", "__block", "__carry"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -57,13 +58,13 @@ def hashed_blocks(docs: DataFrame, total: int, block_bytes: int) -> tuple[DataFr
     return docs.select(key.alias(BLOCK), F.col(DOC).cast("long").alias(DOC), TEXT).repartition(min(n, 4 * partitions(docs.sparkSession)) if n > 1 else 1, BLOCK), n
 
 
-def ordered_blocks(docs: DataFrame, total: int, block_bytes: int, most: int = 100_000) -> tuple[DataFrame, int]:
-    """(block, doc_id, text): all ids of a block are smaller than those of the next one.
+def ordered_blocks(docs: DataFrame, total: int, block_bytes: int, carry: tuple[str, ...] = (), most: int = 100_000) -> tuple[DataFrame, int]:
+    """(block, doc_id, text, and what is to be carried along as one column): all ids of a block are smaller than those of the next one.
 
     At most `most` bounds between blocks come to the driver. Rows without an id get blocks of their own, below 0.
     """
     n = min(most, max(1, math.ceil(total / block_bytes)))
-    ids = docs.select(F.col(DOC).cast("long").alias(DOC), TEXT)
+    ids = docs.select(F.col(DOC).cast("long").alias(DOC), TEXT, *([F.struct(*carry).alias(CARRY)] if carry else []))
     bounds = np.unique(np.array(ids.select(DOC).agg(F.percentile_approx(DOC, [k / n for k in range(1, n)], 100 * min(n, 10_000)).alias("q")).first().q or [], np.int64)) if n > 1 else np.zeros(0, np.int64)
 
     @F.pandas_udf(T.IntegerType())
@@ -73,7 +74,7 @@ def ordered_blocks(docs: DataFrame, total: int, block_bytes: int, most: int = 10
         return __import__("pandas").Series(np.where(known, out, -1)).astype("int32")
 
     placed = ids.withColumn(BLOCK, F.when(F.col(DOC).isNull(), -1 - F.pmod(F.xxhash64(TEXT), F.lit(n)).cast("int")).otherwise(block(DOC)))
-    return placed.select(BLOCK, DOC, TEXT).repartition(min(n, 4 * partitions(docs.sparkSession)) if n > 1 else 1, BLOCK), n
+    return placed.select(BLOCK, DOC, TEXT, *([CARRY] if carry else [])).repartition(min(n, 4 * partitions(docs.sparkSession)) if n > 1 else 1, BLOCK), n
 
 
 def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -133,18 +134,24 @@ def serve(asked: DataFrame, n_shards: int, answer: Callable[[list[tuple[int, byt
     return asked.repartition(max(partitions(spark), n_shards // 2), "shard").groupBy("shard").applyInArrow(one, ASK)
 
 
+def in_order(docs: pa.Table) -> pa.Table:
+    """A block's rows in an order of their own: that in which a shuffle delivers them differs from read to read."""
+    docs = docs.combine_chunks()
+    return docs.take(pc.sort_indices(docs, [(DOC, "ascending"), (TEXT, "ascending")])) if docs.num_rows > 1 else docs
+
+
 def with_answers(blocks: DataFrame, answers: DataFrame, f: Callable[[int, pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
     """f(block, its documents, answers by shard) for each block that has documents."""
 
     def one(docs: pa.Table, got: pa.Table) -> pa.Table:
         b = docs.column(BLOCK)[0].as_py() if docs.num_rows else None
-        return f(b, docs, {s: x for s, _, x in rows_of(got)})
+        return f(b, in_order(docs), {s: x for s, _, x in rows_of(got)})
 
     return blocks.groupBy(BLOCK).cogroup(answers.withColumnRenamed("block", BLOCK).groupBy(BLOCK)).applyInArrow(lambda a, g: one(a, g.rename_columns(["block" if c == BLOCK else c for c in g.column_names])), schema)
 
 
 def by_block(blocks: DataFrame, f: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return blocks.groupBy(BLOCK).applyInArrow(lambda t: f(t.column(BLOCK)[0].as_py(), t), schema)
+    return blocks.groupBy(BLOCK).applyInArrow(lambda t: f(t.column(BLOCK)[0].as_py(), in_order(t)), schema)
 
 
 def first_seen(rows: list[tuple[int, bytes]], dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -236,10 +236,11 @@ def _ranks(table: pa.Table) -> np.ndarray:
     return np.unique(table.column(X.DOC).to_numpy(), return_inverse=True)[1].astype(np.int64)
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, mini: int = MINI, block_bytes: int = 1 << 21, shard_bytes: int = 1 << 22) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, mini: int = MINI, carry: tuple[str, ...] = (), block_bytes: int = 1 << 21, shard_bytes: int = 1 << 22) -> DataFrame:
     """Bytes that a window repeats from a document with a smaller doc_id, removed.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes), a row for each input row.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and the columns named in carry, a row for each input
+    row.
 
     Null and empty texts have no bytes. Rows with equal doc_id never remove from each other; rows without doc_id are
     returned whole and remove nothing. What is kept can begin or end within a character. Other columns are ignored.
@@ -247,7 +248,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, mini: int = MINI, block_
     if not mini < window <= 127:
         raise ValueError("window must be above mini and at most 127")
     _, total = X.volume(docs)
-    blocks, _ = X.ordered_blocks(docs, total, block_bytes)
+    blocks, _ = X.ordered_blocks(docs, total, block_bytes, carry)
     n_mini = max(1, math.ceil(total / 18 / (1 << 20)))
     n_text = max(1, math.ceil(total / shard_bytes))
 
@@ -293,8 +294,13 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, mini: int = MINI, block_
         spans = np.concatenate([[0], np.cumsum(begins)])
         a, z = texts.offs[:-1], texts.offs[1:]
         kept = [texts.buf[i:j][~gone[i:j]].tobytes() if total[j] > total[i] else texts.buf[i:j].tobytes() for i, j in zip(a.tolist(), z.tolist(), strict=True)]
-        return pa.table({"doc_id": table.column(X.DOC), "n_bytes": z - a, "n_removed": total[z] - total[a], "n_spans": spans[z] - spans[a], "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.binary())})
+        more = {X.CARRY: table.column(X.CARRY)} if carry else {}
+        return pa.table(more | {"doc_id": table.column(X.DOC), "n_bytes": z - a, "n_removed": total[z] - total[a], "n_spans": spans[z] - spans[a], "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.binary())})
 
     asked = X.by_block(blocks, ask_minimisers, X.ASK)
     asked = X.with_answers(blocks, X.serve(asked, n_mini, X.answer_elsewhere), ask_strings, X.ASK)
-    return X.with_answers(blocks, X.serve(asked, n_text, lambda rows: _serve_strings(rows, window)), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    if carry:
+        schema = f"{X.CARRY} {blocks.schema[X.CARRY].dataType.simpleString()}, {schema}"
+    out = X.with_answers(blocks, X.serve(asked, n_text, lambda rows: _serve_strings(rows, window)), cut, schema)
+    return out.select(*[c for c in out.columns if c != X.CARRY], *([f"{X.CARRY}.*"] if carry else []))

@@ -72,3 +72,46 @@ def op2(docs):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     return sorted((i, len(s), root(i), root(i) == i) for i, s in sets.items())
+
+
+def op6(docs):
+    out = []
+    for i, t in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        n = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        hit = set()
+        for k in range(len(w) - 2):
+            if n[tuple(w[k : k + 3])] > 1:
+                hit |= {k, k + 1, k + 2}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        out.append((i, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)))
+    return sorted(out)
+
+
+WORD9 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def op9(docs, items, window=10):
+    wins = defaultdict(set)
+    for i, t in items:
+        w = WORD9.findall(lower(t or ""))
+        if i is not None and w:
+            for k in range(max(1, len(w) - window + 1)):
+                wins[tuple(w[k : k + window])].add(str(i))
+    sizes = {len(w) for w in wins}
+    out = []
+    for i, t in docs:
+        w = WORD9.findall(lower(t or ""))
+        hit, ids = set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in wins:
+                    hit |= set(range(k, k + n))
+                    ids |= wins[tuple(w[k : k + n])]
+        out.append((i, len(w), len(hit), len(ids), sha(",".join(sorted(ids)).encode()), bool(hit)))
+    return sorted(out, key=str)
