@@ -45,45 +45,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     text are told apart by their text. Other columns of both tables are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
-    pairs = bench_windows(benchmark, window).cache()
-    try:
-        small = pairs.select(F.sum(F.size("win")).alias("n")).first().n or 0
-    finally:
-        pairs.unpersist()
-    bounded = small <= broadcast_rows
+    pairs = bench_windows(benchmark, window)
+    bounded = (pairs.select(F.sum(F.size("win")).alias("n")).first().n or 0) <= broadcast_rows
     hint = F.broadcast if bounded else (lambda df: df)
 
-    tokens = rows.select("doc_id", "th", words(F.col("text")).alias("w")).select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
-    of_windows = pairs.select("win").distinct()
-    vocabulary = of_windows.select(F.explode("win").alias("word")).distinct()
+    of_windows = pairs.groupBy("win").agg(F.collect_set("item_id").alias("items"))
+    vocabulary = pairs.select(F.explode("win").alias("word")).distinct()
     plain = rows.select(F.explode(words(F.col("text"))).alias("word"))
-    counts = (plain.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").count() if bounded else plain.groupBy("word").count())
+    counts = (plain.join(F.broadcast(vocabulary), "word", "left_semi") if bounded else plain).groupBy("word").count()
     rarity = vocabulary.join(counts, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("count"))
-    ranked = of_windows.select("win", F.posexplode("win").alias("off", "word")).join(rarity, "word")
-    prefix = ranked.groupBy("win").agg(F.min(F.struct("count", "word", "off")).alias("p")).select("win", F.size("win").alias("n"), "p.word", "p.off")
-
-    fits = (F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("n") <= F.size("w"))
-    same = F.slice("w", F.greatest(F.col("pos") - F.col("off") + 1, F.lit(1)), F.col("n")) == F.col("win")
-    if bounded:
-        found = tokens.join(F.broadcast(prefix), "word").where(fits).where(same)
-    else:
-        near = tokens.select("doc_id", "th", F.size("w").alias("len"), "pos", "word").join(prefix, "word")
-        near = near.where((F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("n") <= F.col("len"))).drop("len", "word").distinct()
-        texts = rows.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), words(F.col("text")).alias("w"))
-        found = near.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).where(same)
-    found = found.select("doc_id", "th", (F.col("pos") - F.col("off")).cast("long").alias("a"), F.col("n").cast("long").alias("n"), "win").distinct()
-
-    # an occurrence adds what lies beyond the furthest end before it
-    spans = found.groupBy("doc_id", "th", "a").agg(F.max(F.col("a") + F.col("n")).alias("z"))
-    hits = spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("s"))
-    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["z"] - F.greatest(x["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["z"]).alias("end"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-    hits = hits.select("doc_id", "th", F.aggregate("s", zero, step)["n"].alias("n_hit"))
-    items = found.select("doc_id", "th", "win").distinct().join(hint(pairs), "win").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    marks = hits.join(items.withColumnsRenamed({"doc_id": "d", "th": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "n_hit", "items")
-
-    # words of the text as it is: before lower-casing, A-Z are no separators either
+    ranked = pairs.select("win", F.posexplode("win").alias("off", "word")).join(rarity, "word")
+    rarest = ranked.groupBy("win").agg(F.min(F.struct("count", "word", "off")).alias("p")).select("win", F.size("win").alias("n"), "p.word", "p.off")
+    prefix = rarest.join(of_windows, "win")
+
+    # the words themselves stay behind: an exploded row carries one word, its position and the number of words
+    sized = rows.select("doc_id", "th", words(F.col("text")).alias("w")).select("doc_id", "th", F.size("w").alias("len"), "w")
+    tokens = sized.select("doc_id", "th", "len", F.posexplode("w").alias("pos", "word"))
+    fits = (F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("n") <= F.col("len"))
+    near = tokens.join(hint(prefix), "word").where(fits)
+    begin = F.struct((F.col("pos") - F.col("off")).alias("a"), "n", "win", "items")
+    near = near.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.array_sort(F.collect_set(begin)).alias("near"))
+
+    there = rows.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    there = there.select("doc_id", "text", "near", F.when(F.col("near").isNotNull(), words(F.col("text"))).alias("w"))
+    found = there.select("doc_id", "text", F.filter("near", lambda c: F.slice("w", c["a"] + 1, c["n"]) == c["win"]).alias("found"))
+    # occurrences come by their begin; each adds what lies beyond the furthest end before it
+    step = lambda acc, c: F.struct((acc["n"] + F.greatest(F.lit(0), c["a"] + c["n"] - F.greatest(c["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], c["a"] + c["n"]).alias("end"))
+    hit = F.aggregate("found", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))
+    # A-Z are word characters too, as the text is not lower-cased here
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    sized = rows.select("doc_id", "th", n_words.alias("n_words"))
-    out = sized.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    out = found.select("doc_id", n_words.alias("n_words"), F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -11,7 +11,8 @@ estimates the similarity; pairs that can pass are verified on full
 sets.
 
 Texts with equal sets are one class before any pair is looked at. Classes that
-bands connect form groups; a group of any size is dealt into tiles of about TILE
+are estimated to be near in a bucket form groups; a bucket or
+a group of any size is dealt into tiles of about TILE
 classes, and tasks compare pairs of tiles and return a spanning forest of the
 links found there, never the pairs.
 """
@@ -29,7 +30,7 @@ from . import _exchange as X
 from ._bytes import Texts, Words, mix
 from .components import connected_components
 
-SHINGLE, BUCKETS, ROWS, MANTISSA, SMALL, TILE = 5, 128, 4, 10, 24, 384
+SHINGLE, BUCKETS, ROWS, MANTISSA, SMALL, TILE, SLACK = 5, 128, 4, 10, 24, 384, 0.2
 EMPTY = 0xFFFF
 _BITS = 7
 
@@ -108,7 +109,7 @@ def _sketch(batches):
                 lists.append(own.view(np.int64))
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["doc_id", "n_shingles", "s0", "s1", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array([r.tobytes() for r in reg], pa.binary())], names=["doc_id", "n_shingles", "s0", "s1", "keys", "reg"])
 
 
 def shared(values: np.ndarray, owner: np.ndarray, n: int, i: np.ndarray, j: np.ndarray, width: int = 1 << 15) -> np.ndarray:
@@ -129,10 +130,12 @@ def shared(values: np.ndarray, owner: np.ndarray, n: int, i: np.ndarray, j: np.n
     return out
 
 
-def tile_links(ids: np.ndarray, tile: np.ndarray, values: np.ndarray, first: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between sets, within one tile or else across two, as edges from each set to the least index it reaches."""
-    n, size = len(ids), np.diff(first)
-    reg = registers(values, first)
+def near_pairs(reg: np.ndarray, size: np.ndarray, tile: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within one tile, or else across two, whose sizes allow a link and whose estimate lies less than SLACK below it.
+
+    An estimate from full registers strays by 0.04; pairs with a set of up to BUCKETS shingles, whose registers are few, pass.
+    """
+    n = len(size)
     rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     across = len(np.unique(tile)) > 1
     step = max(1, (1 << 23) // (BUCKETS * max(n, 1)))
@@ -142,16 +145,16 @@ def tile_links(ids: np.ndarray, tile: np.ndarray, values: np.ndarray, first: np.
         if across:
             ok &= tile[i] != tile[j]
         i, j = i[ok], j[ok]
-        # an estimate from full registers strays by 0.04; sets with few registers are all verified
-        near = np.minimum(size[i], size[j]) <= BUCKETS
-        near[~near] = estimate(reg[i[~near]], reg[j[~near]], size[i[~near]], size[j[~near]]) >= per_cent / 100 - 0.25
+        near = estimate(reg[i], reg[j], size[i], size[j]) >= per_cent / 100 - SLACK
+        near |= np.minimum(size[i], size[j]) <= SMALL
         rows.append(i[near])
         cols.append(j[near])
-    i, j = np.concatenate(rows), np.concatenate(cols)
-    both = shared(values, np.repeat(np.arange(n), size), n, i, j)
-    link = 100 * both >= per_cent * (size[i] + size[j] - both)
-    i, j = i[link], j[link]
-    label = np.arange(n)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, id) from each index that the pairs (i, j) reach to the least index of its component."""
+    label = np.arange(len(ids))
     while True:
         was = label.copy()
         np.minimum.at(label, i, label[j])
@@ -159,30 +162,44 @@ def tile_links(ids: np.ndarray, tile: np.ndarray, values: np.ndarray, first: np.
         label = label[label]
         if (label == was).all():
             break
-    member = np.flatnonzero(label != np.arange(n))
+    member = np.flatnonzero(label != np.arange(len(ids)))
     return ids[member], ids[label[member]]
 
 
-def _compare(per_cent: int):
+def estimated_links(table: pa.Table, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    reg = np.frombuffer(b"".join(table.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    i, j = near_pairs(reg, table.column("n_shingles").to_numpy(), table.column("tile").to_numpy(), per_cent)
+    return forest(table.column(X.DOC).to_numpy(), i, j)
+
+
+def verified_links(table: pa.Table, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links on full sets."""
+    values, first = shingle_sets(Texts.of(table.column(X.TEXT)))
+    size = np.diff(first)
+    i, j = near_pairs(registers(values, first), size, table.column("tile").to_numpy(), per_cent)
+    both = shared(values, np.repeat(np.arange(len(size)), size), len(size), i, j)
+    link = 100 * both >= per_cent * (size[i] + size[j] - both)
+    return forest(table.column(X.DOC).to_numpy(), i[link], j[link])
+
+
+def _groups(links, keys: list[str], per_cent: int):
+    """links() of each group of rows with equal keys. Rows come sorted by them; a group can go over several batches."""
+
     def run(batches):
-        """Rows come sorted by (component, x, y); a group can go over several batches."""
         open_key, held = None, []
 
         def flush():
-            table = pa.Table.from_batches(held)
-            texts = Texts.of(table.column(X.TEXT))
-            values, first = shingle_sets(texts)
-            a, b = tile_links(table.column(X.DOC).to_numpy(), table.column("tile").to_numpy(), values, first, per_cent)
+            a, b = links(pa.Table.from_batches(held).combine_chunks(), per_cent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("component", "x", "y")), strict=True))
-            edges = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
+            at = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys), strict=True))
+            edges = [k for k in range(len(at)) if k == 0 or at[k] != at[k - 1]] + [len(at)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if keys[a] != open_key:
+                if at[a] != open_key:
                     if held:
                         yield flush()
-                    open_key, held = keys[a], []
+                    open_key, held = at[a], []
                 held.append(batch.slice(a, b - a))
         if held:
             yield flush()
@@ -190,6 +207,19 @@ def _compare(per_cent: int):
     return run
 
 
+def _tiled(rows: DataFrame) -> DataFrame:
+    """rows with tile, and copies for each pair (x, y) of tiles that they take part in; `members` is the size of their group."""
+    tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
+    out = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64(X.DOC), F.col("tiles")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return out.select(X.DOC, "key", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+
+
+def _linked(rows: DataFrame, links, keys: list[str], per_cent: int) -> DataFrame:
+    dealt = rows.repartition(4 * X.partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(_groups(links, keys, per_cent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id), a row for each doc_id.
 
@@ -203,19 +233,18 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     one = docs.select(F.col("doc_id").cast("long").alias(X.DOC), F.col("text").alias(X.TEXT)).where(F.col("doc_id").isNotNull())
     if not one.groupBy(X.DOC).count().where("count > 1").isEmpty():
         one = one.groupBy(X.DOC).agg(F.min(X.TEXT).alias(X.TEXT))
-    sketch = X.settle(one.mapInArrow(_sketch, "doc_id long, n_shingles long, s0 long, s1 long, keys array<long>"))
+    sketch = X.settle(one.mapInArrow(_sketch, "doc_id long, n_shingles long, s0 long, s1 long, keys array<long>, reg binary"))
     classes = sketch.where("n_shingles > 0").groupBy("n_shingles", "s0", "s1").agg(F.min("doc_id").alias("class_id"))
     firsts = sketch.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     bands = firsts.select(F.col("doc_id").alias("a"), F.explode("keys").alias("key"))
-    centres = bands.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b != last").select("key", "b")
-    groups = connected_components(bands.join(centres, "key").where("a != b").select("a", "b").distinct())
-    groups = groups.select(F.col("id").alias(X.DOC), "component")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"))
-    placed = groups.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64(X.DOC), F.col("tiles")).cast("int"))
-    members = one.join(placed, X.DOC).select(X.DOC, X.TEXT, "component", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    members = members.select(X.DOC, X.TEXT, "component", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
-    keys = ["component", "x", "y"]
-    links = members.repartition(4 * X.partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(per_cent), "a long, b long")
+    # buckets with the same members are one: what is left of a group of copies is mostly one bucket
+    buckets = bands.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("h")).where("lo != hi")
+    distinct = buckets.groupBy("lo", "hi", "n", "h").agg(F.min("key").alias("key")).select("key", F.col("n").alias("members"))
+    placed = _tiled(bands.join(distinct, "key").select(F.col("a").alias(X.DOC), "key", "members"))
+    near = _linked(placed.join(firsts.select(X.DOC, "n_shingles", "reg"), X.DOC), estimated_links, ["key", "x", "y"], per_cent)
+    groups = connected_components(near).select(F.col("id").alias(X.DOC), F.col("component").alias("key"))
+    placed = _tiled(groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key"))
+    links = _linked(one.join(placed, X.DOC), verified_links, ["key", "x", "y"], per_cent)
     linked = connected_components(links)
     of_class = classes.join(linked, classes.class_id == linked.id, "left").select("n_shingles", "s0", "s1", F.coalesce("component", "class_id").alias("root"))
     out = sketch.select("doc_id", "n_shingles", "s0", "s1").join(of_class, ["n_shingles", "s0", "s1"], "left")
