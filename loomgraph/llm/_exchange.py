@@ -84,17 +84,24 @@ def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
 class Keys:
     """The distinct keys of a block in the order in which it asks: by shard, then by the bytes that are sent.
 
-    width: bytes sent, 4 or 8. Four serve where an answer only proposes candidates.
+    width: bytes sent, 4, 6 or 8, below 8 the low ones; the shard stands for the high ones. Four serve where an answer only
+    proposes candidates; with six, one key in some 10**8 of a shard of 2**20 meets another. 8 is taken for shards too many.
     """
 
     def __init__(self, keys: np.ndarray, n: int, width: int = 8):
+        width = width if n <= 1 << (64 - 8 * width) else 8
         self.n, self.width = n, width
-        if width == 4:
-            keys = (shard_of(keys, n).astype(U64) << U64(32)) | (keys & U64(0xFFFFFFFF))
+        if width < 8:
+            bits = U64(8 * width)
+            keys = (shard_of(keys, n).astype(U64) << bits) | (keys & ((U64(1) << bits) - U64(1)))
         self.sorted, self.inverse, self.counts = np.unique(keys, return_inverse=True, return_counts=True)
-        shards = (self.sorted >> U64(32)).astype(np.int64) if width == 4 else shard_of(self.sorted, n)
+        shards = (self.sorted >> bits).astype(np.int64) if width < 8 else shard_of(self.sorted, n)
         self.edges = np.searchsorted(shards, np.arange(n + 1))
 
+    def body(self, s: int) -> bytes:
+        part = self.sorted[self.edges[s] : self.edges[s + 1]]
+        return np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
+
     def bodies(self) -> Iterator[tuple[int, np.ndarray]]:
         for s in range(self.n):
             a, b = self.edges[s], self.edges[s + 1]
@@ -112,6 +119,27 @@ class Keys:
         return self.answers({s: np.unpackbits(np.frombuffer(b, np.uint8), count=int(self.edges[s + 1] - self.edges[s])) for s, b in given.items()}, bool)
 
 
+def unpacked(body: bytes, count: int, width: int, at: int = 0) -> np.ndarray:
+    """Keys of `width` bytes as numbers."""
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8, count * width, at).reshape(count, width)
+    return out.view(U64).ravel()
+
+
+def packed_counts(x: np.ndarray) -> bytes:
+    """Counts, most of them small: a byte each, and those of 255 and more behind."""
+    small = np.minimum(x, 255).astype(np.uint8)
+    return small.tobytes() + x[small == 255].astype(np.int64).tobytes()
+
+
+def unpacked_counts(body: bytes, count: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """(counts, where they end)."""
+    out = np.frombuffer(body, np.uint8, count, at).astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = np.frombuffer(body, np.int64, len(large), at + count)
+    return out, at + count + 8 * len(large)
+
+
 def asks(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "body": pa.array([r[2] for r in rows], pa.binary())})
 

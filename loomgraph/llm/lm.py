@@ -57,7 +57,7 @@ class _Tokens:
             self.grams.append(mix(history[at], 20 + k))
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 32.0, fold: int = 5, held: int = 1, block_bytes: int = 1 << 21, shard_keys: int = 1 << 20) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 200.0, fold: int = 5, held: int = 1, block_bytes: int = 3 << 20, shard_keys: int = 1 << 20) -> DataFrame:
     """log10 probability of each text under a model learned from all documents outside the held-out fold.
 
     Tokens are lower-cased words and one end; a document is held out if crc32(doc_id as text) mod `fold` is `held`.
@@ -72,6 +72,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 32.0, fold: i
     blocks, _ = X.hashed_blocks(docs, total, block_bytes)
     n = max(1, math.ceil(order * total / 8 / shard_keys))
 
+    def width(k: int) -> int:
+        return 6 if k and n <= 1 << 16 else 8
+
     def held_out(table: pa.Table) -> np.ndarray:
         import zlib
 
@@ -81,12 +84,12 @@ def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 32.0, fold: i
         tokens = _Tokens(Texts.of(table.column(X.TEXT)), order)
         train = np.repeat(~held_out(table), tokens.size)
         parts: list[list[bytes]] = [[] for _ in range(n)]
-        for at, grams in zip(tokens.at, tokens.grams, strict=True):
-            keys = X.Keys(grams, n)
-            counts = np.bincount(keys.inverse, train[at], len(keys.sorted)).astype(np.uint32)
+        for k, (at, grams) in enumerate(zip(tokens.at, tokens.grams, strict=True)):
+            keys = X.Keys(grams, n, width(k))
+            counts = np.bincount(keys.inverse, train[at], len(keys.sorted)).astype(np.int64)
             for s in range(n):
                 i, j = keys.edges[s], keys.edges[s + 1]
-                parts[s] += [np.int64(j - i).tobytes(), keys.sorted[i:j].tobytes(), counts[i:j].tobytes()]
+                parts[s] += [np.int64(j - i).tobytes(), keys.body(s), X.packed_counts(counts[i:j])]
         return X.asks([(s, b, b"".join(p)) for s, p in enumerate(parts)])
 
     def count(rows: list[tuple[int, bytes]]) -> list[bytes]:
@@ -95,16 +98,16 @@ def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 32.0, fold: i
             keys, counts = [], []
             for r, (_, body) in enumerate(rows):
                 m = int(np.frombuffer(body, np.int64, 1, place[r])[0])
-                keys.append(np.frombuffer(body, np.uint64, m, place[r] + 8))
-                counts.append(np.frombuffer(body, np.uint32, m, place[r] + 8 + 8 * m))
-                place[r] += 8 + 12 * m
+                keys.append(X.unpacked(body, m, width(k), place[r] + 8))
+                c, place[r] = X.unpacked_counts(body, m, place[r] + 8 + width(k) * m)
+                counts.append(c)
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
             if k == 0:
                 head = np.array([sums.sum(), np.count_nonzero(sums)], np.int64).tobytes()
                 out = [[head] for _ in rows]
             for r, x in enumerate(np.split(sums[inverse], np.cumsum([len(p) for p in keys])[:-1])):
-                out[r].append(x.astype(np.int64).tobytes())
+                out[r].append(X.packed_counts(x))
         return [b"".join(x) for x in out]
 
     def walk(b: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
@@ -112,14 +115,16 @@ def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 32.0, fold: i
         head = np.array([np.frombuffer(x, np.int64, 2) for x in got.values()])
         n_train, n_words = (head.sum(axis=0) if len(head) else np.zeros(2)).astype(np.int64).tolist()
         place = dict.fromkeys(got, 16)
-        width = len(tokens.step)
-        previous = np.zeros(width, np.int64)
+        width_of = len(tokens.step)
+        previous = np.zeros(width_of, np.int64)
         for k, (at, grams) in enumerate(zip(tokens.at, tokens.grams, strict=True), 1):
-            keys = X.Keys(grams, n)
+            keys = X.Keys(grams, n, width(k - 1))
             sizes = np.diff(keys.edges)
-            c = np.zeros(width, np.int64)
-            c[at] = keys.answers({s: np.frombuffer(x, np.int64, int(sizes[s]), place[s]) for s, x in got.items()}, np.int64)
-            place = {s: p + 8 * int(sizes[s]) for s, p in place.items()}
+            c = np.zeros(width_of, np.int64)
+            given = {}
+            for s, x in got.items():
+                given[s], place[s] = X.unpacked_counts(x, int(sizes[s]), place[s])
+            c[at] = keys.answers(given, np.int64)
             if k == 1:
                 word = (c + 0.5) / (n_train + 0.5 * (n_words + 1))
                 state, known = word.copy(), c > 0

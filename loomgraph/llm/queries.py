@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .chat import format_chat
 from .decontam import decontaminate
 from .langid import fit_languages, identify
 from .lm import backoff_scores
@@ -17,6 +18,8 @@ from .substring import substring_dedup
 from .suffix import suffix_dedup
 from .toxicity import fit_grammar, toxicity_scores
 
+#: Tools whose calls op5 validates: (name, param, type, required).
+TOOLS = (("search", "query", "string", True), ("search", "limit", "integer", False), ("calculate", "expression", "string", True), ("fetch", "url", "string", True), ("fetch", "timeout", "number", False))
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -50,6 +53,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_languages(docs.where(fold(4) != 2))).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ", ".join(f"('{n}', '{p}', '{t}', {str(r).lower()})" for n, p, t, r in TOOLS)
+    schemas = spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, param, type, required)")
+    return format_chat(table(spark, sf_dir, "conversations"), schemas)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -70,6 +79,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_byte_bpe, op4_language_id, op6_quality_rules, op7_suffix_dedup, op8_lm_scores, op9_decontamination, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_byte_bpe, op4_language_id, op5_chat_format, op6_quality_rules, op7_suffix_dedup, op8_lm_scores, op9_decontamination, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
