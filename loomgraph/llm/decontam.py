@@ -67,13 +67,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     near = near.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.array_sort(F.collect_set(begin)).alias("near"))
 
     there = rows.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
-    there = there.select("doc_id", "text", "near", F.when(F.col("near").isNotNull(), words(F.col("text"))).alias("w"))
-    found = there.select("doc_id", "text", F.filter("near", lambda c: F.slice("w", c["a"] + 1, c["n"]) == c["win"]).alias("found"))
+    # explode() of one element keeps the optimizer from putting the split into the filter, where each candidate would repeat it
+    there = there.select("doc_id", "text", "near", F.explode(F.array(F.when(F.col("near").isNotNull(), words(F.col("text"))))).alias("w"))
+    # A-Z are word characters too where the text is not lower-cased first
+    n_words = F.when(F.col("near").isNotNull(), F.size("w")).otherwise(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).cast("long")
+    found = there.select("doc_id", n_words.alias("n_words"), F.explode(F.array(F.filter("near", lambda c: F.slice("w", c["a"] + 1, c["n"]) == c["win"]))).alias("found"))
     # occurrences come by their begin; each adds what lies beyond the furthest end before it
     step = lambda acc, c: F.struct((acc["n"] + F.greatest(F.lit(0), c["a"] + c["n"] - F.greatest(c["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], c["a"] + c["n"]).alias("end"))
     hit = F.aggregate("found", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))
-    # A-Z are word characters too, as the text is not lower-cased here
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    out = found.select("doc_id", n_words.alias("n_words"), F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+    out = found.select("doc_id", "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
