@@ -507,18 +507,18 @@ def terminal_guard_flags(g):
 # --- coarse graphs and their metrics
 
 
-def _packed(df):
-    return df.select("node_id", F.posexplode("x").alias("j", "v")).select("node_id", F.col("j").cast("int").alias("j"), rounded(F.col("v")).alias("v"))
+def _packed(df, digits=9):
+    return df.select("node_id", F.posexplode("x").alias("j", "v")).select("node_id", F.col("j").cast("int").alias("j"), rounded(F.col("v"), digits).alias("v"))
 
 
-@query("SELECT super_id AS node_id, j, " + O.r("avg(v)") + " AS v FROM flat JOIN asg USING (node_id) GROUP BY 1, 2")
+@query("SELECT super_id AS node_id, j, " + O.r("avg(v)", 9) + " AS v FROM flat JOIN asg USING (node_id) GROUP BY 1, 2")
 def coarse_features_mean(g):
     return _packed(A.coarse_features(g.features, assignment_of(g)))
 
 
 @query("SELECT super_id AS node_id, j, " + O.r("CASE WHEN sum(coalesce(mass, 0)) > 0 THEN sum(coalesce(mass, 0) * v) / sum(coalesce(mass, 0)) ELSE avg(v) END") + " AS v FROM flat JOIN asg USING (node_id) LEFT JOIN mass USING (node_id) GROUP BY 1, 2")
 def coarse_features_degree(g):
-    return _packed(A.coarse_features(g.features, assignment_of(g), A.feature_weights(g, "degree")))
+    return _packed(A.coarse_features(g.features, assignment_of(g), A.feature_weights(g, "degree")), 6)
 
 
 @query("SELECT s.super_id, coalesce(label, -1)::INTEGER AS label FROM (SELECT DISTINCT super_id FROM asg) s LEFT JOIN (SELECT super_id, label FROM asg JOIN nodes USING (node_id) WHERE label >= 0 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY super_id ORDER BY count(*) DESC, label) = 1) USING (super_id)")
