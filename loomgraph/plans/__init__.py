@@ -1 +1,62 @@
+"""The multilevel plan: sketch, candidates, costs, matching and aggregation, level by level, with checkpoints."""
 
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import functions as F
+
+from ..graph import HeteroGraph
+from ..operators import candidates as C
+from ..operators import coarsen as A
+from ..operators import linalg as L
+from ..operators import matching as M
+from ..operators import scoring as S
+from ..sources import load_graph, save_graph
+
+
+@dataclass(frozen=True)
+class Plan:
+    target_ratio: float = 0.5
+    per_level: float = 0.55
+    levels: int = 4
+    columns: int = 4
+    keep: int = 8
+    hub_cap: int = 32
+    pair_cap: int = 128
+    cluster: int = 4
+
+
+def one_level(graph: HeteroGraph, plan: Plan, merges: int):
+    """The assignment of one level: at most `merges` merges of clusters of up to plan.cluster nodes."""
+    alpha = {r.rel_id: 1.0 for r in graph.relations.select("rel_id").collect()}
+    alpha = {r: v / len(alpha) for r, v in alpha.items()}
+    x = L.fused(L.normalized(graph.edges), L.probe(graph.nodes, plan.columns), alpha)
+    found = C.onehop(graph.edges, graph.nodes).unionByName(C.twohop(graph.edges, graph.nodes, plan.hub_cap, plan.pair_cap)).unionByName(C.fallback(graph.nodes))
+    pairs = C.retain(found, plan.keep)
+    key = ["i", "j"]
+    scored = S.cost(pairs.join(S.spectral_cost(pairs, x, L.incident_mass(graph.edges)), key).join(S.profile_distance(pairs, S.relation_profiles(graph.edges)), key))
+    kinds = graph.nodes.select(F.col("node_id").alias("i"), "type_id", "part_id")
+    taken = M.greedy_cluster(scored.join(kinds, "i").withColumn("cost", F.round("cost", 9)), ["type_id", "part_id"], plan.cluster, merges)
+    return M.clusters(taken, graph.nodes, plan.cluster)
+
+
+def coarsen(graph: HeteroGraph, folder: str, plan: Plan = Plan()) -> list[HeteroGraph]:
+    """The graphs of all levels, each written under folder/level_k and read back, which cuts the lineage. A level whose
+    folder is complete is read instead of made: an interrupted run goes on where it stopped."""
+    spark, out, first = graph.nodes.sparkSession, [], graph.nodes.count()
+    target = max(1, -int(-(first * plan.target_ratio) // 1))
+    for k in range(plan.levels):
+        n = graph.nodes.count()
+        merges = M.level_budget(n, target, plan.per_level)
+        if merges <= 0:
+            break
+        path = f"{folder}/level_{k}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/relations/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            assignment = one_level(graph, plan, merges)
+            assignment.write.mode("overwrite").parquet(f"{path}/assignment")
+            save_graph(A.coarse_graph(graph, spark.read.parquet(f"{path}/assignment")), path)
+        graph = load_graph(spark, path)
+        out.append(graph)
+    return out

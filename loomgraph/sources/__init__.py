@@ -1 +1,89 @@
+"""Graphs on disk: partitioned Parquet with a schema file, and tab-separated text folders."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import mixed, uniform
+from ..graph import HeteroGraph, ranked
+
+
+def save_graph(graph: HeteroGraph, path: str) -> None:
+    """Edges partitioned by relation, nodes and features by type, so that scans prune what they do not need."""
+    graph.nodes.write.mode("overwrite").partitionBy("type_id").parquet(f"{path}/nodes")
+    graph.edges.write.mode("overwrite").partitionBy("rel_id").parquet(f"{path}/edges")
+    graph.features.write.mode("overwrite").partitionBy("type_id").parquet(f"{path}/features")
+    graph.relations.coalesce(1).write.mode("overwrite").json(f"{path}/relations")
+
+
+def load_graph(spark: SparkSession, path: str) -> HeteroGraph:
+    nodes = spark.read.schema("node_id long, label int, part_id int, type_id int").parquet(f"{path}/nodes").select("node_id", "type_id", "label", "part_id")
+    edges = spark.read.schema("src long, dst long, w double, rel_id int").parquet(f"{path}/edges").select("rel_id", "src", "dst", "w")
+    features = spark.read.schema("node_id long, x array<double>, type_id int").parquet(f"{path}/features").select("node_id", "type_id", "x")
+    return HeteroGraph(nodes, edges, spark.read.schema("rel_id int, name string, src_type int, dst_type int").json(f"{path}/relations"), features)
+
+
+def summary(graph: HeteroGraph) -> DataFrame:
+    """(rel_id, name, edges, weight)."""
+    return graph.edges.groupBy("rel_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("weight")).join(F.broadcast(graph.relations.select("rel_id", "name")), "rel_id")
+
+
+def read_text_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A folder of node.dat (id, name, type, features), link.dat (src, dst, relation, weight), label.dat (id, name, type, classes)."""
+    read = lambda name, schema: spark.read.schema(schema).csv(f"{path}/{name}", sep="\t")
+    nodes = read("node.dat", "node_id long, name string, type_id int, x string")
+    nodes = nodes.withColumn("x", F.split("x", ",").cast("array<double>"))
+    labels = read("label.dat", "node_id long, name string, type_id int, classes string").withColumn("classes", F.split("classes", ",").cast("array<int>"))
+    return {"nodes": nodes, "edges": read("link.dat", "src long, dst long, rel_id int, w double"), "labels": labels}
+
+
+def text_graph_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kind, key, n): nodes by type, edges by relation, labels by class."""
+    of = lambda df, kind, c: df.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+    return of(tables["nodes"], "type", "type_id").unionByName(of(tables["edges"], "relation", "rel_id")).unionByName(of(tables["labels"].select(F.explode("classes").alias("c")), "class", "c"))
+
+
+def write_text_graph(graph: HeteroGraph, path: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    """The text folder with ids renumbered type by type from 0; returns (node_id, new_id). Labels of -1 are left out."""
+    order = ranked(graph.nodes.select("node_id", "type_id"), ["type_id"], "node_id")
+    sizes = graph.nodes.groupBy("type_id").count()
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.type_id") < F.col("a.type_id"), "left").groupBy(F.col("a.type_id").alias("type_id")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    ids = order.join(F.broadcast(before), "type_id").select("node_id", "type_id", (F.col("before") + F.col("rank") - 1).alias("new_id"))
+    name = F.concat(F.lit("n"), F.col("new_id"))
+    nodes = ids.join(graph.features.select("node_id", "x"), "node_id", "left").select("new_id", name, "type_id", F.coalesce(F.concat_ws(",", F.col("x").cast("array<string>")), F.lit("")))
+    s, d = ids.select(F.col("node_id").alias("src"), F.col("new_id").alias("s")), ids.select(F.col("node_id").alias("dst"), F.col("new_id").alias("d"))
+    links = graph.edges.join(s, "src").join(d, "dst").select("s", "d", "rel_id", "w")
+    write = lambda df, file: df.write.mode("overwrite").csv(f"{path}/{file}", sep="\t")
+    write(nodes, "node.dat")
+    write(links, "link.dat")
+    for file, part in (("label.dat", train), ("label.dat.test", test)):
+        of = graph.nodes.where("label >= 0").join(part.select("node_id"), "node_id", "left_semi").join(ids.select("node_id", "new_id"), "node_id")
+        write(of.select("new_id", name, "type_id", "label"), file)
+    return ids.select("node_id", "new_id")
+
+
+def synthetic_graph(spark: SparkSession, users: int = 1000, items: int = 500, tags: int = 100, seed: int = 0) -> HeteroGraph:
+    """Users, items and tags: three items for each user, two tags for each item, their reverses and a ring of users."""
+    kinds = [(0, users, 0), (1, items, users), (2, tags, users + items)]
+    nodes = None
+    for t, n, first in kinds:
+        label = (mixed(F.col("id"), 3, seed) % 3).cast("int") if t == 0 else F.lit(-1)
+        part = spark.range(first, first + n).select(F.col("id").alias("node_id"), F.lit(t).alias("type_id"), label.alias("label"), F.lit(0).alias("part_id"))
+        nodes = part if nodes is None else nodes.unionByName(part)
+
+    def choose(first, n, to, m, k):
+        """k different targets: steps of a hash from a hash, apart by construction."""
+        at = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("c")
+        return spark.range(first, first + n).select(F.col("id").alias("src"), at).select("src", (F.lit(to) + (mixed(F.col("src"), 1, seed) + F.col("c") * (m // k)) % m).alias("dst"))
+
+    ui, it = choose(0, users, users, items, 3), choose(users, items, users + items, tags, 2)
+    ring = spark.range(users).select(F.col("id").alias("src"), ((F.col("id") + 1) % users).alias("dst"))
+    turn = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    edges = None
+    for r, e in enumerate((ui, turn(ui), it, turn(it), ring)):
+        part = e.select(F.lit(r).alias("rel_id"), "src", "dst", F.lit(1.0).alias("w"))
+        edges = part if edges is None else edges.unionByName(part)
+    relations = spark.sql("SELECT * FROM VALUES (0, 'user_to_item', 0, 1), (1, 'item_to_user', 1, 0), (2, 'item_to_tag', 1, 2), (3, 'tag_to_item', 2, 1), (4, 'user_to_user', 0, 0) AS t(rel_id, name, src_type, dst_type)")
+    x = F.array(*[uniform(F.col("node_id"), j, seed) for j in range(8)])
+    return HeteroGraph(nodes, edges, relations, nodes.select("node_id", "type_id", x.alias("x")))

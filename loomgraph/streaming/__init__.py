@@ -1 +1,31 @@
+"""Streams: incremental edges and degrees, and a running mutual-best state."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def event_edges(events: DataFrame, late: str = "1 day", window: str = "1 day") -> DataFrame:
+    """(window, user_id, event_type, w): edge weights of an event stream by window, with a watermark for late rows."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "user_id", "event_type").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _best(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    cost, other = state.get if state.exists else (float("inf"), -1)
+    for f in frames:
+        for r in f.itertuples():
+            if (r.cost, r.other) < (cost, other) or other < 0:
+                cost, other = r.cost, r.other
+    state.update((cost, other))
+    yield pd.DataFrame({"node": [key[0]], "other": [other], "cost": [cost]})
+
+
+def running_best(pairs: DataFrame) -> DataFrame:
+    """(node, other, cost): each node's best pair by (cost, other) so far, from a stream of pairs (i, j, cost)."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("i").alias("node"), F.col("j").alias("other")), F.struct(F.col("j").alias("node"), F.col("i").alias("other")))).alias("e"), "cost").select("e.node", "e.other", "cost")
+    return ends.groupBy("node").applyInPandasWithState(_best, "node long, other long, cost double", "cost double, other long", "update", GroupStateTimeout.NoTimeout)
