@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import tempfile
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Modulus and half of the integer mix; all products stay below 2**63.
@@ -49,3 +51,11 @@ def rounded(c: Column, digits: int = 6) -> Column:
 def xlogx_ratio(p: Column, m: Column) -> Column:
     """p ln(p / m), 0 where p is 0."""
     return F.when(p > 0, p * F.log(p / m)).otherwise(0.0)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder that the session names; in one of our own where none is set (tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
+    return df.checkpoint()

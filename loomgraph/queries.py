@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .functions import mixed, rounded
+from .functions import mixed, rounded, settled
 from .graph import HeteroGraph, from_tables
 from .operators import candidates as C
 from .operators import classify as K
@@ -58,6 +58,7 @@ def coarse_of(g: HeteroGraph) -> DataFrame:
 def scored_of(g: HeteroGraph) -> DataFrame:
     p = pairs_of(g)
     key = ["i", "j"]
+    p = settled(p)
     out = p.join(S.spectral_cost(p, sx_of(g), L.incident_mass(g.edges)), key).join(S.profile_distance(p, S.relation_profiles(g.edges)), key)
     return out.join(S.feature_distance(p, g.features), key).select("i", "j", "type_id", "part_id", "spec", "rel", "feat")
 
@@ -76,7 +77,7 @@ def logits_of(g: HeteroGraph) -> DataFrame:
 
 
 def importance_of(g: HeteroGraph) -> DataFrame:
-    f = T.support_features(g.edges, g.nodes, 0)
+    f = settled(T.support_features(g.edges, g.nodes, 0))
     return T.importance(f, {"degree": 0.5, "anchors": 0.25, "purity": 0.25}).join(f.select("node_id", "type_id", "degree"), "node_id").withColumn("importance", F.round("importance", 9))
 
 
