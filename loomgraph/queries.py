@@ -830,9 +830,9 @@ def feature_int8(g):
     return P.int8_features(g.features)
 
 
-@query(f"SELECT node_id, k::INTEGER AS j, {O.r('sum(v * (' + O.sign('j', 'k', 3) + ')) / 2')} AS v FROM flat, range(4) t(k) GROUP BY 1, 2")
+@query(f"SELECT node_id, k::INTEGER AS j, {O.r('sum(v * (' + O.sign('j', 'k', 3) + ')) / 2', 9)} AS v FROM flat, range(4) t(k) GROUP BY 1, 2")
 def feature_random_projection(g):
-    return dense(P.random_projection(g.features, 4))
+    return dense(P.random_projection(g.features, 4), 9)
 
 
 @query("SELECT bool_and(vol >= m) AS passed, coalesce(sum((NOT vol >= m)::INTEGER), 0)::BIGINT AS failed_rows FROM ecount")
