@@ -466,7 +466,7 @@ _WC = f"wc AS MATERIALIZED (SELECT *, ({O.mixed('i + j', '2')} % 1000) / 1000.0:
 
 @query(f"WITH {_WC}, b AS MATERIALIZED (SELECT n, other, cost FROM (SELECT i AS n, j AS other, cost FROM wc UNION ALL SELECT j, i, cost FROM wc) QUALIFY row_number() OVER (PARTITION BY n ORDER BY cost, other) = 1) SELECT a.n AS i, a.other AS j, a.cost FROM b a JOIN b c ON a.other = c.n AND c.other = a.n WHERE a.n < a.other ORDER BY a.cost, a.n LIMIT 2000")
 def match_mutual_best(g):
-    return M.mutual_best(window_costs(g), 2000)
+    return M.mutual_best(window_costs(g))
 
 
 @query()

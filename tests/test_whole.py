@@ -1,0 +1,22 @@
+"""Queries and stages that once did less than their whole job."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from loomgraph import queries as Q
+from loomgraph.graph import from_tables
+
+MID = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(MID), reason="no test tables")
+def test_match_mutual_best_keeps_every_pair(spark):
+    best = {}
+    for r in Q.window_costs(from_tables(spark, MID)).select("i", "j", "cost").collect():
+        for a, b in ((r.i, r.j), (r.j, r.i)):
+            best[a] = min(best.get(a, (r.cost, b)), (r.cost, b))
+    want = sorted((a, b, c) for a, (c, b) in best.items() if a < b and best[b][1] == a)
+    assert len(want) > 2000
+    assert sorted(tuple(r) for r in entry.queries()["match_mutual_best"](spark, MID).select("i", "j", "cost").collect()) == want
