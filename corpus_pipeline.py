@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm._exchange import settle
 from loomgraph.llm.bpe import bpe_round_trip
-from loomgraph.llm.decontam import decontaminate
+from loomgraph.llm.decontam import without_contaminated
 from loomgraph.llm.minhash import near_duplicates
 from loomgraph.llm.queries import RANKS, fold, table
 from loomgraph.llm.suffix import suffix_dedup
@@ -26,11 +27,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Every row is a document of its own, also where rows repeat a doc_id or have none. Of a group the row stays that comes
+    first by doc_id (none comes last), then by text; of rows alike in both, one. Texts without words are near to nothing."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        copies = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+        return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    # rows get keys in that order; the first key also splits a large group of equal rows
+    placed = docs.withColumn("__row", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "text", "__row")
+    keyed = settle(placed.withColumn("__row", F.monotonically_increasing_id()))
+    copies = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text")).where(~F.col("kept")).select(F.col("doc_id").alias("__row"))
+    return keyed.join(copies, "__row", "left_anti").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that repeat a doc_id cut nothing from each other; rows without doc_id stay whole and cut nothing."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = suffix_dedup(docs, carry=rest)
 
@@ -43,8 +53,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Each row is judged by its own text, also where rows repeat a doc_id or have none."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     Items without id or words are ignored; items that repeat an id count as one. Rows that repeat a doc_id with another
     text are told apart by their text. Other columns of both tables are ignored.
     """
+    return _judged(docs, benchmark, window, broadcast_rows).drop("th")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that decontaminate() does not flag, with all their columns.
+
+    A verdict holds for the rows of its doc_id, which can be null, and text: rows without doc_id are judged like any other,
+    and of rows that repeat a doc_id only those go whose own text is contaminated.
+    """
+    leaks = _judged(docs, benchmark, window, broadcast_rows).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
+    return docs.join(leaks, same, "left_anti")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_rows: int) -> DataFrame:
+    """decontaminate() with th, the hash of each row's text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
     pairs = bench_windows(benchmark, window)
     bounded = (pairs.select(F.sum(F.size("win")).alias("n")).first().n or 0) <= broadcast_rows
@@ -68,13 +84,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
 
     there = rows.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     # explode() of one element keeps the optimizer from putting the split into the filter, where each candidate would repeat it
-    there = there.select("doc_id", "text", "near", F.explode(F.array(F.when(F.col("near").isNotNull(), words(F.col("text"))))).alias("w"))
+    there = there.select("doc_id", "th", "text", "near", F.explode(F.array(F.when(F.col("near").isNotNull(), words(F.col("text"))))).alias("w"))
     # A-Z are word characters too where the text is not lower-cased first
     n_words = F.when(F.col("near").isNotNull(), F.size("w")).otherwise(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).cast("long")
-    found = there.select("doc_id", n_words.alias("n_words"), F.explode(F.array(F.filter("near", lambda c: F.slice("w", c["a"] + 1, c["n"]) == c["win"]))).alias("found"))
+    found = there.select("doc_id", "th", n_words.alias("n_words"), F.explode(F.array(F.filter("near", lambda c: F.slice("w", c["a"] + 1, c["n"]) == c["win"]))).alias("found"))
     # occurrences come by their begin; each adds what lies beyond the furthest end before it
     step = lambda acc, c: F.struct((acc["n"] + F.greatest(F.lit(0), c["a"] + c["n"] - F.greatest(c["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], c["a"] + c["n"]).alias("end"))
     hit = F.aggregate("found", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))
-    out = found.select("doc_id", "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = found.select("doc_id", "th", "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "th", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
