@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _exchange as X
@@ -140,15 +141,22 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, lang: str = "lang", sample: int = 8000, most: int = 150_000, least: int = 2) -> LanguageModel:
-    """A model from about `sample` labelled docs, those whose text has one of a share of all hashes; equal texts count once.
+    """A model from at most `sample` labelled docs of each language, those with the least hash of the text; equal texts of a
+    language count once.
 
-    Words and n-grams that come at least `least` times are kept, the `most` frequent of each order. Null languages and
-    null texts teach nothing.
+    Words and n-grams that come at least `least` times are kept, of each order the `most` with the largest share of any one
+    language. A language's prior is its share of words, its sample scaled to all its texts. Null languages and null texts
+    teach nothing.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
-    total = rows.count()
-    keep = min(1.0, sample / max(total, 1))
-    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < int(keep * (1 << 20))).dropDuplicates(["h", "lang"]).select("lang", "text")
+    texts = rows.groupBy("lang", "h").count().drop("count")
+    # the least hashes of a language lie below this with certainty for practical purposes, so a window sees few more than it keeps
+    near = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.lit(sample + 8 * sample**0.5 + 64) / F.col("texts")
+    low = texts.join(F.broadcast(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))), "lang").where(F.col("h") <= near)
+    low = low.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
+    cuts = X.settle(low.groupBy("lang").agg(F.max("h").alias("cut"), F.count(F.lit(1)).alias("chosen"), F.first("texts").alias("texts")))
+    scale = {r.lang: r.texts / r.chosen for r in cuts.collect()}
+    chosen = rows.join(F.broadcast(cuts.select("lang", "cut")), "lang").where("h <= cut").dropDuplicates(["h", "lang"]).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -174,7 +182,8 @@ def fit_languages(docs: DataFrame, lang: str = "lang", sample: int = 8000, most:
     tables = {}
     pivot = counted.groupBy("kind", "h").agg(F.sum("n").alias("total"), *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(languages)))
     for kind in (WORD, *ORDERS):
-        top = pivot.where((F.col("kind") == kind) & (F.col("total") >= least)).orderBy(F.desc("total"), "h").limit(most).drop("kind", "total").toPandas() if languages else None
+        share = languages and F.array_max(F.array(*(F.col(f"n{k}") / F.lit(float(sums.get((kind, x), 0) or 1)) for k, x in enumerate(languages))))
+        top = pivot.where((F.col("kind") == kind) & (F.col("total") >= least)).orderBy(F.desc(share), "h").limit(most).drop("kind", "total").toPandas() if languages else None
         if top is None or not len(top):
             tables[kind] = np.zeros(0, U64), np.zeros((0, len(languages)), np.float32)
             continue
@@ -183,7 +192,7 @@ def fit_languages(docs: DataFrame, lang: str = "lang", sample: int = 8000, most:
         n = np.stack([top[f"n{k}"].to_numpy(float) for k in range(len(languages))], axis=1)
         volume = np.array([sums.get((kind, x), 0) for x in languages], float)
         tables[kind] = h[order], np.log((n + 0.5) / (volume + 0.5 * len(h)))[order].astype(np.float32)
-    volume = np.array([sums.get((WORD, x), 0) for x in languages], float)
+    volume = np.array([sums.get((WORD, x), 0) * scale[x] for x in languages], float)
     return LanguageModel(languages, tables, np.log((volume + 1) / (volume.sum() + len(languages))))
 
 

@@ -16,6 +16,7 @@ import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from loomgraph import queries as Q  # noqa: E402
 from loomgraph.graph import from_tables  # noqa: E402
+from loomgraph.llm.langid import fit_languages, identify  # noqa: E402
 
 MID = "/root/testdata/sf0.01"
 
@@ -52,3 +53,16 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     assert len(docs) > len(left) > len(clean)
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "decoded_sha256").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, hashlib.sha256(t.encode()).hexdigest())) for i, t in clean)
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(6)
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(3))
+    docs = [(k, " ".join(word(["ba", "do", "mi"]) for _ in range(12)), "aa") for k in range(4000)]
+    docs += [(5000 + k, " ".join(word(["schr", "ung", "ö"]) for _ in range(12)), "bb") for k in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = fit_languages(df, sample=40)
+    assert model.languages == ["aa", "bb"]
+    assert model.prior[0] - model.prior[1] > 6  # shares of all texts, not of the samples
+    got = {r.doc_id: r.lang_pred for r in identify(df, model).collect()}
+    assert all(got[i] == lang for i, _, lang in docs)
