@@ -11,7 +11,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgraph.llm._exchange import settle
 from loomgraph.llm.bpe import bpe_round_trip
@@ -42,14 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that repeat a doc_id cut nothing from each other; rows without doc_id stay whole and cut nothing."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = suffix_dedup(docs, carry=rest)
-
-    @F.pandas_udf(T.StringType())
-    def readable(kept):
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    out = out.withColumn("text", readable("kept")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    out = suffix_dedup(docs, carry=rest, with_text=True)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select([(own.get(c) if c in own else F.col("__carry").getField(c)).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage keeps is settled before the next one, which reads it several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else settle(docs), sf_dir)
     return docs
