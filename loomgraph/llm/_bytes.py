@@ -44,7 +44,14 @@ def powers(n: int) -> list[np.ndarray]:
             p = np.full(max(n, CHUNK + 1024), r, U64)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
-    return [p[:n] for p in _powers]
+    out = [p[:n] for p in _powers]
+    if n > 2 * CHUNK:  # those of one very long text are not kept
+        forget()
+    return out
+
+
+def forget() -> None:
+    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -9,6 +9,9 @@ and what crosses the network is a few bytes a key instead of a row.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import math
 import tempfile
 from collections.abc import Callable, Iterator
@@ -20,17 +23,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _bytes
+
 U64 = np.uint64
 ASK = "shard int, block int, body binary"
 #: Columns of a block's rows; callers' own columns never reach them.
 DOC, TEXT, BLOCK, CARRY = "doc_id", "text", "__block", "__carry"
 
 
+#: What to call when a task ends: each empties a table that its module keeps between calls.
+FORGET: list[Callable[[], None]] = [_bytes.forget]
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library has no malloc_trim either
+        return None
+
+
+def release() -> None:
+    """Hands freed memory back to the system. Python workers outlive their tasks, and several wait beside each executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, a function of a task's batches, that leaves no tables and no freed memory behind in its worker."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            for g in FORGET:
+                g()
+            release()
+
+    return run
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set (tests)."""
+    """The shared folder that the session names. Where none is set, as in tests, one of our own, but never on a cluster: other
+    machines do not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -51,30 +93,73 @@ def volume(docs: DataFrame, text: str = TEXT) -> tuple[int, int]:
     return row.n or 0, int(row.b or 0)
 
 
+def _dealt(placed: DataFrame, n: int) -> DataFrame:
+    return placed.repartition(min(n, 4 * partitions(placed.sparkSession)) if n > 1 else 1, BLOCK)
+
+
 def hashed_blocks(docs: DataFrame, total: int, block_bytes: int) -> tuple[DataFrame, int]:
     """(block, doc_id, text): blocks of about block_bytes by a hash of the row. Rows alike share a block."""
     n = max(1, math.ceil(total / block_bytes))
-    key = F.pmod(F.xxhash64(DOC, F.length(TEXT)), F.lit(n)).cast("int")
-    return docs.select(key.alias(BLOCK), F.col(DOC).cast("long").alias(DOC), TEXT).repartition(min(n, 4 * partitions(docs.sparkSession)) if n > 1 else 1, BLOCK), n
+    key = F.pmod(F.xxhash64(DOC, TEXT), F.lit(n)).cast("int")
+    return _dealt(docs.select(key.alias(BLOCK), F.col(DOC).cast("long").alias(DOC), TEXT), n), n
 
 
-def ordered_blocks(docs: DataFrame, total: int, block_bytes: int, carry: tuple[str, ...] = (), most: int = 100_000) -> tuple[DataFrame, int]:
-    """(block, doc_id, text, and what is to be carried along as one column): all ids of a block are smaller than those of the next one.
-
-    At most `most` bounds between blocks come to the driver. Rows without an id get blocks of their own, below 0.
-    """
-    n = min(most, max(1, math.ceil(total / block_bytes)))
-    ids = docs.select(F.col(DOC).cast("long").alias(DOC), TEXT, *([F.struct(*carry).alias(CARRY)] if carry else []))
-    bounds = np.unique(np.array(ids.select(DOC).agg(F.percentile_approx(DOC, [k / n for k in range(1, n)], 100 * min(n, 10_000)).alias("q")).first().q or [], np.int64)) if n > 1 else np.zeros(0, np.int64)
+def _place(bounds: np.ndarray):
+    """A column function: how many of the sorted bounds lie below a number; null: -1."""
 
     @F.pandas_udf(T.IntegerType())
-    def block(s):
-        known = s.notna().to_numpy()
+    def place(s):
         out = np.searchsorted(bounds, s.fillna(0).to_numpy().astype(np.int64), "left")
-        return __import__("pandas").Series(np.where(known, out, -1)).astype("int32")
+        return __import__("pandas").Series(np.where(s.notna().to_numpy(), out, -1)).astype("int32")
+
+    return place
 
-    placed = ids.withColumn(BLOCK, F.when(F.col(DOC).isNull(), -1 - F.pmod(F.xxhash64(TEXT), F.lit(n)).cast("int")).otherwise(block(DOC)))
-    return placed.select(BLOCK, DOC, TEXT, *([CARRY] if carry else [])).repartition(min(n, 4 * partitions(docs.sparkSession)) if n > 1 else 1, BLOCK), n
+
+def block_bounds(ids: DataFrame, block_bytes: int) -> np.ndarray:
+    """The last id of each block but the last one: blocks in the order of ids, of about block_bytes of text each.
+
+    Bytes are summed over ranges of ids, some four for each block, and ranges that hold more than a block are divided again
+    until none does or it is a single id, whose rows stay together. The driver sees one number for each range.
+    """
+    size = F.coalesce(F.octet_length(TEXT), F.lit(0))
+    whole = ids.where(F.col(DOC).isNotNull()).agg(F.min(DOC).alias("lo"), F.max(DOC).alias("hi"), F.sum(size).alias("bytes")).first()
+    if whole.lo is None or whole.bytes <= block_bytes:
+        return np.zeros(0, np.int64)
+    # cells: [first, last] with their bytes; Python's integers, as a range of ids can exceed 2**63
+    light, heavy = [], [(whole.lo, whole.hi, whole.bytes)]
+    while heavy:
+        ends, firsts = [], []
+        for a, b, n in heavy:
+            k = min(b - a + 1, max(2, math.ceil(4 * n / block_bytes)))
+            cuts = [a + (b - a + 1) * i // k for i in range(k + 1)]
+            firsts += cuts[:-1]
+            ends += [c - 1 for c in cuts[1:]]
+        # ids between two heavy ranges belong to light ones: ranges without end there take them and are passed over
+        marks = np.unique(np.array([x for a, b in zip(firsts, ends, strict=True) for x in (a - 1, b) if x >= -(2**63)], np.int64))
+        at = ids.where(F.col(DOC).isNotNull()).select(_place(marks)(DOC).alias("cell"), size.alias("size")).groupBy("cell").agg(F.sum("size").alias("bytes"))
+        by_mark = {int(marks[r.cell]): r.bytes for r in at.collect() if 0 <= r.cell < len(marks)}
+        cells = [(a, b, by_mark.get(b, 0)) for a, b in zip(firsts, ends, strict=True)]
+        heavy = [c for c in cells if c[2] > block_bytes and c[1] > c[0]]
+        light += [c for c in cells if not (c[2] > block_bytes and c[1] > c[0])]
+    bounds, held = [], 0
+    for a, _, n in sorted(light):
+        if held and held + n > block_bytes:
+            bounds.append(a - 1)
+            held = 0
+        held += n
+    return np.array(bounds, np.int64)
+
+
+def ordered_blocks(docs: DataFrame, total: int, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(block, doc_id, text, and what is to be carried along as one column): all ids of a block are smaller than those of the next one.
+
+    Blocks are cut by bytes of text (see block_bounds). Rows without an id get blocks of their own, below 0.
+    """
+    ids = docs.select(F.col(DOC).cast("long").alias(DOC), TEXT, *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias(CARRY)] if carry else []))
+    n = max(1, math.ceil(total / block_bytes))
+    bounds = block_bounds(ids, block_bytes)
+    placed = ids.withColumn(BLOCK, F.when(F.col(DOC).isNull(), -1 - F.pmod(F.xxhash64(TEXT), F.lit(n)).cast("int")).otherwise(_place(bounds)(DOC)))
+    return _dealt(placed.select(BLOCK, DOC, TEXT, *([CARRY] if carry else [])), n), n
 
 
 def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -156,7 +241,10 @@ def serve(asked: DataFrame, n_shards: int, answer: Callable[[list[tuple[int, byt
         if not rows or rows[0][0] < 0:
             return table.select(["shard", "block", "body"])
         rows.sort(key=lambda r: r[1])
-        return asks([(s, b, x) for (s, b, _), x in zip(rows, answer([(b, x) for _, b, x in rows]), strict=True)])
+        out = asks([(s, b, x) for (s, b, _), x in zip(rows, answer([(b, x) for _, b, x in rows]), strict=True)])
+        del rows
+        release()
+        return out
 
     spark = asked.sparkSession
     return asked.repartition(max(partitions(spark), n_shards // 2), "shard").groupBy("shard").applyInArrow(one, ASK)
@@ -173,13 +261,21 @@ def with_answers(blocks: DataFrame, answers: DataFrame, f: Callable[[int, pa.Tab
 
     def one(docs: pa.Table, got: pa.Table) -> pa.Table:
         b = docs.column(BLOCK)[0].as_py() if docs.num_rows else None
-        return f(b, in_order(docs), {s: x for s, _, x in rows_of(got)})
+        out = f(b, in_order(docs), {s: x for s, _, x in rows_of(got)})
+        release()
+        return out
 
     return blocks.groupBy(BLOCK).cogroup(answers.withColumnRenamed("block", BLOCK).groupBy(BLOCK)).applyInArrow(lambda a, g: one(a, g.rename_columns(["block" if c == BLOCK else c for c in g.column_names])), schema)
 
 
 def by_block(blocks: DataFrame, f: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return blocks.groupBy(BLOCK).applyInArrow(lambda t: f(t.column(BLOCK)[0].as_py(), in_order(t)), schema)
+
+    def one(docs: pa.Table) -> pa.Table:
+        out = f(docs.column(BLOCK)[0].as_py(), in_order(docs))
+        release()
+        return out
+
+    return blocks.groupBy(BLOCK).applyInArrow(one, schema)
 
 
 def first_seen(rows: list[tuple[int, bytes]], dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._exchange import tidy
+
 #: White space as the Unicode property has it; regex's \s also takes U+001C to U+001F.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -38,7 +40,7 @@ def splitter(pattern: str) -> regex.Pattern:
 class Bpe:
     """ranks: the vocabulary; a token's id is its rank. Pieces and neighbours seen are kept in tables of bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = 400_000, neighbours: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = 120_000, neighbours: int = 200_000):
         self.ranks, self.careful, self.plain = ranks, splitter(pattern), regex.compile(pattern)
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
@@ -90,6 +92,10 @@ class Bpe:
             else:
                 return True
 
+    def forget(self) -> None:
+        self.seen.clear()
+        self.verdict.clear()
+
     def neighbours(self, a: int, b: int) -> bool:
         known = self.verdict.get((a, b))
         if known is None:
@@ -154,7 +160,7 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in blob.splitlines() if line)}
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _loaded(blob: bytes, pattern: str) -> Bpe:
     return Bpe(read_ranks(blob), pattern)
 
@@ -171,6 +177,10 @@ def bpe_round_trip(docs: DataFrame, ranks_file: str, pattern: str, with_ids: boo
 
     def run(batches):
         bpe = _loaded(blob.value, pattern)
+        yield from encoded(bpe, batches)
+        bpe.forget()  # the vocabulary stays for the worker's next task, what was seen in this one goes
+
+    def encoded(bpe, batches):
         for batch in batches:
             n, ids_sha, text_sha, flat = [], [], [], []
             for text in batch.column(1):
@@ -188,4 +198,4 @@ def bpe_round_trip(docs: DataFrame, ranks_file: str, pattern: str, with_ids: boo
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

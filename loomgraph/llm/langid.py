@@ -175,7 +175,7 @@ def fit_languages(docs: DataFrame, lang: str = "lang", sample: int = 8000, most:
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).tolist(), pa.string()), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts))], names=["lang", "kind", "h", "n"])
 
-    counted = chosen.mapInArrow(count, "lang string, kind int, h long, n long").groupBy("kind", "h", "lang").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(X.tidy(count), "lang string, kind int, h long, n long").groupBy("kind", "h", "lang").agg(F.sum("n").alias("n"))
     counted = X.settle(counted)
     sums = {(r.kind, r.lang): r.n for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang_ for _, lang_ in sums})
@@ -206,4 +206,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             lang, score = held.value.predict(Texts.of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(X.tidy(run), "doc_id long, lang_pred string, score double")

@@ -217,7 +217,7 @@ def _tiled(rows: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, links, keys: list[str], per_cent: int) -> DataFrame:
     dealt = rows.repartition(4 * X.partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_groups(links, keys, per_cent), "a long, b long")
+    return dealt.mapInArrow(X.tidy(_groups(links, keys, per_cent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     one = docs.select(F.col("doc_id").cast("long").alias(X.DOC), F.col("text").alias(X.TEXT)).where(F.col("doc_id").isNotNull())
     if not one.groupBy(X.DOC).count().where("count > 1").isEmpty():
         one = one.groupBy(X.DOC).agg(F.min(X.TEXT).alias(X.TEXT))
-    sketch = X.settle(one.mapInArrow(_sketch, "doc_id long, n_shingles long, s0 long, s1 long, keys array<long>, reg binary"))
+    sketch = X.settle(one.mapInArrow(X.tidy(_sketch), "doc_id long, n_shingles long, s0 long, s1 long, keys array<long>, reg binary"))
     classes = sketch.where("n_shingles > 0").groupBy("n_shingles", "s0", "s1").agg(F.min("doc_id").alias("class_id"))
     firsts = sketch.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     bands = firsts.select(F.col("doc_id").alias("a"), F.explode("keys").alias("key"))

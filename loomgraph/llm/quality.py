@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, Texts, Words, mix, powers, prefix_sums
+from ._exchange import tidy
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -141,4 +142,4 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), with_text: bool = Fal
                     names.append("cleaned")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, SCHEMA + ", cleaned string" * with_text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(tidy(run), SCHEMA + ", cleaned string" * with_text)

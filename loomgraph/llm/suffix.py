@@ -23,6 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import _exchange as X
 from ._bytes import Texts, grams, mix
@@ -236,11 +237,12 @@ def _ranks(table: pa.Table) -> np.ndarray:
     return np.unique(table.column(X.DOC).to_numpy(), return_inverse=True)[1].astype(np.int64)
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, mini: int = MINI, carry: tuple[str, ...] = (), block_bytes: int = 1 << 21, shard_bytes: int = 1 << 22) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, mini: int = MINI, carry: tuple[str, ...] = (), with_text: bool = False, block_bytes: int = 1 << 21, shard_bytes: int = 1 << 22) -> DataFrame:
     """Bytes that a window repeats from a document with a smaller doc_id, removed.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and the columns named in carry, a row for each input
-    row.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes), a row for each input row;
+    with_text adds kept_text, without bytes of characters that were cut through. The columns named in carry come along as
+    one struct, `__carry`, so that their names may be any.
 
     Null and empty texts have no bytes. Rows with equal doc_id never remove from each other; rows without doc_id are
     returned whole and remove nothing. What is kept can begin or end within a character. Other columns are ignored.
@@ -295,12 +297,19 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, mini: int = MINI, carry:
         a, z = texts.offs[:-1], texts.offs[1:]
         kept = [texts.buf[i:j][~gone[i:j]].tobytes() if total[j] > total[i] else texts.buf[i:j].tobytes() for i, j in zip(a.tolist(), z.tolist(), strict=True)]
         more = {X.CARRY: table.column(X.CARRY)} if carry else {}
+        if with_text:
+            more["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
         return pa.table(more | {"doc_id": table.column(X.DOC), "n_bytes": z - a, "n_removed": total[z] - total[a], "n_spans": spans[z] - spans[a], "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.binary())})
 
     asked = X.by_block(blocks, ask_minimisers, X.ASK)
     asked = X.with_answers(blocks, X.serve(asked, n_mini, X.answer_elsewhere), ask_strings, X.ASK)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    head = T.StructType()
     if carry:
-        schema = f"{X.CARRY} {blocks.schema[X.CARRY].dataType.simpleString()}, {schema}"
+        head.add(X.CARRY, blocks.schema[X.CARRY].dataType)
+    if with_text:
+        head.add("kept_text", "string")
+    schema = T.StructType(head.fields + T._parse_datatype_string(schema).fields)
     out = X.with_answers(blocks, X.serve(asked, n_text, lambda rows: _serve_strings(rows, window)), cut, schema)
-    return out.select(*[c for c in out.columns if c != X.CARRY], *([f"{X.CARRY}.*"] if carry else []))
+    return out.select(*names, *(["kept_text"] if with_text else []), *([X.CARRY] if carry else []))

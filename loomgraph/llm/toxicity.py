@@ -241,7 +241,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, sample: int = 4000, support:
     parts = [of.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     chosen = X.settle(chosen.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
-    table = chosen.mapInArrow(_stems_of, "stem binary, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    table = chosen.mapInArrow(X.tidy(_stems_of), "stem binary, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rows = table.where((F.col("bad") >= support) & (F.col("bad") >= precise * (F.col("bad") + F.col("good") + 1))).orderBy(F.desc("bad"), "stem").limit(20 * most_stems).collect()
     seen = {bytes(r.stem): (r.bad, r.good) for r in rows}
     stems: dict[bytes, float] = {}
@@ -261,7 +261,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, sample: int = 4000, support:
             x = grammar.features(Texts.of(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "label"])
 
-    got = chosen.mapInArrow(rows_of, "x array<double>, label int").collect()
+    got = chosen.mapInArrow(X.tidy(rows_of), "x array<double>, label int").collect()
     y = np.array([r.label > 0 for r in got], float)
     if 0 < y.sum() < len(y):
         grammar.weight = logistic(np.array([r.x for r in got]), y)
@@ -279,7 +279,7 @@ def toxicity_scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
             score = grammar.score(grammar.features(Texts.of(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(X.tidy(run), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
@@ -290,4 +290,4 @@ def without_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(grammar.score(grammar.features(Texts.of(batch.column(at)))) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(X.tidy(run), docs.schema)
