@@ -14,7 +14,8 @@ Texts with equal sets are one class before any pair is looked at. Classes that
 are estimated to be near in a bucket form groups; a bucket or
 a group of any size is dealt into tiles of about TILE
 classes, and tasks compare pairs of tiles and return a spanning forest of the
-links found there, never the pairs.
+links found there, never the pairs: a tile's own, and between two tiles only
+edges from component to component.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from . import _exchange as X
 from ._bytes import Texts, Words, mix
 from .components import connected_components
 
-SHINGLE, BUCKETS, ROWS, MANTISSA, SMALL, TILE, SLACK = 5, 128, 4, 10, 24, 384, 0.2
+SHINGLE, BUCKETS, ROWS, MANTISSA, SMALL, TILE, VOLUME, SLACK = 5, 128, 4, 10, 24, 768, 400_000, 0.2
 EMPTY = 0xFFFF
 _BITS = 7
 
@@ -130,20 +131,17 @@ def shared(values: np.ndarray, owner: np.ndarray, n: int, i: np.ndarray, j: np.n
     return out
 
 
-def near_pairs(reg: np.ndarray, size: np.ndarray, tile: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within one tile, or else across two, whose sizes allow a link and whose estimate lies less than SLACK below it.
+def near_pairs(reg: np.ndarray, size: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose sizes allow a link and whose estimate lies less than SLACK below it.
 
-    An estimate from full registers strays by 0.04; pairs with a set of up to BUCKETS shingles, whose registers are few, pass.
+    An estimate from full registers strays by 0.04; pairs with a set of up to SMALL shingles, whose registers are few, pass.
     """
     n = len(size)
     rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    across = len(np.unique(tile)) > 1
     step = max(1, (1 << 23) // (BUCKETS * max(n, 1)))
     for a in range(0, n, step):
         i, j = np.meshgrid(np.arange(a, min(n, a + step)), np.arange(n), indexing="ij")
         ok = (j > i) & (100 * np.minimum(size[i], size[j]) >= per_cent * np.maximum(size[i], size[j]))
-        if across:
-            ok &= tile[i] != tile[j]
         i, j = i[ok], j[ok]
         near = estimate(reg[i], reg[j], size[i], size[j]) >= per_cent / 100 - SLACK
         near |= np.minimum(size[i], size[j]) <= SMALL
@@ -152,34 +150,44 @@ def near_pairs(reg: np.ndarray, size: np.ndarray, tile: np.ndarray, per_cent: in
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, id) from each index that the pairs (i, j) reach to the least index of its component."""
-    label = np.arange(len(ids))
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index of each index's component under the pairs (i, j)."""
+    label = np.arange(n)
     while True:
         was = label.copy()
         np.minimum.at(label, i, label[j])
         np.minimum.at(label, j, label[i])
         label = label[label]
         if (label == was).all():
-            break
-    member = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[member], ids[label[member]]
+            return label
+
+
+def forest(ids: np.ndarray, tile: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, id) that join what the pairs (i, j) join. Of one tile, an edge from each index to the least of its component; of
+    two, only edges between components of the tiles, as the task of each tile alone gives the rest."""
+    whole, n = roots(len(ids), i, j), len(ids)
+    if n and (tile != tile[0]).any():
+        inner = tile[i] == tile[j]
+        member = np.unique(roots(n, i[inner], j[inner]))
+        member = member[whole[member] != member]
+    else:
+        member = np.flatnonzero(whole != np.arange(n))
+    return ids[member], ids[whole[member]]
 
 
 def estimated_links(table: pa.Table, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
     reg = np.frombuffer(b"".join(table.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-    i, j = near_pairs(reg, table.column("n_shingles").to_numpy(), table.column("tile").to_numpy(), per_cent)
-    return forest(table.column(X.DOC).to_numpy(), i, j)
+    return forest(table.column(X.DOC).to_numpy(), table.column("tile").to_numpy(), *near_pairs(reg, table.column("n_shingles").to_numpy(), per_cent))
 
 
 def verified_links(table: pa.Table, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links on full sets."""
     values, first = shingle_sets(Texts.of(table.column(X.TEXT)))
     size = np.diff(first)
-    i, j = near_pairs(registers(values, first), size, table.column("tile").to_numpy(), per_cent)
+    i, j = near_pairs(registers(values, first), size, per_cent)
     both = shared(values, np.repeat(np.arange(len(size)), size), len(size), i, j)
     link = 100 * both >= per_cent * (size[i] + size[j] - both)
-    return forest(table.column(X.DOC).to_numpy(), i[link], j[link])
+    return forest(table.column(X.DOC).to_numpy(), table.column("tile").to_numpy(), i[link], j[link])
 
 
 def _groups(links, keys: list[str], per_cent: int):
@@ -208,9 +216,10 @@ def _groups(links, keys: list[str], per_cent: int):
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """rows with tile, and copies for each pair (x, y) of tiles that they take part in; `members` is the size of their group."""
-    tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
-    out = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64(X.DOC), F.col("tiles")).cast("int"))
+    """rows with tile, and copies for each pair (x, y) of tiles that they take part in; `members` and `volume` are the number of
+    classes and of shingles in their group: a tile has about TILE classes and VOLUME shingles at most."""
+    tiles = F.ceil(F.greatest(F.col("members") / F.lit(TILE), F.col("volume") / F.lit(VOLUME))).cast("int")
+    out = rows.withColumn("tiles", F.least(tiles, F.col("members").cast("int"))).withColumn("tile", F.pmod(F.xxhash64(X.DOC), F.col("tiles")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return out.select(X.DOC, "key", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
 
@@ -239,14 +248,17 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75) -> DataFrame:
     bands = firsts.select(F.col("doc_id").alias("a"), F.explode("keys").alias("key"))
     # buckets with the same members are one: what is left of a group of copies is mostly one bucket
     buckets = bands.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("h")).where("lo != hi")
-    distinct = buckets.groupBy("lo", "hi", "n", "h").agg(F.min("key").alias("key")).select("key", F.col("n").alias("members"))
-    placed = _tiled(bands.join(distinct, "key").select(F.col("a").alias(X.DOC), "key", "members"))
+    distinct = buckets.groupBy("lo", "hi", "n", "h").agg(F.min("key").alias("key")).select("key", F.col("n").alias("members"), F.lit(0).alias("volume"))
+    placed = _tiled(bands.join(distinct, "key").select(F.col("a").alias(X.DOC), "key", "members", "volume"))
     near = _linked(placed.join(firsts.select(X.DOC, "n_shingles", "reg"), X.DOC), estimated_links, ["key", "x", "y"], per_cent)
     groups = connected_components(near).select(F.col("id").alias(X.DOC), F.col("component").alias("key"))
-    placed = _tiled(groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key"))
+    sized = groups.join(firsts.select(X.DOC, "n_shingles"), X.DOC)
+    placed = _tiled(sized.join(sized.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("volume")), "key"))
     links = _linked(one.join(placed, X.DOC), verified_links, ["key", "x", "y"], per_cent)
     linked = connected_components(links)
     of_class = classes.join(linked, classes.class_id == linked.id, "left").select("n_shingles", "s0", "s1", F.coalesce("component", "class_id").alias("root"))
-    out = sketch.select("doc_id", "n_shingles", "s0", "s1").join(of_class, ["n_shingles", "s0", "s1"], "left")
+    # rows without words are in no class: they stay out of the join, where they would be one key
+    some = sketch.where("n_shingles > 0").select("doc_id", "n_shingles", "s0", "s1").join(of_class, ["n_shingles", "s0", "s1"], "left").select("doc_id", "n_shingles", "root")
+    out = some.unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("root")))
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

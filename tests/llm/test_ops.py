@@ -102,22 +102,32 @@ def test_decontamination(spark, table, docs, empty, limit):
     assert rows(decontaminate(empty, bench)) == []
 
 
-def test_lm(table, docs, empty):
-    got = {r.doc_id: r for r in backoff_scores(table, prior=7.0, block_bytes=4000, shard_keys=200).collect()}
+@pytest.mark.parametrize(("order", "few"), [(3, 48), (3, 0), (2, 48), (1, 48), (4, 10**6)])
+def test_lm(table, docs, empty, order, few, monkeypatch):
+    from loomgraph.llm import lm
+
+    monkeypatch.setattr(lm, "FEW", few)
+    got = {r.doc_id: r for r in backoff_scores(table, order=order, prior=7.0, block_bytes=4000, shard_keys=200).collect()}
     tokens = {i: [*brute.WORD.findall(brute.lower(t or "")), 0] for i, t in docs}
     train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    one, two, heads = Counter(), Counter(), Counter()
+    seen = Counter()
     for t in train:
-        one.update(t)
-        two.update(zip(["s", *t], t))
-        heads.update(["s", *t[:-1]])
-    n, v = sum(one.values()), len(one)
-    p1 = {w: (one[w] + 0.5) / (n + 0.5 * (v + 1)) for t in tokens.values() for w in t}
+        flow = ["s", *t]
+        for k in range(1, order + 1):
+            seen.update(tuple(flow[a : a + k]) for a in range(len(flow) - k + 1))
+    seen[("s",)] = len(train)
+    n, v = sum(map(len, train)), len({w for t in train for w in t})
+
+    def p(h, w):
+        if not h:
+            return (seen[(w,)] + 0.5) / (n + 0.5 * (v + 1))
+        return (seen[(*h, w)] + 7 * p(h[1:], w)) / (seen[h] + 7)
+
     for i, t in tokens.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
-        assert math.isclose(r.base_score, sum(math.log10(p1[w]) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10((two[h, w] + 7 * p1[w]) / (heads[h] + 7)) for h, w in zip(["s", *t], t)), rel_tol=1e-9)
+        r, flow = got[i], ["s", *t]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(seen[(w,)] > 0 for w in t), n)
+        assert math.isclose(r.base_score, sum(math.log10(p((), w)) for w in t), rel_tol=1e-8)
+        assert math.isclose(r.score, sum(math.log10(p(tuple(flow[max(0, k - order + 1) : k]), w)) for k, w in enumerate(flow) if k), rel_tol=1e-8)
     assert rows(backoff_scores(empty)) == []
 
 
@@ -178,3 +188,45 @@ def test_chat(spark):
     assert got[:3] == [(1, 0, "message", 0, 0, 0), (1, 1, "call", 2, 1, 1), (1, 2, "result", 0, 0, 0)]
     assert got[3:6] == [(2, 0, "orphan", 0, 0, 0), (2, 2, "call", 1, 1, 1), (2, 1, "result", 0, 0, 0)]
     assert len(got) == len(table_)
+
+
+def test_components_of_long_chains(spark):
+    from loomgraph.llm.components import connected_components
+
+    rng = random.Random(8)
+    chain = [(k, k + 1) for k in range(1000)] + [(2000 + 7 * k, 2000 + 7 * k + 7) for k in range(200)]
+    far = [(5000 + k, 9000 - k) for k in range(50)] + [(5000 + k, 5001 + k) for k in range(0, 50, 2)]
+    rng.shuffle(chain)
+    edges = spark.createDataFrame([*chain, *far, (1, 1), (None, 4)], "a long, b long")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in [*chain, *far]:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    assert rows(connected_components(edges)) == sorted((x, root(x)) for x in up)
+
+
+def test_near_duplicates_over_many_tiles(spark, monkeypatch):
+    """A large group of near versions, cut into tiles of three, is one component with few links between tiles."""
+    from loomgraph.llm import minhash
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("bcdfghk") for _ in range(5)) for _ in range(400)]
+    base = [rng.choice(vocab) for _ in range(90)]
+    docs = []
+    for k in range(40):
+        w = list(base)
+        w[rng.randrange(90)] = rng.choice(vocab)
+        docs.append((k, " ".join(w)))
+    docs += [(100 + k, " ".join(rng.choice(vocab) for _ in range(60))) for k in range(20)] + [(200, ""), (201, None), (202, docs[3][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = rows(near_duplicates(df))
+    assert whole == brute.op2(docs)
+    monkeypatch.setattr(minhash, "TILE", 3)
+    monkeypatch.setattr(minhash, "VOLUME", 200)
+    assert rows(near_duplicates(df)) == whole
