@@ -169,12 +169,14 @@ def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
 class Keys:
     """The distinct keys of a block in the order in which it asks: by shard, then by the bytes that are sent.
 
-    width: bytes sent, 4, 6 or 8, below 8 the low ones; the shard stands for the high ones. Four serve where an answer only
-    proposes candidates; with six, one key in some 10**8 of a shard of 2**20 meets another. 8 is taken for shards too many.
+    width: bytes sent, below 8 the low ones; the shard stands for the high ones. Four serve where an answer only proposes
+    candidates; with five, one key in some 10**6 of a shard of 2**20 meets another. Shards too many for that are an error.
+    Bytes go plane by plane: the high ones of sorted keys are runs, which the shuffle's compression takes out.
     """
 
     def __init__(self, keys: np.ndarray, n: int, width: int = 8):
-        width = width if n <= 1 << (64 - 8 * width) else 8
+        if width < 8 and n > 1 << (64 - 8 * width):
+            raise ValueError("more shards than the bits that keys leave for them")
         self.n, self.width = n, width
         if width < 8:
             bits = U64(8 * width)
@@ -185,7 +187,7 @@ class Keys:
 
     def body(self, s: int) -> bytes:
         part = self.sorted[self.edges[s] : self.edges[s + 1]]
-        return np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
+        return np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, : self.width].T).tobytes()
 
     def bodies(self) -> Iterator[tuple[int, np.ndarray]]:
         for s in range(self.n):
@@ -205,9 +207,9 @@ class Keys:
 
 
 def unpacked(body: bytes, count: int, width: int, at: int = 0) -> np.ndarray:
-    """Keys of `width` bytes as numbers."""
+    """Keys of `width` planes of bytes as numbers."""
     out = np.zeros((count, 8), np.uint8)
-    out[:, :width] = np.frombuffer(body, np.uint8, count * width, at).reshape(count, width)
+    out[:, :width] = np.frombuffer(body, np.uint8, count * width, at).reshape(width, count).T
     return out.view(U64).ravel()
 
 

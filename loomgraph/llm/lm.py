@@ -1,21 +1,26 @@
 """Language-model scoring by a weighted backoff automaton.
 
-States are histories. A seen n-gram is an arc that carries its smoothed
-probability; a failure arc leads from a history to the one that is a word
-shorter and carries what the seen arcs leave. One walk from left to right
-carries the state and adds up the weights. Smoothing is by a Dirichlet prior on
-the shorter history,
+States are histories of up to order - 1 tokens. A seen n-gram is an arc from its
+history that carries its smoothed log probability and leads to the longest
+history that is a state; a failure arc leads from a history to the one that is a
+word shorter and carries the weight that its seen arcs leave. A text is read once
+from left to right: the traversal carries the state, takes the arc of the next
+token or else failure arcs until one has it, and adds up their weights. Smoothing
+is by a Dirichlet prior on the shorter history,
 
     p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m),
 
-so a state needs counts only and every state's weights sum to one. The automaton
-grows with the corpus and is never in one place: its counts lie in shards, and a
-block of documents fetches the states and arcs that its walks can touch.
+so a failure arc weighs m / (c(h) + m) and every state's weights sum to one. The
+whole automaton grows with the corpus and is never in one place: its counts lie
+in shards, and a block of documents fetches those of its own n-grams, which are
+all that its traversals can touch, and compiles them.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,15 @@ from ._bytes import Texts, Words, mix
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _ORDER = np.random.default_rng(8).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Log weights are multiples of this, so that sums do not depend on their order.
+GRAIN = 2.0**-32
+#: With fewer texts than this left, they are read one after the other.
+FEW = 48
+ROOT, BEGIN = 0, 1
+
+
+def grained(p: np.ndarray) -> np.ndarray:
+    return np.floor(np.log10(p) / GRAIN + 0.5) * GRAIN
 
 
 class _Tokens:
@@ -57,14 +71,110 @@ class _Tokens:
             self.grams.append(mix(history[at], 20 + k))
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 200.0, fold: int = 5, held: int = 1, block_bytes: int = 3 << 20, shard_keys: int = 1 << 20) -> DataFrame:
+class Automaton:
+    """The states and arcs that a block's tokens can touch.
+
+    which[k - 1] gives for each place the index of the distinct k-gram that ends there, counts[k - 1] the training count of each.
+    Arcs are sorted by state and token; a token is the index of its 1-gram."""
+
+    def __init__(self, tokens: _Tokens, which: list[np.ndarray], counts: list[np.ndarray], prior: float, n_train: int, n_words: int):
+        self.token, self.tokens = which[0], tokens
+        one = (counts[0] + 0.5) / (n_train + 0.5 * (n_words + 1))
+        self.base = grained(one)
+        self.unknown = float(grained(np.array(0.5 / (n_train + 0.5 * (n_words + 1)))))
+        seen = counts[0] > 0
+        texts = int(counts[0][self.token[tokens.first[1:] - 1]].max(initial=0))  # as many ends as starts
+        state = np.where(seen, 2 + np.cumsum(seen) - 1, ROOT)
+        held = [np.zeros(1), np.array([texts]), counts[0][seen]]  # training count of each state's history
+        fail = [np.zeros(2, np.int64), np.zeros(int(seen.sum()), np.int64)]
+        last = len(counts)
+        keys, to, weight = [np.flatnonzero(seen)], [state[seen] if last > 1 else np.zeros(int(seen.sum()), np.int64)], [self.base[seen]]
+        shorter, p, states = state, one, 2 + int(seen.sum())
+        spread = max(1, len(counts[0]))
+        for k in range(2, last + 1):
+            place = np.zeros(len(counts[k - 1]), np.int64)
+            at = tokens.at[k - 1]
+            place[which[k - 1][at]] = at  # where one of its occurrences ends
+            seen = counts[k - 1] > 0
+            begin = tokens.step[place - 1] == 0
+            history = np.where(begin, BEGIN, shorter[which[k - 2][place - 1]])
+            of = np.where(begin, texts, counts[k - 2][which[k - 2][place - 1]])
+            suffix = which[k - 2][place]
+            p = (counts[k - 1] + prior * p[suffix]) / (of + prior)
+            state = np.where(seen, states + np.cumsum(seen) - 1, ROOT)
+            keys.append(history[seen] * spread + self.token[place[seen]])
+            to.append(state[seen] if k < last else shorter[suffix[seen]])
+            weight.append(grained(p[seen]))
+            if k < last:
+                held.append(counts[k - 1][seen])
+                fail.append(shorter[suffix[seen]])
+                states += int(seen.sum())
+                shorter = state
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        self.keys, self.to, self.weight = np.concatenate(keys)[order], np.concatenate(to)[order], np.concatenate(weight)[order]
+        self.begin = BEGIN if last > 1 else ROOT
+        self.fail, self.loss = np.concatenate(fail), grained(prior / (np.concatenate(held) + prior))
+        self.loss[ROOT], self.spread = self.unknown, spread
+
+    def read(self) -> np.ndarray:
+        """The weight of each text."""
+        first, length = self.tokens.first[:-1] + 1, self.tokens.size - 1
+        order = np.argsort(-length, kind="stable")
+        begin, total, state = first[order], np.zeros(len(order)), np.full(len(order), self.begin)
+        ends = length[order]
+        step, most = 0, len(self.keys) - 1
+        while step < (ends[0] if len(ends) else 0):
+            n = int(np.searchsorted(-ends, -step, "left"))  # texts that have this token
+            if n < FEW:
+                break
+            token = self.token[begin[:n] + step]
+            left = np.arange(n)
+            while len(left):
+                s = state[left]
+                key = s * self.spread + token[left]
+                at = np.minimum(np.searchsorted(self.keys, key), most) if most >= 0 else np.zeros(len(left), np.int64)
+                hit = self.keys[at] == key if most >= 0 else np.zeros(len(left), bool)
+                took = left[hit]
+                total[took] += self.weight[at[hit]]
+                state[took] = self.to[at[hit]]
+                missed = left[~hit]
+                total[missed] += self.loss[s[~hit]]
+                state[missed] = self.fail[s[~hit]]
+                left = missed[s[~hit] != ROOT]  # at the root an unknown token is read by the failure itself
+            step += 1
+        rest = int(np.searchsorted(-ends, -step, "left"))
+        if rest:
+            keys, to, weight, fail, loss = (x.tolist() for x in (self.keys, self.to, self.weight, self.fail, self.loss))
+            for k in range(rest):
+                s, sum_ = int(state[k]), float(total[k])
+                for token in self.token[begin[k] + step : begin[k] + ends[k]].tolist():
+                    while True:
+                        key = s * self.spread + token
+                        at = bisect_left(keys, key)
+                        if at <= most and keys[at] == key:
+                            sum_ += weight[at]
+                            s = to[at]
+                            break
+                        sum_ += loss[s]
+                        if s == ROOT:
+                            break
+                        s = fail[s]
+                total[k] = sum_
+        out = np.zeros(len(order))
+        out[order] = total
+        return out
+
+
+def backoff_scores(docs: DataFrame, order: int = 3, prior: float = 50.0, fold: int = 5, held: int = 1, block_bytes: int = 3 << 20, shard_keys: int = 1 << 20) -> DataFrame:
     """log10 probability of each text under a model learned from all documents outside the held-out fold.
 
     Tokens are lower-cased words and one end; a document is held out if crc32(doc_id as text) mod `fold` is `held`.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigrams) and score, a row for each
-    input row. Null and empty texts are the end token alone. Rows without doc_id are held out. Repeated rows count as often
-    as they stand. Without any training text every token is unknown: base_score and score then come from counts of zero.
+    input row; a token's weights are rounded to multiples of GRAIN. Null and empty texts are the end token alone. Rows without
+    doc_id are held out. Repeated rows count as often as they stand. Without any training text every token is unknown:
+    base_score and score then come from counts of zero. N-grams of two and more tokens are told apart by a hash of 40 bits in
+    a shard; a shard holds some shard_keys of them, so that one in a million shares its count with another.
     """
     if not 1 <= order <= 8:
         raise ValueError("order must be from 1 to 8")
@@ -73,11 +183,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 200.0, fold:
     n = max(1, math.ceil(order * total / 8 / shard_keys))
 
     def width(k: int) -> int:
-        return 6 if k and n <= 1 << 16 else 8
+        return 5 if k else 8
 
     def held_out(table: pa.Table) -> np.ndarray:
-        import zlib
-
         return np.array([i is None or zlib.crc32(str(i).encode()) % fold == held for i in table.column(X.DOC).to_pylist()], bool)
 
     def ask(b: int, table: pa.Table) -> pa.Table:
@@ -114,33 +222,26 @@ def backoff_scores(docs: DataFrame, order: int = 2, prior: float = 200.0, fold:
         tokens = _Tokens(Texts.of(table.column(X.TEXT)), order)
         head = np.array([np.frombuffer(x, np.int64, 2) for x in got.values()])
         n_train, n_words = (head.sum(axis=0) if len(head) else np.zeros(2)).astype(np.int64).tolist()
-        place = dict.fromkeys(got, 16)
-        width_of = len(tokens.step)
-        previous = np.zeros(width_of, np.int64)
-        for k, (at, grams) in enumerate(zip(tokens.at, tokens.grams, strict=True), 1):
-            keys = X.Keys(grams, n, width(k - 1))
+        place, which, counts = dict.fromkeys(got, 16), [], []
+        for k, (at, grams) in enumerate(zip(tokens.at, tokens.grams, strict=True)):
+            keys = X.Keys(grams, n, width(k))
             sizes = np.diff(keys.edges)
-            c = np.zeros(width_of, np.int64)
-            given = {}
+            c = np.zeros(len(keys.sorted), np.int64)
             for s, x in got.items():
-                given[s], place[s] = X.unpacked_counts(x, int(sizes[s]), place[s])
-            c[at] = keys.answers(given, np.int64)
-            if k == 1:
-                word = (c + 0.5) / (n_train + 0.5 * (n_words + 1))
-                state, known = word.copy(), c > 0
-                ends = c[tokens.first[1:] - 1]
-                c[tokens.first[:-1]] = ends  # a start stands before each text, as an end stands after it
-            else:
-                history = previous[at - 1]
-                fail = prior / (history + prior)
-                arc = c[at] / (history + prior)
-                state[at] = arc + fail * state[at]
-            previous = c
-        real = tokens.step >= 1
-        ends = tokens.first[:-1]
-        total_of = lambda x: np.add.reduceat(np.where(real, x, 0), ends) if len(ends) else np.zeros(0)
-        count_tokens = tokens.size - 1
-        return pa.table({"doc_id": table.column(X.DOC), "held_out": pa.array(held_out(table)), "n_tokens": pa.array(count_tokens, pa.int64()), "n_known": pa.array(total_of(known).astype(np.int64)), "train_tokens": pa.array(np.full(len(ends), n_train, np.int64)), "base_score": pa.array(total_of(np.log10(np.where(real, word, 1)))), "score": pa.array(total_of(np.log10(np.where(real, state, 1))))})
+                c[keys.edges[s] : keys.edges[s + 1]], place[s] = X.unpacked_counts(x, int(sizes[s]), place[s])
+            index = np.full(len(tokens.step), -1, np.int64)
+            index[at] = keys.inverse
+            which.append(index)
+            counts.append(c)
+        texts, real = len(tokens.size), tokens.step >= 1
+        if texts:
+            automaton = Automaton(tokens, which, counts, prior, n_train, n_words)
+            score = automaton.read()
+            sums = lambda x: np.add.reduceat(np.where(real, x, 0), tokens.first[:-1])
+            base, known = sums(automaton.base[which[0]]), sums(counts[0][which[0]] > 0).astype(np.int64)
+        else:
+            score, base, known = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        return pa.table({"doc_id": table.column(X.DOC), "held_out": pa.array(held_out(table)), "n_tokens": pa.array(tokens.size - 1, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array(np.full(texts, n_train, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     answers = X.serve(X.by_block(blocks, ask, X.ASK), n, count)
     return X.with_answers(blocks, answers, walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
