@@ -280,15 +280,6 @@ def by_block(blocks: DataFrame, f: Callable[[int, pa.Table], pa.Table], schema:
     return blocks.groupBy(BLOCK).applyInArrow(one, schema)
 
 
-def first_seen(rows: list[tuple[int, bytes]], dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys of all rows, the smallest block of each key, where each row's keys end); rows come by block."""
-    parts = [np.frombuffer(x, dtype) for _, x in rows]
-    keys = np.concatenate(parts) if parts else np.zeros(0, dtype)
-    block = np.repeat([b for b, _ in rows], [len(p) for p in parts])
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return keys, block[first][inverse], np.cumsum([len(p) for p in parts])
-
-
 def answer_elsewhere(rows: list[tuple[int, bytes]]) -> list[bytes]:
     """A bit for each 4-byte key: whether another block has it too."""
     parts = [np.frombuffer(x, np.uint32) for _, x in rows]
@@ -297,8 +288,3 @@ def answer_elsewhere(rows: list[tuple[int, bytes]]) -> list[bytes]:
     many = (counts > 1)[inverse]
     return [np.packbits(x).tobytes() for x in np.split(many, np.cumsum([len(p) for p in parts])[:-1])]
 
-
-def answer_earlier(rows: list[tuple[int, bytes]]) -> list[bytes]:
-    """A bit for each 8-byte key: whether an earlier block has it too."""
-    keys, first, ends = first_seen(rows, np.uint64)
-    return [np.packbits(x < b).tobytes() for (b, _), x in zip(rows, np.split(first, ends[:-1]), strict=True)]

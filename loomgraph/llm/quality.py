@@ -1,8 +1,10 @@
 """Quality rules, lines first.
 
-Each line that has a word is judged by its punctuation, as navigation and as
-boilerplate; lines that fail are removed, and a document that loses too much of
-its text, or fails the base rules on words, is rejected.
+Each line that has a word is judged: by its punctuation (symbols, runs of ! and
+?), as navigation (menus and trails of short entries, lines of links) and as
+boilerplate (a line that the text has already had, a short line with a phrase of a
+list, which is a parameter). Lines that fail are removed, and a document that
+loses too much of its text, or fails the base rules on words, is rejected.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 LOUD = np.zeros(256, bool)
 LOUD[list(b"!?")] = True
-#: Phrases of lines that are not prose.
+#: Phrases of licence, notice and consent lines.
 BOILERPLATE = ("all rights reserved", "licensed under the", "released under the", "this work is licensed", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "enable javascript", "copyright (c)", "©", "redistribution and use in source", "permission is hereby granted")
-NAVIGATION = ("home |", "| home", "home >", "sign in", "log in", "sign up", "subscribe now", "click here", "read more", "next page", "previous page", "back to top", "skip to content", "share this", "main menu")
+#: What stands between the entries of a menu or a trail, and what a link begins with or has inside.
+SEPARATORS = ("|", ">", "»", "·", "•")
+LINKS = ("://", "www.")
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,12 @@ class Rules:
     loud_per_word: float = 0.3
     #: Navigation and boilerplate lines are short.
     boilerplate_words: int = 30
+    #: A menu has so many separators at least, and so many words for each entry at most.
+    menu_separators: int = 2
+    menu_words: int = 3
+    #: Of the words of a line, the per cent that are links above which it fails.
+    link_per_cent: int = 50
+    boilerplate: tuple[str, ...] = BOILERPLATE
     #: Of a document's words, the share in failed lines above which it is rejected.
     lost_per_cent: int = 50
 
@@ -106,8 +116,15 @@ def measure(texts: Texts, rules: Rules) -> dict[str, np.ndarray]:
     runs = totals(runs)
     failed = (symbols[z] - symbols[a] > rules.symbols_per_word * words) | (runs[z] - runs[a] > rules.loud_per_word * words)
     low = LOWER[buf].tobytes()
-    found = np.sort(np.concatenate([_phrases(low, BOILERPLATE), _phrases(low, NAVIGATION)]))
-    failed |= (words <= rules.boilerplate_words) & (np.searchsorted(found, z) > np.searchsorted(found, a))
+    within = lambda at: np.searchsorted(at, z) - np.searchsorted(at, a)
+    few = words <= rules.boilerplate_words
+    failed |= few & (within(np.sort(_phrases(low, rules.boilerplate))) > 0)
+    marks = within(np.sort(_phrases(low, SEPARATORS)))
+    failed |= few & (marks >= rules.menu_separators) & (words <= rules.menu_words * (marks + 1))
+    at = _phrases(low, LINKS)
+    linked = np.unique(np.searchsorted(w.start, at, "right") - 1) if len(w) else np.zeros(0, np.int64)
+    links = np.bincount(np.searchsorted(first, linked, "right") - 1, minlength=len(first)) if len(linked) else np.zeros(len(first), np.int64)
+    failed |= 100 * links > rules.link_per_cent * words
     failed |= again
     out["lost_words"] = _per(owner[failed], words[failed], n)
     out["failed_lines"] = np.stack([a[failed], z[failed]], axis=1)

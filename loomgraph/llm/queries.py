@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .bpe import bpe_round_trip
 from .chat import format_chat
 from .decontam import decontaminate
@@ -81,4 +82,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_byte_bpe, op4_language_id, op5_chat_format, op6_quality_rules, op7_suffix_dedup, op8_lm_scores, op9_decontamination, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Learned scores (op1, op4), merges (op3) and variants (op5) have no SQL: tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = oracle.SQL

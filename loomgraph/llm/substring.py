@@ -4,8 +4,9 @@ Positions of words are taken modulo PERIOD. COVER is a difference cover: for any
 two positions there is a shift below PERIOD that brings both onto the cover. So
 two equal windows of WINDOW words share an equal stretch of ANCHOR words that
 begins at a cover position of either text, and hashing only those stretches
-(three positions in seven) finds every repeat. What surrounds a repeated anchor
-is then extended to whole windows and compared by an independent 64-bit hash.
+(three positions in seven) finds every repeat. A stretch that another text has
+too is extended, to the left and to the right, to all windows that hold it; those
+are compared by two independent 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _exchange as X
-from ._bytes import Texts, Words, mix
+from ._bytes import Texts, Words
 
 PERIOD, COVER = 7, (0, 1, 3)
 WINDOW = 13
@@ -40,15 +41,53 @@ def _anchors(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
     return at, g[at]
 
 
-def _around(w: Words, h: np.ndarray, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that hold an anchor at one of the places `at`: word indexes and hashes."""
+class Distinct:
+    """The distinct 128-bit keys (a, b) in the order in which a block asks for them: by shard, then by key."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: int = 1):
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        self.inverse = np.empty(len(x), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.a, self.b, self.n = x[new], y[new], n
+        self.edges = np.searchsorted(X.shard_of(self.a, n), np.arange(n + 1))
+
+    def bodies(self):
+        for s in range(self.n):
+            i, j = self.edges[s], self.edges[s + 1]
+            if j > i:
+                yield s, b"".join(np.ascontiguousarray(x[i:j].view(np.uint8).reshape(-1, 8).T).tobytes() for x in (self.a, self.b))
+
+    def bits(self, given: dict[int, bytes]) -> np.ndarray:
+        out = np.zeros(len(self.a), bool)
+        for s, body in given.items():
+            i, j = self.edges[s], self.edges[s + 1]
+            out[i:j] = np.unpackbits(np.frombuffer(body, np.uint8), count=int(j - i))
+        return out[self.inverse]
+
+
+def _answer_earlier(rows: list[tuple[int, bytes]]) -> list[bytes]:
+    """A bit for each key of each block, which come in order: whether an earlier block has it too."""
+    sizes = [len(body) // 16 for _, body in rows]
+    a, b = (np.concatenate([X.unpacked(body, n, 8, 8 * n * k) for (_, body), n in zip(rows, sizes, strict=True)]) for k in (0, 1))
+    block = np.repeat([x for x, _ in rows], sizes)
+    inverse = Distinct(a, b).inverse
+    least = np.full(int(inverse.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, inverse, block)
+    return [np.packbits(x).tobytes() for x in np.split(least[inverse] < block, np.cumsum(sizes)[:-1])]
+
+
+def _around(w: Words, h: np.ndarray, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that hold an anchor at one of the places `at`: word indexes and two hashes of each."""
     mark = np.zeros(len(h) + PERIOD + 1, np.int32)
     mark[at + 1] = 1
     total = np.cumsum(mark)
     g, ok = w.windows(h, window, 2)
     ok &= total[PERIOD : PERIOD + len(h)] > total[: len(h)]
     where = np.flatnonzero(ok)
-    return where, g[where]
+    return where, g[where], w.windows(h, window, 3)[0][where] if len(where) else g[where]
 
 
 class _Block:
@@ -65,16 +104,17 @@ class _Block:
             base += len(h)
         self.anchors = np.concatenate(anchors) if anchors else np.zeros(0, np.uint64)
 
-    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows around the anchors for which `wanted` holds: places, documents and hashes."""
-        places, owners, keys, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows around the anchors for which `wanted` holds: places, documents and two hashes of each."""
+        places, owners, keys, checks, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
         for first, base, w, h, at in self.parts:
-            where, key = _around(w, h, self.window, at[wanted[k : k + len(at)]])
+            where, key, check = _around(w, h, self.window, at[wanted[k : k + len(at)]])
             k += len(at)
             places.append(where + base)
             owners.append(first + np.searchsorted(w.first, where, "right") - 1)
             keys.append(key)
-        return np.concatenate(places), np.concatenate(owners), np.concatenate(keys)
+            checks.append(check)
+        return np.concatenate(places), np.concatenate(owners), np.concatenate(keys), np.concatenate(checks)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = 1 << 21, shard_keys: int = 1 << 20) -> DataFrame:
@@ -102,8 +142,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = 1
             return X.asks([])
         block = _Block(table, window)
         elsewhere = X.Keys(block.anchors, n_anchor, 4).bits(got)
-        _, _, keys = block.windows(elsewhere)
-        return X.asks([(s, b, x.tobytes()) for s, x in X.Keys(keys, n_window).bodies()] + [(-1 - b, b, np.packbits(elsewhere).tobytes())])
+        _, _, *keys = block.windows(elsewhere)
+        return X.asks([(s, b, x) for s, x in Distinct(*keys, n_window).bodies()] + [(-1 - b, b, np.packbits(elsewhere).tobytes())])
 
     def cut(b: int | None, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         n = table.num_rows
@@ -118,13 +158,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = 1
                 elsewhere = np.unpackbits(np.frombuffer(got.pop(-1 - b, b""), np.uint8))[: len(block.anchors)].astype(bool)
                 if len(elsewhere) < len(block.anchors):
                     elsewhere = np.zeros(len(block.anchors), bool)
-                at, _, keys = block.windows(elsewhere)
-                hit = at[X.Keys(keys, n_window).bits(got)]
+                at, _, *keys = block.windows(elsewhere)
+                hit = at[Distinct(*keys, n_window).bits(got)]
                 own = X.Keys(block.anchors, n_anchor, 4)
-                at, owner, keys = block.windows((own.counts > 1)[own.inverse])
+                at, owner, *keys = block.windows((own.counts > 1)[own.inverse])
                 ids = table.column(X.DOC).to_numpy()[owner] if len(owner) else np.zeros(0, np.int64)
-                _, inverse = np.unique(keys, return_inverse=True)
-                least = np.full(len(keys), np.iinfo(np.int64).max)
+                inverse = Distinct(*keys).inverse
+                least = np.full(len(inverse), np.iinfo(np.int64).max)
                 np.minimum.at(least, inverse, ids)
                 hit = np.concatenate([hit, at[ids > least[inverse]]])
                 mark = np.zeros(int(words.sum()) + window + 1, np.int32)
@@ -143,4 +183,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = 1
 
     asked = X.by_block(blocks, ask_anchors, X.ASK)
     asked = X.with_answers(blocks, X.serve(asked, n_anchor, X.answer_elsewhere), ask_windows, X.ASK)
-    return X.with_answers(blocks, X.serve(asked, n_window, X.answer_earlier), cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return X.with_answers(blocks, X.serve(asked, n_window, _answer_earlier), cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

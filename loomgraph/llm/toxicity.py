@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A lexical transducer reads a word's letters and writes its class: insult, threat,
-target, negation, reported speech or other. Machines for negation, for reported
-speech and for clauses are composed into one, which reads classes and writes, at
+target, negation, reported speech or other. Machines for negation, reported
+speech, targets, insults and threats, each of which reads what the one before it
+writes, are composed into one, which reads classes and writes, at
 the end of each clause, what the clause does: insults or threatens a target, or
 nobody in particular, denies it, or reports it. A text's score is a logistic
 function of its weighted clauses.
@@ -106,21 +107,42 @@ def reported() -> Machine:
     return Machine(False, step)
 
 
-def clause() -> Machine:
-    """Writes at the end of a clause the kind of its gravest match, or None."""
-    grave = {("denied",): 1, ("reported",): 2, INSULT: 3, THREAT: 4}
+def target() -> Machine:
+    """Takes targets out and says at the end of a clause whether it had one."""
 
-    def step(state, symbol):
-        aimed, worst = state
+    def step(aimed, symbol):
         if symbol == END:
-            kind = (None, 2, 3, 1 if aimed else 0, 5 if aimed else 4)[worst]
-            return (False, 0), kind
-        return (aimed or symbol == TARGET, max(worst, grave.get(symbol, 0))), None
+            return False, (END, aimed)
+        return (True, OTHER) if symbol == TARGET else (aimed, symbol)
 
-    return Machine((False, 0), step)
+    return Machine(False, step)
+
+
+def insult() -> Machine:
+    """Takes insults out, marked ones too, and adds the gravest of them to the end of the clause."""
+    grave = {("denied",): 1, ("reported",): 2, INSULT: 3}
+
+    def step(worst, symbol):
+        if isinstance(symbol, tuple) and symbol[0] == END:
+            return 0, (*symbol, worst)
+        return (max(worst, grave[symbol]), OTHER) if symbol in grave else (worst, symbol)
+
+    return Machine(0, step)
+
+
+def threat() -> Machine:
+    """Takes threats out and writes at the end of a clause its kind, or None."""
+
+    def step(seen, symbol):
+        if isinstance(symbol, tuple) and symbol[0] == END:
+            _, aimed, worst = symbol
+            return False, (5 if aimed else 4) if seen else (None, 2, 3, 1 if aimed else 0)[worst]
+        return seen or symbol == THREAT, None
+
+    return Machine(False, step)
 
 
-GRAMMAR = negation() >> reported() >> clause()
+GRAMMAR = negation() >> reported() >> target() >> insult() >> threat()
 _TO, _OUT = GRAMMAR.table(range(7))
 _KIND = np.array([[-1 if x is None else x for x in row] for row in _OUT])
 

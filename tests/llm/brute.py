@@ -115,3 +115,30 @@ def op9(docs, items, window=10):
                     ids |= wins[tuple(w[k : k + n])]
         out.append((i, len(w), len(hit), len(ids), sha(",".join(sorted(ids)).encode()), bool(hit)))
     return sorted(out, key=str)
+
+
+PHRASES = ("all rights reserved", "licensed under the", "released under the", "this work is licensed", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "enable javascript", "copyright (c)", "©", "redistribution and use in source", "permission is hereby granted")
+
+
+def op6_lines(docs):
+    """(doc_id, base_failed, lost_words, kept) by the rules on lines, one line at a time."""
+    failed = {r[0]: r[-1] for r in op6(docs)}
+    out = []
+    for i, t in docs:
+        seen, lost = set(), 0
+        for line in (t or "").split("\n"):
+            n = len(WORD.findall(line))
+            if not n:
+                continue
+            low = lower(line)
+            loud = sum(a in "!?" and b in "!?" for a, b in zip(line, line[1:]))
+            marks = sum(line.count(c) for c in "|>»·•")
+            bad = line in seen or sum(line.count(c) for c in "#*$%&|<>") > 0.3 * n or loud > 0.3 * n
+            bad |= n <= 30 and any(p in low for p in PHRASES)
+            bad |= n <= 30 and marks >= 2 and n <= 3 * (marks + 1)
+            bad |= 100 * sum("://" in w or "www." in w for w in WORD.findall(low)) > 50 * n
+            seen.add(line)
+            lost += n * bad
+        words = len(WORD.findall(t or ""))
+        out.append((i, failed[i], lost, not failed[i] and 100 * lost <= 50 * words))
+    return sorted(out)

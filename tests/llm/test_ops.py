@@ -230,3 +230,123 @@ def test_near_duplicates_over_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 3)
     monkeypatch.setattr(minhash, "VOLUME", 200)
     assert rows(near_duplicates(df)) == whole
+
+
+def chat_rows(rng, n=60):
+    """Conversations with calls, results before and after them, chains, cycles, orphans, repeated ids and repeated turns."""
+    out = []
+    for c in range(n):
+        for turn in range(rng.randint(1, 12)):
+            kind, ids = rng.random(), [f"c{rng.randrange(6)}" for _ in range(2)]
+            if kind < 0.3:
+                out.append((c, turn, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "add", "arguments": rng.choice([{"x": 1}, {"x": "s"}, "{}"])} for i in ids[: rng.randint(1, 2)]]})))
+            elif kind < 0.6:
+                body = {"tool_call_id": ids[0], "content": "r"}
+                if rng.random() < 0.5:
+                    body["tool_calls"] = [{"id": ids[1], "name": "add", "arguments": {"x": 2}}]
+                out.append((c, turn, "tool", json.dumps(body)))
+            else:
+                out.append((c, turn, "user", rng.choice(["hi", "", None, "{bad"])))
+            if rng.random() < 0.2 and out[-1][3]:
+                out.append(out[-1])
+    return out
+
+
+def plain_chat(table_):
+    """(conv, turn, n_calls, n_answered, n_invalid, link, order_turn, order_step) of each message, by following links one by one."""
+    parsed = []
+    for k, (c, t, role, text) in enumerate(table_):
+        try:
+            v = json.loads(text or "") if (text or "").lstrip().startswith("{") else {}
+        except ValueError:
+            v = {}
+        parsed.append((k, c, t, v.get("tool_calls") or [], v.get("tool_call_id") if role == "tool" else None))
+    first = {}
+    for k, c, t, calls, _ in parsed:
+        for call in calls:
+            key = c, call["id"]
+            if key not in first or (t, k) < first[key]:
+                first[key] = t, k
+    answered = {(c, r) for _, c, _, _, r in parsed if r is not None}
+    up = {k: first[c, r][1] for k, c, _, _, r in parsed if r is not None and (c, r) in first}
+    turn = {k: t for k, _, t, _, _ in parsed}
+
+    def place(k):
+        seen = []
+        while k in up and k not in seen:
+            seen.append(k)
+            k = up[k]
+        if k in seen:
+            return None
+        at = (turn[k], 0)
+        for m in reversed(seen):
+            at = (turn[m], 0) if turn[m] > at[0] else (at[0], at[1] + 1)
+        return at
+
+    out = []
+    for k, c, t, calls, r in parsed:
+        bad = sum(not isinstance(json.loads(x["arguments"]) if isinstance(x["arguments"], str) else x["arguments"], dict) or (json.loads(x["arguments"]) if isinstance(x["arguments"], str) else x["arguments"]).get("x") not in (1, 2) for x in calls)
+        at = place(k)
+        link = ("orphan" if k not in up else "cycle" if at is None else "result") if r is not None else "call" if calls else "message"
+        turn_, step = at if k in up and at else (t, 0)
+        out.append((c, t, len(calls), sum((c, x["id"]) in answered for x in calls), bad, link, turn_, step))
+    return sorted(out)
+
+
+def test_chat_against_a_plain_version(spark):
+    table_ = chat_rows(random.Random(21))
+    df = spark.createDataFrame(table_, "conv_id long, turn long, role string, text string").coalesce(1)
+    schemas = spark.createDataFrame([("add", "x", "integer", True)], "name string, param string, type string, required boolean")
+    got = sorted(tuple(r) for r in format_chat(df, schemas).select("conv_id", "turn", "n_calls", "n_answered", "n_invalid", "link", "order_turn", "order_step").collect())
+    want = plain_chat(table_)
+    assert {"orphan", "cycle", "result", "call", "message"} <= {r[5] for r in want} and max(r[7] for r in want) > 1
+    assert got == want
+
+
+def test_chat_chain_of_two_and_odd_tables(spark):
+    call = lambda i: json.dumps({"tool_calls": [{"id": i, "name": "add", "arguments": {"x": 1}}]})
+    both = json.dumps({"tool_call_id": "b", "tool_calls": [{"id": "a", "name": "add", "arguments": {"x": 1}}]})
+    rows_ = [(1, 1, "tool", '{"tool_call_id":"a"}'), (1, 2, "tool", both), (1, 5, "assistant", call("b"))]
+    schema = "conv_id long, turn long, role string, text string"
+    schemas = spark.createDataFrame([("add", "x", "integer", True)], "name string, param string, type string, required boolean")
+    extra = spark.createDataFrame([(*r, 1, "k") for r in rows_], schema + ", mid int, link string")
+    got = {r.turn: (r.order_turn, r.order_step) for r in format_chat(extra, schemas).collect()}
+    assert got == {5: (5, 0), 2: (5, 1), 1: (5, 2)}
+    assert format_chat(spark.createDataFrame([], schema), schemas).count() == 0
+
+
+def test_quality_lines(spark, docs):
+    from loomgraph.llm.quality import quality_rules as rules
+
+    own = [*docs, (900, "Home | News | About us\nReal words come here and go on, as they do. " * 8), (901, "see https://a.b/c www.x.y\n" + "good words and more of them, said the man. " * 9), (902, "All Rights Reserved.\n" + "plain text of some length " * 20), (903, "one » two » three\n" * 3 + "words " * 60), (904, "!!!! what ???? !!! no\n" + "calm words " * 40), (905, "*** ### $$$\n" * 10 + "w " * 20), (906, "\n".join(f"a{k} | b{k} | c{k}" for k in range(20)) + "\nand then some plain words.")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in own], "doc_id long, text string, kept string").repartition(2)
+    got = rows(rules(df).select("doc_id", "base_failed", "lost_words", "kept"))
+    assert got == brute.op6_lines(own)
+    assert any(r[2] > 0 and r[3] for r in got) and any(r[2] > 0 and not r[3] and not r[1] for r in got)
+    cleaned = {r.doc_id: r.cleaned for r in rules(df, with_text=True).collect()}
+    assert cleaned[902].startswith("plain text") and "|" not in cleaned[900]
+
+
+def test_round_trip_through_spark(spark, docs):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from loomgraph.llm.bpe import bpe_round_trip
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = [*docs, (None, "no id"), (3, "one two"), (950, "é\U0001f600 " * 9000)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in own], "doc_id long, text string, n_tokens int").repartition(2)
+    got = sorted(map(str, rows_of(bpe_round_trip(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN))))
+
+    def one(i, t):
+        ids = theirs.encode_ordinary(t or "")
+        return str((i, len(ids), brute.sha(b"".join(x.to_bytes(4, "little") for x in ids)), brute.sha((t or "").encode())))
+
+    assert got == sorted(one(i, t) for i, t in own)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
