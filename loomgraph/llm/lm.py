@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from . import _exchange as X
@@ -38,6 +38,15 @@ FEW = 48
 ROOT, BEGIN = 0, 1
 
 
+def pack(body: bytes) -> bytes:
+    """Planes of sorted keys and of counts, most of them 0 and 1, are far from random: half of a message is not sent."""
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
+
+
 def grained(p: np.ndarray) -> np.ndarray:
     return np.floor(np.log10(p) / GRAIN + 0.5) * GRAIN
 
@@ -75,90 +84,86 @@ class Automaton:
     """The states and arcs that a block's tokens can touch.
 
     which[k - 1] gives for each place the index of the distinct k-gram that ends there, counts[k - 1] the training count of each.
-    Arcs are sorted by state and token; a token is the index of its 1-gram."""
+    arc[k][t] is the arc by which a state of length k, standing before place t, reads the token there, or -1 where it has none;
+    an arc has a weight and the state that it leads to, a state its length, its failure arc's state and that arc's weight."""
 
     def __init__(self, tokens: _Tokens, which: list[np.ndarray], counts: list[np.ndarray], prior: float, n_train: int, n_words: int):
-        self.token, self.tokens = which[0], tokens
+        self.tokens, last = tokens, len(counts)
         one = (counts[0] + 0.5) / (n_train + 0.5 * (n_words + 1))
         self.base = grained(one)
-        self.unknown = float(grained(np.array(0.5 / (n_train + 0.5 * (n_words + 1)))))
-        seen = counts[0] > 0
-        texts = int(counts[0][self.token[tokens.first[1:] - 1]].max(initial=0))  # as many ends as starts
-        state = np.where(seen, 2 + np.cumsum(seen) - 1, ROOT)
-        held = [np.zeros(1), np.array([texts]), counts[0][seen]]  # training count of each state's history
-        fail = [np.zeros(2, np.int64), np.zeros(int(seen.sum()), np.int64)]
-        last = len(counts)
-        keys, to, weight = [np.flatnonzero(seen)], [state[seen] if last > 1 else np.zeros(int(seen.sum()), np.int64)], [self.base[seen]]
-        shorter, p, states = state, one, 2 + int(seen.sum())
-        spread = max(1, len(counts[0]))
-        for k in range(2, last + 1):
-            place = np.zeros(len(counts[k - 1]), np.int64)
-            at = tokens.at[k - 1]
-            place[which[k - 1][at]] = at  # where one of its occurrences ends
+        unknown = float(grained(np.array(0.5 / (n_train + 0.5 * (n_words + 1)))))
+        texts = int(counts[0][which[0][tokens.first[1:] - 1]].max(initial=0))  # as many starts as ends
+        self.begin = BEGIN if last > 1 else ROOT
+        held, fail, length = [np.array([0, texts])], [np.zeros(2, np.int64)], [np.array([0, min(1, last - 1)])]
+        self.arc, weight, to = [], [], []
+        arcs, states, p, shorter = 0, 2, one, np.zeros(0, np.int64)
+        for k in range(1, last + 1):
             seen = counts[k - 1] > 0
-            begin = tokens.step[place - 1] == 0
-            history = np.where(begin, BEGIN, shorter[which[k - 2][place - 1]])
-            of = np.where(begin, texts, counts[k - 2][which[k - 2][place - 1]])
-            suffix = which[k - 2][place]
-            p = (counts[k - 1] + prior * p[suffix]) / (of + prior)
+            n, suffix = int(seen.sum()), np.zeros(len(seen), np.int64)
+            if k > 1:
+                at = tokens.at[k - 1]
+                place = np.zeros(len(seen), np.int64)
+                place[which[k - 1][at]] = at  # where one of its occurrences ends
+                suffix = which[k - 2][place]
+                of = np.where(tokens.step[place - 1] == 0, texts, counts[k - 2][which[k - 2][place - 1]])
+                p = (counts[k - 1] + prior * p[suffix]) / (of + prior)
             state = np.where(seen, states + np.cumsum(seen) - 1, ROOT)
-            keys.append(history[seen] * spread + self.token[place[seen]])
-            to.append(state[seen] if k < last else shorter[suffix[seen]])
+            target = shorter[suffix] if k > 1 else np.zeros(len(seen), np.int64)
+            arc = np.full(len(tokens.step), -1, np.int64)
+            index = np.where(seen, arcs + np.cumsum(seen) - 1, -1)
+            arc[tokens.at[k - 1]] = index[which[k - 1][tokens.at[k - 1]]]
+            self.arc.append(arc)
             weight.append(grained(p[seen]))
+            to.append((state if k < last else target)[seen])
+            arcs += n
             if k < last:
                 held.append(counts[k - 1][seen])
-                fail.append(shorter[suffix[seen]])
-                states += int(seen.sum())
+                fail.append(target[seen])
+                length.append(np.full(n, k))
+                states += n
                 shorter = state
-        order = np.argsort(np.concatenate(keys), kind="stable")
-        self.keys, self.to, self.weight = np.concatenate(keys)[order], np.concatenate(to)[order], np.concatenate(weight)[order]
-        self.begin = BEGIN if last > 1 else ROOT
-        self.fail, self.loss = np.concatenate(fail), grained(prior / (np.concatenate(held) + prior))
-        self.loss[ROOT], self.spread = self.unknown, spread
+        self.weight, self.to = np.concatenate(weight), np.concatenate(to)
+        self.fail, self.length = np.concatenate(fail), np.concatenate(length)
+        self.loss = grained(prior / (np.concatenate(held) + prior))
+        self.loss[ROOT] = unknown  # at the root an unknown token is read by the failure itself
 
     def read(self) -> np.ndarray:
         """The weight of each text."""
-        first, length = self.tokens.first[:-1] + 1, self.tokens.size - 1
-        order = np.argsort(-length, kind="stable")
-        begin, total, state = first[order], np.zeros(len(order)), np.full(len(order), self.begin)
-        ends = length[order]
-        step, most = 0, len(self.keys) - 1
+        first, size = self.tokens.first[:-1] + 1, self.tokens.size - 1
+        order = np.argsort(-size, kind="stable")
+        begin, ends, total, state = first[order], size[order], np.zeros(len(order)), np.full(len(order), self.begin)
+        table, wide = np.stack(self.arc).ravel(), len(self.arc[0])
+        step = 0
         while step < (ends[0] if len(ends) else 0):
             n = int(np.searchsorted(-ends, -step, "left"))  # texts that have this token
             if n < FEW:
                 break
-            token = self.token[begin[:n] + step]
             left = np.arange(n)
             while len(left):
                 s = state[left]
-                key = s * self.spread + token[left]
-                at = np.minimum(np.searchsorted(self.keys, key), most) if most >= 0 else np.zeros(len(left), np.int64)
-                hit = self.keys[at] == key if most >= 0 else np.zeros(len(left), bool)
-                took = left[hit]
-                total[took] += self.weight[at[hit]]
-                state[took] = self.to[at[hit]]
-                missed = left[~hit]
-                total[missed] += self.loss[s[~hit]]
-                state[missed] = self.fail[s[~hit]]
-                left = missed[s[~hit] != ROOT]  # at the root an unknown token is read by the failure itself
+                a = table[self.length[s] * wide + begin[left] + step]
+                hit = a >= 0
+                took, missed, s = left[hit], left[~hit], s[~hit]
+                total[took] += self.weight[a[hit]]
+                state[took] = self.to[a[hit]]
+                total[missed] += self.loss[s]
+                state[missed] = self.fail[s]
+                left = missed[s != ROOT]
             step += 1
         rest = int(np.searchsorted(-ends, -step, "left"))
         if rest:
-            keys, to, weight, fail, loss = (x.tolist() for x in (self.keys, self.to, self.weight, self.fail, self.loss))
+            weight, to, fail, length, loss = (x.tolist() for x in (self.weight, self.to, self.fail, self.length, self.loss))
             for k in range(rest):
                 s, sum_ = int(state[k]), float(total[k])
-                for token in self.token[begin[k] + step : begin[k] + ends[k]].tolist():
-                    while True:
-                        key = s * self.spread + token
-                        at = bisect_left(keys, key)
-                        if at <= most and keys[at] == key:
-                            sum_ += weight[at]
-                            s = to[at]
-                            break
+                for arcs in zip(*(x[begin[k] + step : begin[k] + ends[k]].tolist() for x in self.arc), strict=True):
+                    while (a := arcs[length[s]]) < 0:
                         sum_ += loss[s]
                         if s == ROOT:
                             break
                         s = fail[s]
+                    else:
+                        sum_ += weight[a]
+                        s = to[a]
                 total[k] = sum_
         out = np.zeros(len(order))
         out[order] = total
@@ -198,13 +203,14 @@ def backoff_scores(docs: DataFrame, order: int = 3, prior: float = 50.0, fold: i
             for s in range(n):
                 i, j = keys.edges[s], keys.edges[s + 1]
                 parts[s] += [np.int64(j - i).tobytes(), keys.body(s), X.packed_counts(counts[i:j])]
-        return X.asks([(s, b, b"".join(p)) for s, p in enumerate(parts)])
+        return X.asks([(s, b, pack(b"".join(p))) for s, p in enumerate(parts)])
 
     def count(rows: list[tuple[int, bytes]]) -> list[bytes]:
         place, out = [0] * len(rows), [[] for _ in rows]
+        bodies = [unpack(body) for _, body in rows]
         for k in range(order):
             keys, counts = [], []
-            for r, (_, body) in enumerate(rows):
+            for r, body in enumerate(bodies):
                 m = int(np.frombuffer(body, np.int64, 1, place[r])[0])
                 keys.append(X.unpacked(body, m, width(k), place[r] + 8))
                 c, place[r] = X.unpacked_counts(body, m, place[r] + 8 + width(k) * m)
@@ -216,10 +222,11 @@ def backoff_scores(docs: DataFrame, order: int = 3, prior: float = 50.0, fold: i
                 out = [[head] for _ in rows]
             for r, x in enumerate(np.split(sums[inverse], np.cumsum([len(p) for p in keys])[:-1])):
                 out[r].append(X.packed_counts(x))
-        return [b"".join(x) for x in out]
+        return [pack(b"".join(x)) for x in out]
 
     def walk(b: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         tokens = _Tokens(Texts.of(table.column(X.TEXT)), order)
+        got = {s: unpack(x) for s, x in got.items()}
         head = np.array([np.frombuffer(x, np.int64, 2) for x in got.values()])
         n_train, n_words = (head.sum(axis=0) if len(head) else np.zeros(2)).astype(np.int64).tolist()
         place, which, counts = dict.fromkeys(got, 16), [], []
