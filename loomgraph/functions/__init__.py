@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Modulus and half of the integer mix; all products stay below 2**63.
@@ -53,9 +53,19 @@ def xlogx_ratio(p: Column, m: Column) -> Column:
     return F.when(p > 0, p * F.log(p / m)).otherwise(0.0)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that the session names; in one of our own where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; one of our own where none is set, but never on a cluster, whose machines would
+    not see it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,16 +51,41 @@ class HeteroGraph:
         return unpivot(of_edges).unionByName(unpivot(of_nodes))
 
 
-def ranked(df: DataFrame, by: list[str], order: str, buckets: int = 64) -> DataFrame:
-    """df with `rank`, the 1-based place by `order` (a number) within `by`. Ranks are taken within value ranges and offset by
-    the sizes of the ranges before, so a large group is spread over tasks."""
-    ends = df.groupBy(*by).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    step = F.greatest((F.col("__hi") - F.col("__lo")) / buckets, F.lit(1e-9))
-    placed = df.join(F.broadcast(ends), by).withColumn("__b", F.least(F.floor((F.col(order) - F.col("__lo")) / step), F.lit(buckets - 1)))
+def ranges(df: DataFrame) -> int:
+    """Into how many ranges large groups are cut: some for each shuffle partition, so that they grow with the cluster."""
+    return max(2, min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def in_range(bounds: str, value) -> Column:
+    """How many of the sorted numbers in the array column `bounds` lie below a value, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(12, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(F.col(bounds), at + s - 1) < value, at + s).otherwise(at))
+
+
+def ranked(df: DataFrame, by: list[str], order: str | list[str], buckets: int | None = None, descending: bool = False) -> DataFrame:
+    """df with `rank`, the 1-based place by `order` (the first column a number, the others break ties) within `by`.
+
+    Ranks are taken within ranges between quantiles of the first column and offset by the sizes of the ranges before, so a
+    large group is spread over tasks. Only quantiles and range sizes, some for each group and range, are broadcast."""
+    order = [order] if isinstance(order, str) else order
+    n = buckets or ranges(df)
+    value = -F.col(order[0]) if descending else F.col(order[0])
+    bounds = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, [k / n for k in range(1, n)], 8 * n)).alias("__q"))
+    placed = df.join(F.broadcast(bounds), by).withColumn("__b", in_range("__q", value)).drop("__q")
     sizes = placed.groupBy(*by, "__b").count()
     before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    place = F.row_number().over(W.partitionBy(*by, "__b").orderBy(order))
-    return placed.withColumn("__r", place).join(F.broadcast(before), [*by, "__b"]).withColumn("rank", (F.col("__r") + F.col("__before")).cast("long")).drop("__b", "__r", "__before", "__lo", "__hi")
+    place = F.row_number().over(W.partitionBy(*by, "__b").orderBy(value, *order[1:]))
+    return placed.withColumn("__r", place).join(F.broadcast(before), [*by, "__b"]).withColumn("rank", (F.col("__r") + F.col("__before")).cast("long")).drop("__b", "__r", "__before")
+
+
+def neighbours(df: DataFrame, by: list[str], order: str | list[str], k: int, keep: list[str] | None = None) -> DataFrame:
+    """(by, i, j, and of each column c in keep c_i and c_j): nodes up to k places apart within `by`. Ranks meet by an
+    equality join, so no group is one task."""
+    keep = keep or []
+    placed = ranked(df, by, order)
+    a = placed.select(*by, F.col("node_id").alias("i"), *[F.col(c).alias(f"{c}_i") for c in keep], "rank", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("__d"))
+    b = placed.select(*by, F.col("node_id").alias("j"), *[F.col(c).alias(f"{c}_j") for c in keep], F.col("rank").alias("__at"))
+    return a.withColumn("__at", F.col("rank") + F.col("__d")).join(b, [*by, "__at"]).drop("__at", "__d", "rank")
 
 
 def relation_table(spark: SparkSession) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import mixed
-from ..graph import ranked
+from ..graph import neighbours, ranked
+from .linalg import columns, row_sum
 
-SOURCES = ("onehop", "twohop", "bucket", "ann", "fallback")
+SOURCES = ("onehop", "twohop", "bucket", "ann", "anchor", "footprint", "response", "relation", "fallback")
 
 
 def _pairs(df: DataFrame, source: str) -> DataFrame:
@@ -19,10 +20,11 @@ def _pairs(df: DataFrame, source: str) -> DataFrame:
 
 def with_distance(pairs: DataFrame, x: DataFrame) -> DataFrame:
     """pairs with score set to the squared distance of their rows of x; absent rows are zero."""
-    ends = pairs.select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("n"), F.lit(1.0).alias("s")), F.struct(F.col("j").alias("n"), F.lit(-1.0).alias("s")))).alias("e")).select("i", "j", F.col("e.n").alias("node_id"), "e.s")
-    diff = ends.join(x.withColumnRenamed("j", "k"), "node_id").groupBy("i", "j", "k").agg(F.sum(F.col("s") * F.col("v")).alias("d"))
-    dist = diff.groupBy("i", "j").agg(F.sum(F.col("d") * F.col("d")).alias("__d"))
-    return pairs.drop("score").join(dist, ["i", "j"], "left").withColumn("score", F.coalesce("__d", F.lit(0.0))).drop("__d")
+    names = columns(x)
+    side = lambda end, mark: x.select(F.col("node_id").alias(end), *[F.col(c).alias(f"__{mark}{c}") for c in names])
+    both = pairs.drop("score").join(side("i", "a"), "i", "left").join(side("j", "b"), "j", "left")
+    diffs = [F.coalesce(f"__a{c}", F.lit(0.0)) - F.coalesce(f"__b{c}", F.lit(0.0)) for c in names]
+    return both.withColumn("score", row_sum([d * d for d in diffs])).drop(*[f"__{m}{c}" for c in names for m in "ab"])
 
 
 def onehop(edges: DataFrame, nodes: DataFrame, x: DataFrame | None = None) -> DataFrame:
@@ -63,26 +65,34 @@ def twohop(edges: DataFrame, nodes: DataFrame, cap: int, pair_cap: int, seed: in
 
 def bucket_pairs(buckets: DataFrame, per_bucket: int, probe_bits: int = 0) -> DataFrame:
     """Neighbours in the order of ids within a hash bucket, up to per_bucket places apart, and with probe_bits the same-rank
-    nodes of the buckets that differ in one of so many bits."""
-    w = W.partitionBy("bucket").orderBy("node_id")
-    near = F.array(*[F.lead("node_id", k).over(w) for k in range(1, per_bucket + 1)]).alias("near")
-    pairs = buckets.select(F.col("node_id").alias("i"), near).select("i", F.explode("near").alias("j")).where("j is not null").select("i", "j", F.lit(0.0).alias("score"))
+    nodes of the buckets that differ in one of so many bits. Ranks meet by equality joins, so no bucket is one task."""
+    placed = settled_ranks(buckets)
+    ahead = placed.select(F.col("node_id").alias("i"), "bucket", F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + per_bucket)).alias("rank"))
+    pairs = ahead.join(placed.select(F.col("node_id").alias("j"), "bucket", "rank"), ["bucket", "rank"]).select("i", "j", F.lit(0.0).alias("score"))
     if probe_bits:
-        placed = buckets.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_bucket)
-        flips = F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(1 << b)) for b in range(probe_bits)])).alias("other")
-        a = placed.select(F.col("node_id").alias("i"), "r", flips)
-        b = placed.select(F.col("node_id").alias("j"), F.col("r").alias("q"), F.col("bucket").alias("other"))
-        pairs = pairs.unionByName(a.join(b, "other").where("i < j AND r = q").select("i", "j", F.lit(0.0).alias("score")))
+        first = placed.where(F.col("rank") <= per_bucket)
+        a = first.select(F.col("node_id").alias("i"), "rank", F.explode(hamming_neighbours(F.col("bucket"), probe_bits)).alias("bucket"))
+        b = first.select(F.col("node_id").alias("j"), "rank", "bucket")
+        pairs = pairs.unionByName(a.join(b, ["bucket", "rank"]).where("i < j").select("i", "j", F.lit(0.0).alias("score")))
     return _pairs(pairs, "bucket")
 
 
-def ann_window(values: DataFrame, nodes: DataFrame, window: int) -> DataFrame:
-    """Nodes whose projections (node_id, p) stand at most `window` places apart within type and partition."""
-    w = W.partitionBy("type_id", "part_id").orderBy("p", "node_id")
-    rows = values.join(nodes, "node_id")
-    near = F.array(*[F.struct(F.lead("node_id", k).over(w).alias("j"), F.lead("p", k).over(w).alias("pj")) for k in range(1, window + 1)]).alias("near")
-    out = rows.select(F.col("node_id").alias("i"), "p", near).select("i", "p", F.explode("near").alias("n")).where("n.j is not null")
-    return _pairs(out.select("i", F.col("n.j").alias("j"), ((F.col("p") - F.col("n.pj")) * (F.col("p") - F.col("n.pj"))).alias("score")), "ann")
+def settled_ranks(buckets: DataFrame) -> DataFrame:
+    """(node_id, bucket, rank): places by id within buckets, of which there can be very many or a few very large ones."""
+    return ranked(buckets.select("node_id", "bucket"), ["bucket"], "node_id", 16)
+
+
+def ann_window(values: DataFrame, nodes: DataFrame, window: int, projections: list[str] | None = None) -> DataFrame:
+    """Nodes that stand at most `window` places apart in the order of a projection, within type and partition, by each of the
+    columns of values (node_id, ...); the score is the least squared difference."""
+    rows = values.join(nodes.select("node_id", "type_id", "part_id"), "node_id")
+    out = None
+    for p in projections or [c for c in values.columns if c != "node_id"]:
+        near = neighbours(rows.select("node_id", "type_id", "part_id", p), ["type_id", "part_id"], [p, "node_id"], window, [p])
+        d = F.col(f"{p}_i") - F.col(f"{p}_j")
+        found = near.select("i", "j", (d * d).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return _pairs(out, "ann")
 
 
 def fallback(nodes: DataFrame, penalty: float = 1e6) -> DataFrame:
@@ -92,15 +102,37 @@ def fallback(nodes: DataFrame, penalty: float = 1e6) -> DataFrame:
     return pairs.select("i", "j", F.lit(penalty).alias("score"), F.lit("fallback").alias("source"))
 
 
-def retain(candidates: DataFrame, k: int) -> DataFrame:
-    """The least score of each pair, kept where it is among the k best of both ends (by score, source, other end)."""
+def retain(candidates: DataFrame, k: int, per_source: dict[str, int] | None = None, priority: dict[str, float] | None = None) -> DataFrame:
+    """The least score of each pair, kept where it is among the k best of both ends (by score, source, other end).
+
+    per_source bounds the pairs of a source at each end before that; priority is added to the scores of a source, as for
+    sources that are to go before or after all others. A node's pairs are cut to k before its ranks are taken."""
+    score = F.round("score", 9)
+    for s, p in (priority or {}).items():
+        score = F.when(F.col("source") == s, score + p).otherwise(score)
     order = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
-    best = candidates.groupBy("i", "j").agg(F.min(F.struct(F.round("score", 9).alias("score"), order.alias("o"), "source")).alias("m")).select("i", "j", "m.score", "m.source", "m.o")
+    best = candidates.groupBy("i", "j").agg(F.min(F.struct(score.alias("score"), order.alias("o"), "source")).alias("m")).select("i", "j", "m.score", "m.source", "m.o")
+    for s, most in (per_source or {}).items():
+        own = _among(best.where(F.col("source") == s), most)
+        best = best.where(F.col("source") != s).unionByName(own)
+    return _among(best, k).select("i", "j", "score", "source")
+
+
+def _among(best: DataFrame, k: int) -> DataFrame:
     side = lambda a, b: best.select(F.col(a).alias("n"), "i", "j", "score", "o", F.col(b).alias("other"))
     both = side("i", "j").unionByName(side("j", "i"))
     place = F.row_number().over(W.partitionBy("n").orderBy("score", "o", "other"))
     good = both.withColumn("r", place).where(F.col("r") <= k).groupBy("i", "j").count().where("count = 2")
-    return best.join(good.select("i", "j"), ["i", "j"], "left_semi").select("i", "j", "score", "source")
+    return best.join(good.select("i", "j"), ["i", "j"], "left_semi")
+
+
+def merged(*stores: DataFrame) -> DataFrame:
+    """Candidate tables as one: the least score of each pair, with its source."""
+    out = stores[0]
+    for s in stores[1:]:
+        out = out.unionByName(s)
+    order = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
+    return out.groupBy("i", "j").agg(F.min(F.struct("score", order.alias("o"), "source")).alias("m")).select("i", "j", "m.score", "m.source")
 
 
 def source_counts(candidates: DataFrame) -> DataFrame:

@@ -27,7 +27,10 @@ def coarse_features(features: DataFrame, assignment: DataFrame, weights: DataFra
     return packed.select(F.col("super_id").alias("node_id"), "type_id", F.transform("s", lambda e: e["v"]).alias("x"))
 
 
-def feature_weights(graph: HeteroGraph, how: str) -> DataFrame | None:
+def feature_weights(graph: HeteroGraph, how: str | DataFrame) -> DataFrame | None:
+    """(node_id, w): the weight at a node (degree), its PageRank, or the caller's own table; none for a plain mean."""
+    if isinstance(how, DataFrame):
+        return how.select("node_id", "w")
     if how == "degree":
         return incident_mass(graph.edges).withColumnRenamed("mass", "w")
     if how == "pagerank":
@@ -43,9 +46,11 @@ def coarse_labels(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
     return rows.select("super_id").distinct().join(best, "super_id", "left").select("super_id", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
 
-def coarse_graph(graph: HeteroGraph, assignment: DataFrame, how: str = "mean") -> HeteroGraph:
-    kinds = graph.nodes.join(assignment, "node_id").groupBy("super_id").agg(F.min("type_id").alias("type_id"))
-    nodes = kinds.join(coarse_labels(graph.nodes, assignment), "super_id").select(F.col("super_id").alias("node_id"), "type_id", "label", F.lit(0).alias("part_id"))
+def coarse_graph(graph: HeteroGraph, assignment: DataFrame, how: str | DataFrame = "mean") -> HeteroGraph:
+    """The graph of clusters: edges, features weighted as `how` says, majority labels, and each cluster's type and partition, which
+    are those of all its nodes (the least where an assignment mixes them)."""
+    kinds = graph.nodes.join(assignment, "node_id").groupBy("super_id").agg(F.min("type_id").alias("type_id"), F.min("part_id").alias("part_id"))
+    nodes = kinds.join(coarse_labels(graph.nodes, assignment), "super_id").select(F.col("super_id").alias("node_id"), "type_id", "label", "part_id")
     return HeteroGraph(nodes, coarse_edges(graph.edges, assignment), graph.relations, coarse_features(graph.features, assignment, feature_weights(graph, how)))
 
 

@@ -1,17 +1,49 @@
-"""Message passing: sparse matrices are edge tables, dense ones are long tables (node_id, j, v)."""
+"""Message passing: sparse matrices are edge tables, dense ones have a row for each node, (node_id, v0, v1, ...).
+
+An edge then meets its node's whole row in one join, and sums are columns of one aggregate; rows that are absent are zero."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EPS, sign
+from ..functions import EPS, gaussian, sign
+
+
+def columns(x: DataFrame) -> list[str]:
+    return [c for c in x.columns if re.fullmatch(r"v\d+", c)]
+
+
+def width(q: int) -> list[str]:
+    return [f"v{j}" for j in range(q)]
+
+
+def probe(nodes: DataFrame, q: int, seed: int = 0, kind: str = "rademacher") -> DataFrame:
+    """q columns of +1 and -1, or Gaussian ones."""
+    draw = {"rademacher": sign, "gaussian": gaussian}[kind]
+    return nodes.select("node_id", *[draw(F.col("node_id"), j, seed).alias(c) for j, c in enumerate(width(q))])
+
+
+def long(x: DataFrame) -> DataFrame:
+    """(node_id, j, v): an entry a row."""
+    return x.select("node_id", F.posexplode(F.array(*columns(x))).alias("j", "v"))
+
+
+def wide(x: DataFrame, q: int) -> DataFrame:
+    """The rows of a table (node_id, j, v) of entries."""
+    return x.groupBy("node_id").agg(*[F.sum(F.when(F.col("j") == j, F.col("v")).otherwise(0.0)).alias(c) for j, c in enumerate(width(q))])
+
 
+def row_sum(terms: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a + b, terms, F.lit(0.0))
 
-def probe(nodes: DataFrame, q: int, seed: int = 0) -> DataFrame:
-    """(node_id, j, v): q Rademacher columns."""
-    j = F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("j")
-    return nodes.select("node_id", j).select("node_id", "j", sign(F.col("node_id"), F.col("j"), seed).alias("v"))
+
+def square_norm(x: DataFrame) -> float:
+    """The sum of all squares."""
+    return x.agg(F.sum(row_sum([F.col(c) * F.col(c) for c in columns(x)]))).first()[0] or 0.0
 
 
 def relation_degrees(edges: DataFrame) -> DataFrame:
@@ -39,30 +71,32 @@ def row_normalized(edges: DataFrame, side: str = "src") -> DataFrame:
 
 
 def spmm(edges: DataFrame, x: DataFrame, direction: str = "forward", scale: float = 0.5) -> DataFrame:
-    """(rel_id, node_id, j, v): forward adds x at the source to the destination, backward the other way, symmetric scale times both."""
+    """(rel_id, node_id, v0...): forward adds x at the source to the destination, backward the other way, symmetric scale times both."""
     forward = edges.select("rel_id", F.col("src").alias("node_id"), F.col("dst").alias("to"), "w")
     backward = edges.select("rel_id", F.col("dst").alias("node_id"), F.col("src").alias("to"), "w")
     if direction == "symmetric":
         steps = forward.unionByName(backward).withColumn("w", F.col("w") * scale)
     else:
         steps = {"forward": forward, "backward": backward}[direction]
-    return steps.join(x, "node_id").groupBy("rel_id", F.col("to").alias("node_id"), "j").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    return steps.join(x, "node_id").groupBy("rel_id", F.col("to").alias("node_id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns(x)])
 
 
-def fused(edges: DataFrame, x: DataFrame, alpha: dict[int, float], direction: str = "symmetric", scale: float = 0.5) -> DataFrame:
-    """(node_id, j, v): the sum of the relations' products, weighted by alpha. One join and one aggregate for all relations."""
-    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(y) for k, v in alpha.items() for y in (k, float(v))]), F.col("rel_id")), F.lit(0.0))
-    weighted = edges.withColumn("w", F.col("w") * weight)
+def fused(edges: DataFrame, x: DataFrame, alpha: dict[int, float] | DataFrame, direction: str = "symmetric", scale: float = 0.5) -> DataFrame:
+    """The sum of the relations' products, weighted by alpha, a dictionary or a table (rel_id, alpha) of few rows. One join and
+    one aggregate for all relations."""
+    if isinstance(alpha, DataFrame):
+        weighted = edges.join(F.broadcast(alpha.select("rel_id", "alpha")), "rel_id").select("rel_id", "src", "dst", (F.col("w") * F.col("alpha")).alias("w"))
+    else:
+        weight = F.coalesce(F.element_at(F.create_map(*[F.lit(y) for k, v in alpha.items() for y in (k, float(v))]), F.col("rel_id")), F.lit(0.0))
+        weighted = edges.withColumn("w", F.col("w") * weight)
     return spmm(weighted.withColumn("rel_id", F.lit(0)), x, direction, scale).drop("rel_id")
 
 
 def combine(*parts: tuple[float, DataFrame]) -> DataFrame:
     """The weighted sum of dense tables."""
-    rows = [df.select("node_id", "j", (F.col("v") * c).alias("v")) for c, df in parts]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("node_id", "j").agg(F.sum("v").alias("v"))
+    names = columns(parts[0][1])
+    rows = [df.select("node_id", *[(F.col(n) * c).alias(n) for n in names]) for c, df in parts]
+    return functools.reduce(DataFrame.unionByName, rows).groupBy("node_id").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def laplacian(edges: DataFrame, x: DataFrame, alpha: dict[int, float]) -> DataFrame:
@@ -110,12 +144,57 @@ def is_reverse(a: DataFrame, b: DataFrame) -> bool:
     return turned.exceptAll(other).isEmpty() and other.exceptAll(turned).isEmpty()
 
 
+def drop_reverse(edges: DataFrame, alpha: dict[int, float], pairs: list[tuple[int, int]], policy: str = "auto") -> dict[int, float]:
+    """Relation weights under a policy on reverse relations: include_all keeps them; drop_detected_reverse takes the second of
+    each pair out whose edges are those of the first turned round; auto does so only where every pair is such. What is left is
+    scaled to the same total."""
+    if policy == "include_all":
+        return alpha
+    exact = [b for a, b in pairs if is_reverse(edges.where(F.col("rel_id") == a), edges.where(F.col("rel_id") == b))]
+    if not exact or policy == "auto" and len(exact) < len(pairs):
+        return alpha
+    kept = {r: a for r, a in alpha.items() if r not in exact}
+    total, left = sum(alpha.values()), sum(kept.values())
+    return {r: a * total / left for r, a in kept.items()} if left else alpha
+
+
 def operator_norm(nodes: DataFrame, edges: DataFrame, alpha: dict[int, float], rounds: int = 8, q: int = 4, settle=lambda df: df) -> float:
     """The fused operator's norm by power iteration on a block of probes."""
     x, norm = probe(nodes, q, 7), 0.0
     for _ in range(rounds):
         y = settle(fused(edges, x, alpha))
-        size = x.agg(F.sum(F.col("v") * F.col("v"))).first()[0] ** 0.5
-        norm = (y.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0) ** 0.5 / size
-        x = y.withColumn("v", F.col("v") / (norm * size or 1.0))
+        size, grown = square_norm(x) ** 0.5, square_norm(y) ** 0.5
+        norm = grown / size if size else 0.0
+        x = y.select("node_id", *[(F.col(c) / (grown or 1.0)).alias(c) for c in columns(y)])
     return norm
+
+
+def transition_probe(edges: DataFrame, x: DataFrame, steps: list[tuple[int, str]], keep: int | None = None) -> DataFrame:
+    """x carried along a path by row-normalised transitions: each step gives a node the mean of x over what it leads to. With
+    `keep` only so many rows of the largest norm, ties by id, go on after each step."""
+    for rel, direction in steps:
+        part = edges.where(F.col("rel_id") == rel)
+        if direction == "backward":
+            part = part.select("rel_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+        x = spmm(row_normalized(part), x, "backward").drop("rel_id")
+        if keep is not None:
+            norm = F.round(row_sum([F.col(c) * F.col(c) for c in columns(x)]), 12)
+            x = x.orderBy(norm.desc(), "node_id").limit(keep)
+    return x
+
+
+def neighbour_smoothing(edges: DataFrame, x: DataFrame) -> DataFrame:
+    """A node's row plus those of its neighbours in both directions, times the edge's share of its source's weight, over one plus
+    the number of edges at the node."""
+    share = row_normalized(edges)
+    ends = share.select(F.col("src").alias("node_id"), F.col("dst").alias("to"), "w").unionByName(share.select(F.col("dst").alias("node_id"), F.col("src").alias("to"), "w"))
+    names = columns(x)
+    got = ends.join(x, "node_id").groupBy(F.col("to").alias("node_id")).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.col("w") * F.col(c)).alias(f"__{c}") for c in names])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return x.join(got, "node_id", "left").select("node_id", *[((F.col(c) + zero(f"__{c}")) / (1.0 + zero("__n"))).alias(c) for c in names])
+
+
+def masked(x: DataFrame, nodes: DataFrame, type_id: int) -> DataFrame:
+    """x with the rows of other types zero."""
+    kinds = nodes.select("node_id", "type_id")
+    return x.join(kinds, "node_id").select("node_id", *[F.when(F.col("type_id") == type_id, F.col(c)).otherwise(0.0).alias(c) for c in columns(x)])

@@ -43,23 +43,33 @@ def greedy_grouped(pairs: DataFrame, group: list[str]) -> DataFrame:
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[int] = set()
+        order = pdf.sort_values(["cost", "i", "j"])
         keep = []
-        for r in pdf.sort_values(["cost", "i", "j"]).itertuples():
-            if r.i not in used and r.j not in used:
-                used |= {r.i, r.j}
-                keep.append((r.i, r.j, r.cost))
+        for i, j, cost in zip(order.i.tolist(), order.j.tolist(), order.cost.tolist(), strict=True):
+            if i not in used and j not in used:
+                used |= {i, j}
+                keep.append((i, j, cost))
         return pd.DataFrame(keep, columns=["i", "j", "cost"])
 
     return pairs.groupBy(*group).applyInPandas(scan, "i long, j long, cost double")
 
 
-def greedy_cluster(pairs: DataFrame, group: list[str], most_size: int = 4, most_merges: int | None = None) -> DataFrame:
+def greedy_cluster(pairs: DataFrame, group: list[str], most_size: int = 4, most_merges: int | None = None, protected_size: int = 2) -> DataFrame:
     """Accepted merges of a union-find scan in order of (cost, i, j) with clusters of at most most_size; exact for each group.
-    The cheapest most_merges of all groups are kept."""
+    The cheapest most_merges of all groups are kept.
+
+    Columns guard_i and guard_j, if there, mark protected ends: a cluster with one has at most protected_size nodes. label_i and
+    label_j, if there, block a pair of two different known labels."""
+    guarded, labelled = "guard_i" in pairs.columns, "label_i" in pairs.columns
+    if labelled:
+        pairs = pairs.where(~((F.col("label_i") >= 0) & (F.col("label_j") >= 0) & (F.col("label_i") != F.col("label_j"))))
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         up: dict[int, int] = {}
         size: dict[int, int] = {}
+        safe: set[int] = set()
+        if guarded:
+            safe = set(pdf.loc[pdf.guard_i, "i"]) | set(pdf.loc[pdf.guard_j, "j"])
 
         def root(x):
             while up.setdefault(x, x) != x:
@@ -67,13 +77,18 @@ def greedy_cluster(pairs: DataFrame, group: list[str], most_size: int = 4, most_
                 x = up[x]
             return x
 
+        order = pdf.sort_values(["cost", "i", "j"])
         keep = []
-        for r in pdf.sort_values(["cost", "i", "j"]).itertuples():
-            a, b = root(r.i), root(r.j)
-            if a != b and size.get(a, 1) + size.get(b, 1) <= most_size:
-                up[max(a, b)] = min(a, b)
-                size[min(a, b)] = size.get(a, 1) + size.get(b, 1)
-                keep.append((r.i, r.j, r.cost))
+        for i, j, cost in zip(order.i.tolist(), order.j.tolist(), order.cost.tolist(), strict=True):
+            a, b = root(i), root(j)
+            whole = size.get(a, 1) + size.get(b, 1)
+            if a != b and whole <= (protected_size if a in safe or b in safe else most_size):
+                low, high = min(a, b), max(a, b)
+                up[high] = low
+                size[low] = whole
+                if high in safe:
+                    safe.add(low)
+                keep.append((i, j, cost))
         return pd.DataFrame(keep, columns=["i", "j", "cost"])
 
     out = pairs.groupBy(*group).applyInPandas(scan, "i long, j long, cost double")
@@ -112,9 +127,7 @@ def target_preserving(assignment: DataFrame, nodes: DataFrame, target_type: int)
 
 def paired_by(nodes: DataFrame, key: str) -> DataFrame:
     """Baselines: nodes of a type and partition paired off in the order of `key` (a number, ties by id)."""
-    rows = nodes.select("node_id", "type_id", "part_id", F.struct(F.col(key), F.col("node_id")).alias("k"))
-    w = W.partitionBy("type_id", "part_id").orderBy("k")
-    placed = rows.withColumn("g", F.floor((F.row_number().over(w) - 1) / 2))
+    placed = ranked(nodes.select("node_id", "type_id", "part_id", key), ["type_id", "part_id"], [key, "node_id"]).withColumn("g", F.floor((F.col("rank") - 1) / 2))
     out = placed.groupBy("type_id", "part_id", "g").agg(F.min("node_id").alias("i"), F.max("node_id").alias("j")).where("i != j")
     return out.select("i", "j")
 
@@ -126,6 +139,108 @@ def typed_hash_clusters(buckets: DataFrame, most_size: int = 4) -> DataFrame:
     return placed.join(first, ["bucket", "g"]).select("node_id", "super_id")
 
 
+def quota_matching(pairs: DataFrame, limit: int, bucket_share: float = 0.0, most_share: dict[str, float] | None = None, settle=lambda df: df) -> DataFrame:
+    """A matching (i, j, cost, source) of at most `limit` pairs under shares of sources: first the cheapest bucket pairs up to
+    ceil(limit bucket_share), then the cheapest of all sources, a source with a largest share up to floor(limit share), then
+    without bounds. Within each pass pairs go in the order of (cost, i, j) and a node is used once.
+
+    Each pass is a greedy matching by rounds on what is left; a bound on a source cuts the pass's matching of that source to its
+    cheapest, and what the cut sets free goes to the next pass."""
+    taken = None
+    left = settle(pairs.select("i", "j", "cost", "source"))
+
+    def used_up(df, won):
+        used = won.select(F.explode(F.array("i", "j")).alias("u")).distinct()
+        return settle(df.join(used.withColumnRenamed("u", "i"), "i", "left_anti").join(used.withColumnRenamed("u", "j"), "j", "left_anti").select("i", "j", "cost", "source"))
+
+    def one_pass(df, room, bounds):
+        won = greedy(df.select("i", "j", "cost"), settle).join(df, ["i", "j", "cost"]).select("i", "j", "cost", "source")
+        parts = won.where(~F.col("source").isin(list(bounds))) if bounds else won
+        for s, most in bounds.items():
+            parts = parts.unionByName(won.where(F.col("source") == s).orderBy("cost", "i", "j").limit(max(0, most)))
+        return settle(parts.orderBy("cost", "i", "j").limit(room))
+
+    need = -int(-(limit * bucket_share - 1e-12) // 1)
+    bounds = {s: int(limit * x + 1e-12) for s, x in (most_share or {}).items()}
+    passes = ([(left.where("source = 'bucket'"), need, {})] if need else []) + [(None, None, bounds), (None, None, {})]
+    done = 0
+    for df, room, most in passes:
+        room = min(limit - done, room if room is not None else limit)
+        if room <= 0:
+            continue
+        counts = {r.source: r.n for r in taken.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()} if taken is not None else {}
+        won = one_pass(left if df is None else df, room, {s: b - counts.get(s, 0) for s, b in most.items()})
+        taken = won if taken is None else taken.unionByName(won)
+        left = used_up(left, won)
+        done += won.count()
+    return taken if taken is not None else left.where("false")
+
+
+def source_distribution(pairs: DataFrame) -> DataFrame:
+    """(source, n, share) of matched pairs."""
+    n = pairs.agg(F.count(F.lit(1)).alias("__n"))
+    return pairs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n)).select("source", "n", (F.col("n") / F.col("__n")).alias("share"))
+
+
+def repair_clusters(assignment: DataFrame, sketch: DataFrame, nodes: DataFrame, profiles: DataFrame | None = None, objective: str = "energy", quantile: float = 0.75) -> DataFrame:
+    """(node_id, super_id, repaired): clusters of more than two whose spread is positive and at or above the quantile of such
+    clusters are split into pairs, in the order of the first column of the sketch, the distance to the cluster's mean and the
+    id; the whole is kept only where the mean spread over clusters of two and more falls, else the assignment comes back.
+    objective: energy (spread of the sketch), relation (variance of profiles, dense rows) or task (entropy of labels)."""
+    from .linalg import columns, row_sum
+
+    x = profiles if objective == "relation" and profiles is not None else sketch
+    names = columns(x)
+
+    def measures(a):
+        if objective == "task":
+            rows = a.join(nodes.select("node_id", "label"), "node_id")
+            size = rows.groupBy("super_id").agg(F.count(F.lit(1)).alias("size"))
+            counts = rows.where("label >= 0").groupBy("super_id", "label").agg(F.count(F.lit(1)).alias("c"))
+            total = counts.groupBy("super_id").agg(F.sum("c").alias("t"))
+            p = F.col("c") / F.col("t")
+            return size.join(counts.join(total, "super_id").groupBy("super_id").agg(F.sum(-p * F.log(p)).alias("m")), "super_id", "left").na.fill(0.0, ["m"])
+        rows = a.join(x, "node_id").groupBy("super_id").agg(F.count(F.lit(1)).alias("size"), *[F.var_pop(c).alias(c) for c in names])
+        return rows.select("super_id", "size", (row_sum([F.col(c) for c in names]) / (len(names) if objective == "relation" else 1)).alias("m"))
+
+    before = measures(assignment)
+    cut = before.where("size > 2").agg(F.percentile(F.round("m", 9), F.lit(quantile)).alias("__q"))
+    bad = before.join(F.broadcast(cut)).where((F.col("size") > 2) & (F.col("m") > 0) & (F.round("m", 9) >= F.col("__q"))).select("super_id")
+    rows = assignment.join(bad, "super_id", "left_semi").join(x, "node_id")
+    centre = rows.groupBy("super_id").agg(*[F.avg(c).alias(f"m{c}") for c in names])
+    far = row_sum([(F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in names])
+    # clusters are of bounded size
+    place = F.row_number().over(W.partitionBy("super_id").orderBy(F.round(names[0], 9), F.round("far", 9), "node_id"))
+    halves = rows.join(centre, "super_id").withColumn("far", far).withColumn("g", F.floor((place - 1) / 2))
+    first = halves.groupBy("super_id", "g").agg(F.min("node_id").alias("s"))
+    split = halves.join(first, ["super_id", "g"]).select("node_id", F.col("s").alias("super_id"))
+    after = assignment.join(bad, "super_id", "left_anti").select("node_id", "super_id").unionByName(split)
+    mean = lambda m: m.where("size > 1").agg(F.avg("m")).first()[0] or 0.0
+    better = mean(measures(after)) < mean(before)
+    return (after if better else assignment.select("node_id", "super_id")).withColumn("repaired", F.lit(better))
+
+
+def budgeted_hash_clusters(buckets: DataFrame, merges: int, most_size: int = 4) -> DataFrame:
+    """typed_hash_clusters with at most `merges` merges: chunks of buckets, in the order of their keys, until they run out; the chunk
+    at the bound is cut to the merges that are left."""
+    from .selection import running
+
+    placed = ranked(buckets.select("node_id", "bucket"), ["bucket"], "node_id", 4).withColumn("g", F.floor((F.col("rank") - 1) / most_size))
+    chunks = placed.groupBy("bucket", "g").agg(F.min("node_id").alias("super_id"), (F.count(F.lit(1)) - 1).alias("size")).withColumn("key", -F.col("bucket").cast("double"))
+    ahead = running(chunks, [F.col("g")], "key", "size")
+    rows = placed.join(ahead.select("bucket", "g", "super_id", "before"), ["bucket", "g"])
+    nth = (F.col("rank") - 1) % most_size
+    keep = (nth == 0) | (F.col("before") + nth <= merges)
+    return rows.select("node_id", F.when(keep, F.col("super_id")).otherwise(F.col("node_id")).alias("super_id"))
+
+
+def label_conflicts(merges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Merges of two different known labels."""
+    a = nodes.select(F.col("node_id").alias("i"), F.col("label").alias("li"))
+    b = nodes.select(F.col("node_id").alias("j"), F.col("label").alias("lj"))
+    return merges.join(a, "i").join(b, "j").where("li >= 0 AND lj >= 0 AND li != lj").select(merges.columns)
+
+
 def terminal_flags(edges: DataFrame, nodes: DataFrame, hub: float = 0.99, rare: float = 0.05) -> DataFrame:
     """(node_id, protected): hubs by degree percentile and nodes on relations with few edges."""
     ends = edges.select("rel_id", F.col("src").alias("node_id")).unionByName(edges.select("rel_id", F.col("dst").alias("node_id")))

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import EPS, xlogx_ratio
+from .linalg import columns, row_sum
+
+
+def _ends(edges: DataFrame, x: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Edges with the rows of both ends, and the differences of their columns."""
+    names = columns(x)
+    a = x.select(F.col("node_id").alias("src"), *[F.col(c).alias(f"a{c}") for c in names])
+    b = x.select(F.col("node_id").alias("dst"), *[F.col(c).alias(f"b{c}") for c in names])
+    return edges.join(a, "src").join(b, "dst"), [F.col(f"a{c}") - F.col(f"b{c}") for c in names]
 
 
 def dirichlet_energy(edges: DataFrame, x: DataFrame) -> DataFrame:
     """(rel_id, energy): the sum of w times the squared difference of x over each relation's edges."""
-    a = x.select(F.col("node_id").alias("src"), "j", F.col("v").alias("a"))
-    b = x.select(F.col("node_id").alias("dst"), "j", F.col("v").alias("b"))
-    d = F.col("a") - F.col("b")
-    return edges.join(a, "src").join(b, ["dst", "j"]).groupBy("rel_id").agg(F.sum(F.col("w") * d * d).alias("energy"))
+    both, diffs = _ends(edges, x)
+    return both.groupBy("rel_id").agg(F.sum(F.col("w") * row_sum([d * d for d in diffs])).alias("energy"))
 
 
 def cluster_means(x: DataFrame, assignment: DataFrame) -> DataFrame:
-    return x.join(assignment, "node_id").groupBy(F.col("super_id").alias("node_id"), "j").agg(F.avg("v").alias("v"))
+    return x.join(assignment, "node_id").groupBy(F.col("super_id").alias("node_id")).agg(*[F.avg(c).alias(c) for c in columns(x)])
+
+
+def lifted(means: DataFrame, assignment: DataFrame) -> DataFrame:
+    """Rows of clusters given to their nodes."""
+    return assignment.join(means.withColumnRenamed("node_id", "super_id"), "super_id").drop("super_id")
 
 
 def energy_errors(edges: DataFrame, coarse: DataFrame, x: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -29,16 +41,16 @@ def energy_errors(edges: DataFrame, coarse: DataFrame, x: DataFrame, assignment:
 
 
 def gram(x: DataFrame) -> DataFrame:
-    """(j, k, g): inner products of the columns."""
-    other = x.select("node_id", F.col("j").alias("k"), F.col("v").alias("u"))
-    return x.join(other, "node_id").groupBy("j", "k").agg(F.sum(F.col("v") * F.col("u")).alias("g"))
+    """(j, k, g): inner products of the columns, from one aggregate."""
+    names = columns(x)
+    sums = x.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in names for b in names])
+    entries = [F.struct(F.lit(j).alias("j"), F.lit(k).alias("k"), F.col(f"{a}_{b}").alias("g")) for j, a in enumerate(names) for k, b in enumerate(names)]
+    return sums.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
 def gram_error(x: DataFrame, assignment: DataFrame) -> DataFrame:
     """(error): the relative Frobenius error of the Gram matrix when each row is its cluster's mean."""
-    means = cluster_means(x, assignment).withColumnRenamed("node_id", "super_id")
-    lifted = assignment.join(means, "super_id").select("node_id", "j", "v")
-    both = gram(x).join(gram(lifted).withColumnRenamed("g", "h"), ["j", "k"])
+    both = gram(x).join(gram(lifted(cluster_means(x, assignment), assignment)).withColumnRenamed("g", "h"), ["j", "k"])
     d = F.col("g") - F.col("h")
     return both.agg((F.sqrt(F.sum(d * d)) / F.greatest(F.sqrt(F.sum(F.col("g") * F.col("g"))), F.lit(EPS))).alias("error"))
 
@@ -74,10 +86,14 @@ def label_entropy(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
 
 def cluster_spread(x: DataFrame, assignment: DataFrame) -> DataFrame:
     """(mean_spread, p95): mean squared distance to the cluster's mean, over clusters of two and more."""
-    rows = x.join(assignment, "node_id")
-    var = rows.groupBy("super_id", "j").agg(F.var_pop("v").alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    each = var.groupBy("super_id").agg(F.sum("s").alias("s"))
-    return each.agg(F.avg("s").alias("mean_spread"), F.percentile("s", F.lit(0.95)).alias("p95"))
+    return spread_of(x, assignment).where("size > 1").agg(F.avg("spread").alias("mean_spread"), F.percentile("spread", F.lit(0.95)).alias("p95"))
+
+
+def spread_of(x: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(super_id, size, spread): mean squared distance to the cluster's mean."""
+    names = columns(x)
+    rows = x.join(assignment, "node_id").groupBy("super_id").agg(F.count(F.lit(1)).alias("size"), *[F.var_pop(c).alias(c) for c in names])
+    return rows.select("super_id", "size", row_sum([F.col(c) for c in names]).alias("spread"))
 
 
 def compression(nodes: DataFrame, edges: DataFrame, assignment: DataFrame, coarse: DataFrame) -> DataFrame:
@@ -110,10 +126,13 @@ def path_retention(edges: DataFrame, coarse: DataFrame, assignment: DataFrame, s
 
 
 def reconstruction(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(mse, mae, corr): y against x, absent entries zero."""
-    both = x.join(y.withColumnRenamed("v", "y"), ["node_id", "j"], "left").na.fill(0.0, ["y"])
+    """(mse, mae, corr, cosine): y against x over all entries, absent ones zero."""
+    names = columns(x)
+    both = x.join(y.select("node_id", *[F.col(c).alias(f"y{c}") for c in names]), "node_id", "left").na.fill(0.0, [f"y{c}" for c in names])
+    entry = both.select(F.explode(F.array(*[F.struct(F.col(c).alias("v"), F.col(f"y{c}").alias("y")) for c in names])).alias("e")).select("e.*")
     d = F.col("v") - F.col("y")
-    return both.agg(F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"), F.corr("v", "y").alias("corr"))
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    return entry.agg(F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"), F.corr("v", "y").alias("corr"), (F.sum(F.col("v") * F.col("y")) / F.greatest(norm("v") * norm("y"), F.lit(EPS))).alias("cosine"))
 
 
 def partition_imbalance(nodes: DataFrame) -> DataFrame:

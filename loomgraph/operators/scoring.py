@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import EPS, sq_distance, xlogx_ratio
 from .candidates import with_distance
+from .linalg import columns, row_sum
 
 LAMBDAS = {"spec": 1.0, "rel": 0.2, "feat": 0.1, "conv": 0.5, "boundary": 0.1}
 
@@ -54,14 +55,16 @@ def feature_distance(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return out.select("i", "j", F.coalesce(sq_distance(F.col("xi"), F.col("xj")), F.lit(0.0)).alias("feat"))
 
 
-def boundary_risk(edges: DataFrame, nodes: DataFrame, hub: float = 0.05, terminal: float = 1.0, least: int = 1) -> DataFrame:
-    """(node_id, risk): a neighbour in another partition, plus hub ln(1 + degree), plus terminal for degrees up to `least`."""
+def boundary_risk(edges: DataFrame, nodes: DataFrame, hub: float = 0.05, terminal: float = 1.0, least: float = 1.0) -> DataFrame:
+    """(node_id, risk): a neighbour in another partition, plus hub ln(1 + mass), plus terminal for a mass up to `least`; the
+    mass is the weight of all edges at a node."""
     part = nodes.select(F.col("node_id").alias("n"), F.col("part_id").alias("p"))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    cut = both.join(part.withColumnsRenamed({"n": "src", "p": "ps"}), "src").join(part.withColumnsRenamed({"n": "dst", "p": "pd"}), "dst")
-    seen = cut.groupBy(F.col("src").alias("node_id")).agg(F.max((F.col("ps") != F.col("pd")).cast("double")).alias("cut"), F.count(F.lit(1)).cast("double").alias("deg"))
-    out = nodes.select("node_id").join(seen, "node_id", "left").na.fill(0.0, ["cut", "deg"])
-    return out.select("node_id", (F.col("cut") + hub * F.log1p("deg") + F.when(F.col("deg") <= least, terminal).otherwise(0.0)).alias("risk"))
+    cut = edges.join(part.withColumnsRenamed({"n": "src", "p": "ps"}), "src").join(part.withColumnsRenamed({"n": "dst", "p": "pd"}), "dst")
+    crosses = (F.col("ps") != F.col("pd")).cast("double").alias("cut")
+    ends = cut.select(F.col("src").alias("node_id"), "w", crosses).unionByName(cut.select(F.col("dst").alias("node_id"), "w", crosses))
+    seen = ends.groupBy("node_id").agg(F.max("cut").alias("cut"), F.sum("w").alias("mass"))
+    out = nodes.select("node_id").join(seen, "node_id", "left").na.fill(0.0, ["cut", "mass"])
+    return out.select("node_id", (F.col("cut") + hub * F.log1p("mass") + F.when(F.col("mass") <= least, terminal).otherwise(0.0)).alias("risk"))
 
 
 def boundary_cost(pairs: DataFrame, risk: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -70,24 +73,23 @@ def boundary_cost(pairs: DataFrame, risk: DataFrame, nodes: DataFrame) -> DataFr
 
 
 def normalize(pairs: DataFrame, term: str, how: str = "p95", eps: float = EPS) -> DataFrame:
-    """pairs with `term` over its scale: |p95|, the median plus 1.4826 MAD, or its rank from 0 to 1."""
+    """pairs with `term` over its scale: the 95th percentile, the median plus 1.4826 MAD, or its rank from 0 to 1. A scale of
+    at most eps gives way to the 95th percentile of the sizes above eps, and that to eps."""
+    if how == "none":
+        return pairs
     if how == "rank":
         return rank_normalize(pairs, term)
     x = F.col(term)
     if how == "median_mad":
-        med = pairs.agg(F.median(x).alias("med"))
-        with_med = pairs.join(F.broadcast(med))
-        scale = with_med.agg((F.first("med") + 1.4826 * F.median(F.abs(x - F.col("med")))).alias("s"))
+        med = pairs.agg(F.median(x)).first()[0]
+        mad = pairs.agg(F.median(F.abs(x - F.lit(med)))).first()[0]
+        scale = None if med is None else med + 1.4826 * mad
     else:
-        scale = pairs.agg(F.abs(F.percentile(x, F.lit(0.95))).alias("s"))
-    value = F.lit(scale.first()[0])
-    if how == "p95":
+        scale = pairs.agg(F.percentile(x, F.lit(0.95))).first()[0]
+    if scale is None or abs(scale) <= eps:
         size = F.abs(x)
-        rest = pairs.where(size > eps).agg(F.percentile(size, F.lit(0.95)).alias("s")).first()[0]
-        value = F.when(value > eps, value).otherwise(F.lit(rest if rest is not None else eps))
-    else:
-        value = F.greatest(value, F.lit(eps))
-    return pairs.withColumn(term, x / value)
+        scale = max(pairs.where(size > eps).agg(F.percentile(size, F.lit(0.95))).first()[0] or eps, eps)
+    return pairs.withColumn(term, x / F.lit(abs(scale)))
 
 
 def rank_normalize(pairs: DataFrame, term: str) -> DataFrame:
@@ -105,28 +107,112 @@ def rank_normalize(pairs: DataFrame, term: str) -> DataFrame:
 
 
 def cost(scored: DataFrame, lambdas: dict[str, float] | None = None) -> DataFrame:
-    """scored with cost, the weighted sum of its terms."""
+    """scored with cost, the weighted sum of its terms; all terms of a weight other than 0 must be there."""
     total = F.lit(0.0)
     for term, weight in (lambdas or LAMBDAS).items():
-        if term in scored.columns:
+        if weight:
             total = total + weight * F.coalesce(term, F.lit(0.0))
     return scored.withColumn("cost", total)
 
 
+def node_table(nodes: DataFrame, edges: DataFrame, relations: list[int], features: DataFrame, sketch: DataFrame, conv: DataFrame) -> DataFrame:
+    """One row for each node with all that a pair's terms need: z and c, its rows of the sketch and of the conv response, p, its
+    relation profile as an array over 2 rel_id + side, x, its features, mass, risk, type_id and part_id."""
+    z = sketch.select("node_id", F.array(*columns(sketch)).alias("z"))
+    c = conv.select("node_id", F.array(*columns(conv)).alias("c"))
+    place = {r: k for k, r in enumerate(sorted(relations))}
+    ends = edges.select(F.col("src").alias("node_id"), "rel_id", F.lit(0).alias("side"), "w").unionByName(edges.select(F.col("dst").alias("node_id"), "rel_id", F.lit(1).alias("side"), "w"))
+    sums = ends.groupBy("node_id").agg(F.sum("w").alias("mass"), *[F.sum(F.when((F.col("rel_id") == r) & (F.col("side") == s), F.col("w")).otherwise(0.0)).alias(f"m{2 * k + s}") for r, k in place.items() for s in (0, 1)])
+    p = sums.select("node_id", "mass", F.transform(F.array(*[f"m{k}" for k in range(2 * len(place))]), lambda m: m / F.greatest(F.col("mass"), F.lit(EPS))).alias("p"))
+    out = nodes.select("node_id", "type_id", "part_id").join(z, "node_id", "left").join(c, "node_id", "left").join(p, "node_id", "left")
+    out = out.join(features.select("node_id", "x"), "node_id", "left").join(boundary_risk(edges, nodes), "node_id", "left")
+    return out.na.fill(0.0, ["mass", "risk"])
+
+
+def pair_terms(pairs: DataFrame, table: DataFrame, kind: str = "jsd") -> DataFrame:
+    """pairs with spec, rel, feat, conv and boundary, and the type_id and part_id of i: two joins and one projection. Pairs of
+    two types are left out."""
+    side = lambda end: table.select(*[F.col(c).alias(end if c == "node_id" else f"{c}_{end}") for c in table.columns])
+    both = pairs.join(side("i"), "i").join(side("j"), "j").where("type_id_i = type_id_j")
+    vi, vj = F.col("mass_i"), F.col("mass_j")
+    apart = lambda c: F.when(F.col(f"{c}_i").isNull() & F.col(f"{c}_j").isNull(), 0.0).otherwise(F.coalesce(sq_distance(F.col(f"{c}_i"), F.col(f"{c}_j")), _norm2(F.coalesce(f"{c}_i", f"{c}_j"))))
+    spec = apart("z") * vi * vj / F.greatest(vi + vj, F.lit(EPS))
+    zero = F.transform(F.coalesce("p_i", "p_j"), lambda v: F.lit(0.0))
+    p, q = F.coalesce("p_i", zero), F.coalesce("p_j", zero)
+
+    def part(a, b):
+        m = (a + b) / 2
+        return (xlogx_ratio(a, m) + xlogx_ratio(b, m)) / 2 if kind == "jsd" else (a - b) * (a - b)
+
+    rel = F.coalesce(F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
+    feat = F.coalesce(sq_distance(F.col("x_i"), F.col("x_j")), F.lit(0.0))
+    boundary = F.greatest("risk_i", "risk_j", (F.col("part_id_i") != F.col("part_id_j")).cast("double"))
+    return both.select(*pairs.columns, F.col("type_id_i").alias("type_id"), F.col("part_id_i").alias("part_id"), spec.alias("spec"), rel.alias("rel"), feat.alias("feat"), apart("c").alias("conv"), boundary.alias("boundary"))
+
+
+def _norm2(a):
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
+
+
+def score_pairs(pairs: DataFrame, table: DataFrame, lambdas: dict[str, float] | None = None, normalization: str = "none", kind: str = "jsd") -> DataFrame:
+    """Candidate pairs of one type with their terms, each over its scale, and their cost."""
+    out = pair_terms(pairs, table, kind)
+    if normalization != "none":
+        for term in LAMBDAS:
+            out = normalize(out, term, normalization)
+    return cost(out, lambdas)
+
+
 def relation_guard(scored: DataFrame, slack: float = 0.02, factor: float = 10.0) -> DataFrame:
     """Adds factor times what rel exceeds the least rel by more than slack."""
     least = scored.agg(F.min("rel").alias("__m"))
     return scored.join(F.broadcast(least)).withColumn("cost", F.col("cost") + factor * F.greatest(F.col("rel") - (F.col("__m") + slack), F.lit(0.0))).drop("__m")
 
 
-def spectral_guard(scored: DataFrame, q: float = 0.95, least: int = 8) -> DataFrame:
-    """Pairs whose spec is within their type's threshold: the q-quantile of bucket pairs if any, else of all pairs; the maximum
-    for fewer than `least` values."""
-    bucket, every = F.col("source") == "bucket", F.col("spec")
-    of_bucket = F.when(bucket, every)
-    pick = lambda c: F.when(F.count(c) < least, F.max(c)).otherwise(F.percentile(c, F.lit(q)))
-    limit = scored.groupBy("type_id").agg(F.coalesce(F.when(F.count(of_bucket) > 0, pick(of_bucket)), pick(every)).alias("__t"))
-    return scored.join(F.broadcast(limit), "type_id").where(F.col("spec") <= F.col("__t") + EPS).drop("__t")
+def _quantile(c, q: float, least: int = 8):
+    """A quantile; the maximum of fewer than `least` values in the upper tail."""
+    return F.when(F.count(c) < (least if q >= 0.9 else 0), F.max(c)).otherwise(F.percentile(c, F.lit(q)))
+
+
+def spectral_guard(scored: DataFrame, q: float = 0.95, keep_per_node: int = 2, downrank: bool = False) -> DataFrame:
+    """Pairs whose spec is within their type's threshold, the q-quantile of bucket pairs if any, else of all pairs; above it
+    they go, or with downrank cost more by what they exceed it by.
+
+    A node that would be left with fewer than keep_per_node pairs keeps its best others, by (spec, i, j), up to that number;
+    a pair that either end keeps stays."""
+    of_bucket = F.when(F.col("source") == "bucket", F.col("spec"))
+    limit = scored.groupBy("type_id").agg(F.coalesce(F.when(F.count(of_bucket) > 0, _quantile(of_bucket, q)), _quantile(F.col("spec"), q)).alias("__t"))
+    rows = scored.join(F.broadcast(limit), "type_id")
+    over = F.col("spec") > F.col("__t") + EPS
+    if downrank:
+        return rows.withColumn("cost", F.col("cost") + F.when(over, F.col("spec") - F.col("__t")).otherwise(0.0)).drop("__t").select(scored.columns)
+    good, high = rows.where(~over).select(scored.columns), rows.where(over).select(scored.columns)
+    if not keep_per_node:
+        return good
+    ends = lambda df: df.select("i", "j", "spec", F.explode(F.array("i", "j")).alias("n"))
+    have = ends(good).groupBy("n").agg(F.count(F.lit(1)).alias("have"))
+    poor = ends(high).join(have, "n", "left").withColumn("lacks", keep_per_node - F.coalesce("have", F.lit(0))).where("lacks > 0")
+    place = F.row_number().over(W.partitionBy("n").orderBy("spec", "i", "j"))
+    back = poor.withColumn("r", place).where(F.col("r") <= F.col("lacks")).select("i", "j").distinct()
+    return good.unionByName(high.join(back, ["i", "j"], "left_semi").select(scored.columns))
+
+
+def source_guard(scored: DataFrame, share: float = 0.30, ratio: float = 4.0, tail: float = 0.95, topk: int | None = None) -> DataFrame:
+    """Pairs without the one-hop pairs that pollute them: only where one-hop pairs are more than `share` of all, their mean spec
+    is above `ratio` times that of bucket pairs and their tail above the bucket pairs' 95th percentile. Then one-hop pairs above
+    that percentile go, and of the others those beyond the topk best, by (spec, cost, i, j), of either end."""
+    one = F.when(F.col("source") == "onehop", F.col("spec"))
+    bucket = F.when(F.col("source") == "bucket", F.col("spec"))
+    s = scored.agg((F.count(one) / F.count(F.lit(1))).alias("share"), F.avg(one).alias("one"), F.avg(bucket).alias("bucket"), _quantile(one, tail).alias("tail"), _quantile(bucket, 0.95).alias("q95")).first()
+    if s.one is None or s.bucket is None or not (s.share > share and s.one / max(s.bucket, EPS) > ratio and s.tail > s.q95):
+        return scored
+    kept = scored.where((F.col("source") != "onehop") | (F.col("spec") <= F.lit(s.q95)))
+    if topk is None:
+        return kept
+    mine = kept.where("source = 'onehop'").select("i", "j", "spec", "cost", F.explode(F.array("i", "j")).alias("n"))
+    place = F.row_number().over(W.partitionBy("n").orderBy("spec", "cost", "i", "j"))
+    beyond = mine.withColumn("r", place).where(F.col("r") > topk).select("i", "j").distinct()
+    return kept.join(beyond, ["i", "j"], "left_anti").select(scored.columns)
 
 
 def source_policy(scored: DataFrame, source: str = "onehop", q: float = 0.95) -> DataFrame:
@@ -135,6 +221,40 @@ def source_policy(scored: DataFrame, source: str = "onehop", q: float = 0.95) ->
     return scored.join(F.broadcast(limit)).where((F.col("source") != source) | F.col("__t").isNull() | (F.col("spec") <= F.col("__t") + EPS)).drop("__t")
 
 
+def selected_by_source(selected: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(source, n, mean_cost, mean_spec, mean_conv, mean_size): of the merged pairs of each source, the last the size of the
+    cluster that they are in."""
+    sizes = assignment.groupBy("super_id").agg(F.count(F.lit(1)).alias("size"))
+    rows = selected.join(assignment.select(F.col("node_id").alias("i"), "super_id"), "i").join(sizes, "super_id")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("cost").alias("mean_cost"), F.avg("spec").alias("mean_spec"), F.avg("conv").alias("mean_conv"), F.avg("size").alias("mean_size"))
+
+
+def term_contributions(scored: DataFrame, lambdas: dict[str, float] | None = None) -> DataFrame:
+    """(term, n, mean, p50, p95, p99) of what each term adds to the cost."""
+    weights = lambdas or LAMBDAS
+    return term_summary(scored.select(*[(w * F.col(t)).alias(t) for t, w in weights.items()]), tuple(weights))
+
+
+def pca_projection(features: DataFrame, type_id: int, k: int) -> DataFrame:
+    """Dense rows: the features of a type on its k principal axes, largest variance first; an axis points where its largest
+    entry, the first of equals, is positive. One aggregate gives the covariance, whose size is that of the features' width;
+    the driver turns it."""
+    import numpy as np
+
+    rows = features.where(F.col("type_id") == type_id)
+    d = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    entries = [F.get("x", F.lit(a)) for a in range(d)]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(e).alias(f"m{a}") for a, e in enumerate(entries)], *[F.covar_pop(entries[a], entries[b]).alias(f"c{a}_{b}") for a in range(d) for b in range(a + 1)]).first()
+    k = min(k, d)
+    if not sums.n or not k:
+        return rows.select("node_id")
+    cov = np.array([[sums[f"c{max(a, b)}_{min(a, b)}"] for b in range(d)] for a in range(d)])
+    values, vectors = np.linalg.eigh(cov)
+    axes = vectors[:, np.argsort(-values, kind="stable")[:k]].T
+    axes *= np.sign(axes[np.arange(k), np.abs(axes).argmax(axis=1)])[:, None]
+    return rows.select("node_id", *[row_sum([(e - float(sums[f"m{a}"])) * float(axis[a]) for a, e in enumerate(entries)]).alias(f"v{j}") for j, axis in enumerate(axes)])
+
+
 def term_summary(scored: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     """(term, n, mean, p50, p95, p99)."""
     long = scored.unpivot([], list(terms), "term", "x")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import EPS, xlogx_ratio
+from ..functions import EPS
+from ..graph import ranked
 
 
 def _touching(edges: DataFrame, nodes: DataFrame, target: int) -> DataFrame:
@@ -34,19 +35,6 @@ def _shares(mass: DataFrame) -> DataFrame:
     return mass.join(total, "node_id").select("node_id", "label", (F.col("m") / F.greatest("t", F.lit(EPS))).alias("p"))
 
 
-def class_footprint_twohop(edges: DataFrame, nodes: DataFrame, target: int) -> DataFrame:
-    """The footprint of nodes two steps away, through support nodes, by weight."""
-    one = class_footprint(edges, nodes, target).withColumnsRenamed({"node_id": "m", "label": "c"})
-    both = edges.select(F.col("src").alias("m"), F.col("dst").alias("node_id"), "w").unionByName(edges.select(F.col("dst").alias("m"), F.col("src").alias("node_id"), "w"))
-    support = nodes.where(F.col("type_id") != target).select("node_id")
-    mass = both.join(one, "m").join(support, "node_id", "left_semi").groupBy("node_id", F.col("c").alias("label")).agg(F.sum(F.col("w") * F.col("p")).alias("m"))
-    return _shares(mass)
-
-
-def relation_footprint(edges: DataFrame, nodes: DataFrame, target: int) -> DataFrame:
-    """(node_id, dim, p): each support node's share of target-side weight by relation and direction."""
-    mass = _touching(edges, nodes, target).groupBy("node_id", (2 * F.col("rel_id") + F.col("side")).alias("label")).agg(F.sum("w").alias("m"))
-    return _shares(mass).withColumnRenamed("label", "dim")
 
 
 def anchor_topk(edges: DataFrame, nodes: DataFrame, target: int, k: int) -> DataFrame:
@@ -69,28 +57,8 @@ def anchor_co_support(anchors: DataFrame, nodes: DataFrame, most: int) -> DataFr
     return out.select("i", "j", (1.0 - F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).alias("score"))
 
 
-def footprint_divergence(pairs: DataFrame, footprint: DataFrame, dim: str = "label") -> DataFrame:
-    """(i, j, js): the Jensen-Shannon divergence of two nodes' footprints; 0 where either has none."""
-    a = pairs.select("i", "j").join(footprint.select(F.col("node_id").alias("i"), F.col(dim).alias("c"), F.col("p").alias("p"), F.lit(0.0).alias("q")), "i").select("i", "j", "c", "p", "q")
-    b = pairs.select("i", "j").join(footprint.select(F.col("node_id").alias("j"), F.col(dim).alias("c"), F.lit(0.0).alias("p"), F.col("p").alias("q")), "j").select("i", "j", "c", "p", "q")
-    both = a.unionByName(b).groupBy("i", "j", "c").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    m = (F.col("p") + F.col("q")) / 2
-    out = both.groupBy("i", "j").agg(F.sum((xlogx_ratio(F.col("p"), m) + xlogx_ratio(F.col("q"), m)) / 2).alias("js"), F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    return pairs.select("i", "j").join(out, ["i", "j"], "left").select("i", "j", F.when((F.col("sp") > 0) & (F.col("sq") > 0), F.col("js")).otherwise(0.0).alias("js"))
 
 
-def purity_gate(divergence: DataFrame, limit: float = 0.35) -> DataFrame:
-    return divergence.where(F.col("js") <= limit)
-
-
-def task_score(terms: DataFrame) -> DataFrame:
-    """terms with cost = spec + .5 rel + .75 cov + .75 pur + .1 feat; absent terms are 0."""
-    total = F.lit(0.0)
-    for name, weight in (("spec", 1.0), ("rel", 0.5), ("cov", 0.75), ("pur", 0.75), ("feat", 0.1)):
-        if name in terms.columns:
-            total = total + weight * F.col(name)
-    return terms.withColumn("cost", total)
-
 
 def scaled(c: str):
     """A column scaled to 0..1 over all rows, by a joined minimum and maximum: see importance."""
@@ -122,27 +90,10 @@ def select_top(scored: DataFrame, ratio: float, score: str = "importance") -> Da
     return scored.orderBy(F.desc(score), "node_id").limit(k).select("node_id")
 
 
-def select_blocks(scored: DataFrame, block: list[str], ratio: float, score: str = "importance") -> DataFrame:
-    """(node_id): whole blocks by their mean score until ceil(n ratio) nodes are reached; the last block may go beyond."""
-    n = scored.count()
-    k = max(1, -int(-(n * ratio) // 1))
-    sums = scored.groupBy(*block).agg(F.avg(F.round(score, 9)).alias("m"), F.count(F.lit(1)).alias("c"), F.min("node_id").alias("first"))
-    before = F.coalesce(F.sum("c").over(W.partitionBy(F.lit(0)).orderBy(F.desc(F.round("m", 9)), "first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    kept = sums.withColumn("b", before).where(F.col("b") < k).select(*block)
-    return scored.join(F.broadcast(kept), block, "left_semi").select("node_id")
-
-
-def diverse_select(scored: DataFrame, groups: list[str], k: int, score: str = "importance", decay: float = 0.5) -> DataFrame:
-    """(node_id): the k best when every earlier pick of a group multiplies a node's score by decay: in a group the picks go by
-    score, so the sequential choice equals one sort by score * decay ** place."""
-    place = F.row_number().over(W.partitionBy(*groups).orderBy(F.desc(score), "node_id")) - 1
-    return scored.withColumn("__s", F.round(F.col(score) * F.pow(F.lit(decay), place), 12)).orderBy(F.desc("__s"), "node_id").limit(k).select("node_id")
-
 
 def prototypes(residual: DataFrame, key: list[str], cap: int, order: str) -> DataFrame:
     """(node_id, prototype): the residual of each key in chunks of cap by (order descending, id); the least id names a chunk."""
-    w = W.partitionBy(*key).orderBy(F.desc(order), "node_id")
-    placed = residual.withColumn("g", F.ceil(F.row_number().over(w) / cap))
+    placed = ranked(residual, key, [order, "node_id"], descending=True).withColumn("g", F.ceil(F.col("rank") / cap))
     first = placed.groupBy(*key, "g").agg(F.min("node_id").alias("prototype"))
     return placed.join(first, [*key, "g"]).select("node_id", "prototype")
 

@@ -82,8 +82,12 @@ CTE = {
     "dist": "SELECT p.i AS i, p.j AS j, sum((coalesce(a.v, 0) - coalesce(b.v, 0)) ** 2) AS d FROM (SELECT i, j, c FROM pairs, range(2) t(c)) p LEFT JOIN sx a ON a.node_id = p.i AND a.j = c LEFT JOIN sx b ON b.node_id = p.j AND b.j = c GROUP BY 1, 2",
     "spec": "SELECT i, j, d * coalesce(a.mass, 0) * coalesce(b.mass, 0) / greatest(coalesce(a.mass, 0) + coalesce(b.mass, 0), 1e-12) AS spec FROM dist LEFT JOIN mass a ON a.node_id = i LEFT JOIN mass b ON b.node_id = j",
     "feat": "SELECT i, j, coalesce(f, 0) AS feat FROM pairs LEFT JOIN (SELECT p.i AS i, p.j AS j, sum((a.v - b.v) ** 2) AS f FROM pairs p JOIN flat a ON a.node_id = p.i JOIN flat b ON b.node_id = p.j AND b.j = a.j GROUP BY 1, 2) USING (i, j)",
-    "scored": f"SELECT p.i, p.j, p.type_id, spec, rel, feat FROM pairs p JOIN spec USING (i, j) JOIN jsd USING (i, j) JOIN feat USING (i, j)",
-    "costs": f"SELECT i, j, type_id, spec, rel, feat, {r('1.0::DOUBLE * spec + 0.2::DOUBLE * rel + 0.1::DOUBLE * feat', 9)} AS cost FROM scored",
+    "ssx": "SELECT b AS node_id, j, sum(0.5::DOUBLE * turned.w * v) / 11 AS v FROM turned JOIN sx ON node_id = a GROUP BY 1, 2",
+    "conv": "SELECT p.i AS i, p.j AS j, sum((coalesce(a.v, 0) - coalesce(b.v, 0)) ** 2) AS conv FROM (SELECT i, j, c FROM pairs, range(2) t(c)) p LEFT JOIN ssx a ON a.node_id = p.i AND a.j = c LEFT JOIN ssx b ON b.node_id = p.j AND b.j = c GROUP BY 1, 2",
+    "risk": "SELECT n.node_id, n.part_id, coalesce(cut, 0) + 0.05::DOUBLE * ln(1 + coalesce(mass, 0)) + (CASE WHEN coalesce(mass, 0) <= 1 THEN 1 ELSE 0 END) AS risk FROM nodes n LEFT JOIN (SELECT e.a AS node_id, max((p.part_id <> q.part_id)::INTEGER) AS cut, sum(w) AS mass FROM (SELECT src AS a, dst AS b, w FROM edges UNION ALL SELECT dst, src, w FROM edges) e JOIN nodes p ON p.node_id = e.a JOIN nodes q ON q.node_id = e.b GROUP BY 1) c ON c.node_id = n.node_id",
+    "bound": "SELECT p.i, p.j, greatest(a.risk, b.risk, (a.part_id <> b.part_id)::INTEGER) AS boundary FROM pairs p JOIN risk a ON a.node_id = i JOIN risk b ON b.node_id = j",
+    "scored": "SELECT p.i, p.j, p.type_id, spec, rel, feat, conv, boundary FROM pairs p JOIN spec USING (i, j) JOIN jsd USING (i, j) JOIN feat USING (i, j) JOIN conv USING (i, j) JOIN bound USING (i, j)",
+    "costs": f"SELECT i, j, type_id, spec, rel, feat, {r('1.0::DOUBLE * spec + 0.2::DOUBLE * rel + 0.1::DOUBLE * feat + 0.5::DOUBLE * conv + 0.1::DOUBLE * boundary', 9)} AS cost FROM scored",
     "centroids": "SELECT label, j, avg(v) AS c FROM flat JOIN nodes USING (node_id) WHERE flat.type_id = 8 GROUP BY 1, 2",
     "logits": "SELECT node_id, n.label AS label, c.label AS k, round(sum(v * c.c) / 8, 6) AS s FROM flat f JOIN nodes n USING (node_id) JOIN centroids c ON c.j = f.j WHERE f.type_id = 8 GROUP BY 1, 2, 3",
     "probs": "SELECT *, exp(s - max(s) OVER w) / sum(exp(s - m)) OVER w AS p FROM (SELECT *, max(s) OVER (PARTITION BY node_id) AS m FROM logits) WINDOW w AS (PARTITION BY node_id)",
@@ -94,9 +98,22 @@ CTE = {
     "ends": "SELECT max(degree) AS dh, min(degree) AS dl, max(anchors) AS ah, min(anchors) AS al, max(purity) AS ph, min(purity) AS pl FROM support",
     "imp": "SELECT node_id, type_id, degree, round(0.5::DOUBLE * (CASE WHEN dh > dl THEN (degree - dl) / (dh - dl) ELSE 0 END) + 0.25::DOUBLE * (CASE WHEN ah > al THEN (anchors - al)::DOUBLE / (ah - al) ELSE 0 END) + 0.25::DOUBLE * (CASE WHEN ph > pl THEN (purity - pl) / (ph - pl) ELSE 0 END), 9) AS importance FROM support, ends",
     "anchors3": "SELECT target_id, rel_id, node_id, w FROM (SELECT target_id, rel_id, node_id, sum(w) AS w FROM touch GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY target_id, rel_id ORDER BY w DESC, node_id) <= 3",
+    # the task-first view: customers are the target, four fifths of their labels are known
+    "known": "SELECT node_id, label FROM nodes WHERE type_id = 0 AND label >= 0 AND node_id % 5 <> 0",
+    "links": "SELECT src AS t, dst AS node_id, w FROM edges JOIN rels USING (rel_id) WHERE src_type = 0 AND dst_type <> 0 UNION ALL SELECT dst, src, w FROM edges JOIN rels USING (rel_id) WHERE dst_type = 0 AND src_type <> 0",
+    "cmass": "SELECT l.node_id, k.label, sum(w) AS m FROM links l JOIN known k ON k.node_id = l.t GROUP BY 1, 2",
+    "cfoot": "SELECT node_id, label, m / greatest(sum(m) OVER (PARTITION BY node_id), 1e-12) AS p FROM cmass",
+    "ctwo": "SELECT node_id, label, sum(m) AS m FROM (SELECT node_id, label, m FROM cmass UNION ALL SELECT l.node_id, c.label, l.w * c.m FROM links l JOIN (SELECT t, label, sum(w * m) AS m FROM links JOIN cmass USING (node_id) GROUP BY 1, 2) c ON c.t = l.t) GROUP BY 1, 2",
+    "rfoot": "SELECT node_id, dim, m / greatest(sum(m) OVER (PARTITION BY node_id), 1e-12) AS p FROM (SELECT node_id, dim, sum(w) AS m FROM (SELECT src AS node_id, 2 * rel_id AS dim, w FROM edges JOIN rels USING (rel_id) WHERE src_type <> 0 AND dst_type = 0 UNION ALL SELECT dst, 2 * rel_id + 1, w FROM edges JOIN rels USING (rel_id) WHERE dst_type <> 0 AND src_type = 0) GROUP BY 1, 2)",
+    "spairs": "SELECT i, j FROM pairs WHERE type_id <> 0",
+    "anch": "SELECT DISTINCT target_id, node_id FROM anchors3",
+    "seed": "SELECT n.node_id, c::INTEGER AS j, (CASE WHEN k.label = c THEN 1.0 ELSE 0.0 END)::DOUBLE AS v FROM nodes n LEFT JOIN known k ON k.node_id = n.node_id, range(5) t(c)",
+    "xm": "SELECT super_id AS node_id, j, avg(v) AS v FROM x JOIN asg USING (node_id) GROUP BY 1, 2",
+    "cne": "SELECT rel_id, src, dst, w / greatest(sqrt(sum(w) OVER (PARTITION BY rel_id, src) * sum(w) OVER (PARTITION BY rel_id, dst)), 1e-12) AS w FROM coarse",
+    "cands": "SELECT i, j, 'onehop' AS source FROM (SELECT DISTINCT least(src, dst) AS i, greatest(src, dst) AS j FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.type_id = b.type_id AND a.part_id = b.part_id AND src <> dst) UNION ALL SELECT i, j, 'fallback' FROM pairs",
     "ecount": "SELECT rel_id, count(*) AS m, sum(w) AS vol FROM edges GROUP BY 1",
     "escore": "SELECT rel_id, src, dst, w, 1.0::DOUBLE / sqrt(count(*) OVER (PARTITION BY rel_id, src) * count(*) OVER (PARTITION BY rel_id, dst)) AS score, count(*) OVER (PARTITION BY rel_id, src) AS ds, count(*) OVER (PARTITION BY rel_id, dst) AS dd FROM edges",
-    "plan": "SELECT rel_id, m, least(m, low + whole + CASE WHEN row_number() OVER (ORDER BY round(share - whole, 9) DESC, rel_id) <= rest - sum(whole) OVER () THEN 1 ELSE 0 END) AS budget FROM (SELECT *, floor(share) AS whole FROM (SELECT *, rest * (m::DOUBLE / sum(m) OVER ()) AS share FROM (SELECT *, least(10, m) AS low, greatest(0, 20000 - sum(least(10, m)) OVER ()) AS rest FROM ecount)))",
+    "plan": "SELECT rel_id, m, least(m, low + whole + CASE WHEN row_number() OVER (ORDER BY round(share - whole, 9) DESC, rel_id::VARCHAR DESC) <= rest - sum(whole) OVER () THEN 1 ELSE 0 END) AS budget FROM (SELECT *, floor(share) AS whole FROM (SELECT *, rest * (m::DOUBLE / sum(m) OVER ()) AS share FROM (SELECT *, least(10, m) AS low, greatest(0, 20000 - sum(least(10, m)) OVER ()) AS rest FROM ecount)))",
 }
 
 

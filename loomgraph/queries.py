@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import mixed, rounded, settled
-from .graph import HeteroGraph, from_tables
+from .graph import HeteroGraph, from_tables, neighbours
 from .operators import candidates as C
 from .operators import classify as K
 from .operators import coarsen as A
@@ -27,9 +27,16 @@ EQUAL = {r: 1.0 / 11 for r in range(11)}
 Q = 2
 
 
+_WC = f"wc AS MATERIALIZED (SELECT *, ({O.mixed('i + j', '2')} % 1000) / 1000.0::DOUBLE AS cost FROM (SELECT type_id, part_id, node_id AS i, unnest([lead(node_id, 1) OVER w, lead(node_id, 2) OVER w]) AS j FROM nodes WINDOW w AS (PARTITION BY type_id, part_id ORDER BY node_id)) WHERE j IS NOT NULL)"
+# window pairs with a source that a hash gives, so that guards have something to do
+_HS = f"(CASE WHEN {O.mixed('i + j', '5')} % 10 < 6 THEN 'onehop' ELSE 'bucket' END)"
+_GC = f"gc AS MATERIALIZED (SELECT i, j, type_id, {_HS} AS source, ({O.mixed('i + j', '7')} % 1000) / 1000.0::DOUBLE * (CASE WHEN {_HS} = 'onehop' THEN 9 ELSE 1 END) AS spec, cost FROM wc)"
+
+
 def query(body: str | None = None):
     def add(f):
-        REGISTRY[f.__name__] = (lambda spark, sf_dir: f(from_tables(spark, sf_dir)), O.sql(body) if body else None)
+        text = body and body.replace("{wc}", _WC).replace("{gc}", _GC)
+        REGISTRY[f.__name__] = (lambda spark, sf_dir: f(from_tables(spark, sf_dir)), O.sql(text) if text else None)
         return f
 
     return add
@@ -55,12 +62,15 @@ def coarse_of(g: HeteroGraph) -> DataFrame:
     return A.coarse_edges(g.edges, assignment_of(g))
 
 
+def table_of(g: HeteroGraph) -> DataFrame:
+    """What pair terms need of each node: the sketch is one product of a probe, the conv response one of the sketch."""
+    e = settled(L.normalized(g.edges))
+    z = settled(L.fused(e, x_of(g), EQUAL))
+    return S.node_table(g.nodes, g.edges, list(EQUAL), g.features, z, L.fused(e, z, EQUAL))
+
+
 def scored_of(g: HeteroGraph) -> DataFrame:
-    p = pairs_of(g)
-    key = ["i", "j"]
-    p = settled(p)
-    out = p.join(S.spectral_cost(p, sx_of(g), L.incident_mass(g.edges)), key).join(S.profile_distance(p, S.relation_profiles(g.edges)), key)
-    return out.join(S.feature_distance(p, g.features), key).select("i", "j", "type_id", "part_id", "spec", "rel", "feat")
+    return S.pair_terms(pairs_of(g).select("i", "j"), table_of(g))
 
 
 def costs_of(g: HeteroGraph) -> DataFrame:
@@ -82,7 +92,7 @@ def importance_of(g: HeteroGraph) -> DataFrame:
 
 
 def dense(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select("node_id", F.col("j").cast("int").alias("j"), rounded(F.col("v"), digits).alias("v"))
+    return L.long(df).select("node_id", F.col("j").cast("int").alias("j"), rounded(F.col("v"), digits).alias("v"))
 
 
 DENSE = "SELECT node_id, j, " + O.r("sum(v)") + " AS v FROM ({}) GROUP BY 1, 2"
@@ -116,10 +126,6 @@ def edge_count_by_relation(g):
     return g.edges.groupBy("rel_id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("volume"))
 
 
-@query("SELECT * FROM (VALUES ('unknown_relation', 0::BIGINT), ('dangling_src', 0), ('dangling_dst', 0), ('src_type', 0), ('dst_type', 0), ('weight', 0), ('duplicate_node', 0), ('negative_type', 0)) t(rule, n)")
-def schema_violations(g):
-    return g.violations()
-
 
 @query("SELECT node_id, type_id, row_number() OVER (PARTITION BY type_id ORDER BY node_id) - 1 AS local_id FROM nodes")
 def type_local_index(g):
@@ -144,15 +150,20 @@ def normalized_edge_weights(g):
     return L.normalized(g.edges).withColumn("w", rounded(F.col("w")))
 
 
-@query("SELECT rel_id, src, dst, " + O.r("w / sum(w) OVER (PARTITION BY rel_id, src)") + " AS w FROM edges")
+@query("SELECT rel_id, src, dst, " + O.r("w / sum(w) OVER (PARTITION BY rel_id, src)", 9) + " AS w FROM edges")
 def row_normalized_transition(g):
-    return L.row_normalized(g.edges).withColumn("w", rounded(F.col("w")))
+    return L.row_normalized(g.edges).withColumn("w", rounded(F.col("w"), 9))
+
+
+@query("SELECT rel_id, src, dst, " + O.r("w / sum(w) OVER (PARTITION BY rel_id, dst)", 9) + " AS w FROM edges")
+def dst_normalized_step(g):
+    return L.row_normalized(g.edges, "dst").withColumn("w", rounded(F.col("w"), 9))
 
 
 def _spmm(direction):
     def f(g):
         y = L.spmm(L.normalized(g.edges), x_of(g), direction)
-        return y.select("rel_id", "node_id", F.col("j").cast("int").alias("j"), rounded(F.col("v")).alias("v"))
+        return y.select("rel_id", "node_id", F.posexplode(F.array(*L.columns(y))).alias("j", "v")).select("rel_id", "node_id", "j", rounded(F.col("v")).alias("v"))
 
     return f
 
@@ -247,7 +258,7 @@ def lazy_sketch(g):
     return dense(Z.lazy_sketch(L.normalized(g.edges), x_of(g), EQUAL, 2))
 
 
-_ENERGY = "SELECT rel_id, sum(e.w) / 1 AS volume, sum(e.w * (a.v / sqrt(ds + 1e-12) - b.v / sqrt(dd + 1e-12)) ** 2) / (SELECT sum(v * v) FROM x) AS energy FROM (SELECT *, sum(w) OVER (PARTITION BY rel_id, src) AS ds, sum(w) OVER (PARTITION BY rel_id, dst) AS dd FROM edges) e JOIN x a ON a.node_id = src JOIN x b ON b.node_id = dst AND b.j = a.j GROUP BY rel_id"
+_ENERGY = "SELECT rel_id, sum(e.w) / 1 AS volume, sum(e.w * (a.v / sqrt(ds + 1e-8) - b.v / sqrt(dd + 1e-8)) ** 2) / (SELECT sum(v * v) + 1e-8 FROM x) AS energy FROM (SELECT *, sum(w) OVER (PARTITION BY rel_id, src) AS ds, sum(w) OVER (PARTITION BY rel_id, dst) AS dd FROM edges) e JOIN x a ON a.node_id = src JOIN x b ON b.node_id = dst AND b.j = a.j GROUP BY rel_id"
 
 
 @query(f"SELECT rel_id, {O.r('volume / 2')} AS volume, {O.r('energy')} AS energy FROM ({_ENERGY})")
@@ -256,21 +267,24 @@ def relation_energy(g):
     return e.select("rel_id", rounded(F.col("volume")).alias("volume"), rounded(F.col("energy")).alias("energy"))
 
 
-_V, _E = "(volume / 2 + 1e-6)", "(energy + 1e-6)"
-_RAW = {"uniform": "1.0::DOUBLE", "volume": f"sqrt({_V})", "inverse_energy": f"sqrt({_V}) / {_E}", "inverse_energy_clipped": f"sqrt({_V}) / {_E}", "inverse_sqrt": f"sqrt({_V}) / sqrt({_E})", "capped_inverse_sqrt": f"sqrt({_V}) / sqrt({_E})", "smoothed": "exp(-energy)", "feature_smoothness": "1.0::DOUBLE / (1 + energy)"}
-_THEN = {"inverse_energy_clipped": "least(greatest(alpha, 0.05::DOUBLE), 0.5::DOUBLE)", "capped_inverse_sqrt": "least(alpha, 0.5::DOUBLE)"}
+_V, _E = "(volume / 2 + 1e-8)", "(energy + 1e-8)"
+_RAW = {"uniform": "1.0::DOUBLE", "volume": f"sqrt({_V})", "inverse_energy": f"sqrt({_V}) / {_E}", "inverse_energy_clipped": f"sqrt({_V}) / {_E}", "inverse_sqrt": f"sqrt({_V}) / sqrt({_E})", "capped_inverse_sqrt": f"sqrt({_V}) / sqrt({_E})", "smoothed": f"exp(0.5::DOUBLE * ln({_V}) - ln(energy + 2e-8))", "feature_smoothness": f"sqrt({_V}) / {_E}"}
+_THEN = {"inverse_energy_clipped": "least(alpha, 0.5::DOUBLE)", "capped_inverse_sqrt": "least(alpha, 0.75::DOUBLE)"}
+# features as a dense table: eight columns, wider ones times a Gaussian matrix
+_U = lambda s: f"(({O.mixed('(k - 1)', 'j', s)} + 0.5::DOUBLE) / 2147483647.0::DOUBLE)"
+_BASIS = f"fb AS MATERIALIZED (SELECT n.node_id, j::INTEGER AS j, coalesce(CASE WHEN len(x) <= 8 THEN x[j + 1] ELSE list_sum(list_transform(generate_series(1, len(x)), lambda k: x[k] * sqrt(-2.0::DOUBLE * ln({_U(0)})) * cos(2.0::DOUBLE * pi() * {_U(1)}))) / sqrt(8.0::DOUBLE) END, 0) AS v FROM nodes n LEFT JOIN feats f ON f.node_id = n.node_id, range(8) t(j))"
 for _m, _raw in _RAW.items():
 
     def _weights(g, m=_m):
-        return Z.relation_weights(Z.relation_energy(g.edges, x_of(g)), m).withColumn("alpha", rounded(F.col("alpha")))
+        x = Z.feature_basis(g.nodes, g.features, 8) if m == "feature_smoothness" else x_of(g)
+        return Z.relation_weights(Z.relation_energy(g.edges, x), m).withColumn("alpha", rounded(F.col("alpha")))
 
     _weights.__name__ = f"relation_weights_{_m}"
-    _body = f"SELECT rel_id, raw / sum(raw) OVER () AS alpha FROM (SELECT rel_id, {_raw} AS raw FROM ({_ENERGY}))"
+    _energy, _with = (_ENERGY.replace("FROM x)", "FROM fb)").replace("JOIN x a", "JOIN fb a").replace("JOIN x b", "JOIN fb b").replace("sum(e.w) / 1 AS volume", "2 * sum(e.w) / 8 AS volume"), f"WITH {_BASIS} ") if _m == "feature_smoothness" else (_ENERGY, "")
+    _body = f"SELECT rel_id, raw / sum(raw) OVER () AS alpha FROM (SELECT rel_id, {_raw} AS raw FROM ({_energy}))"
     if _m in _THEN:
         _body = f"SELECT rel_id, r / sum(r) OVER () AS alpha FROM (SELECT rel_id, {_THEN[_m]} AS r FROM ({_body}))"
-    if _m == "smoothed":
-        _body = f"SELECT rel_id, 0.5::DOUBLE * alpha + 0.5::DOUBLE / count(*) OVER () AS alpha FROM ({_body})"
-    query(f"SELECT rel_id, {O.r('alpha')} AS alpha FROM ({_body})")(_weights)
+    query(f"{_with}SELECT rel_id, {O.r('alpha')} AS alpha FROM ({_body})")(_weights)
 
 _BUCKETS = f"SELECT node_id, (n.type_id::BIGINT << 48) | (n.part_id::BIGINT << 4) | sum(CASE WHEN p >= 0 THEN (1 << b) ELSE 0 END)::BIGINT AS bucket FROM (SELECT node_id, b, round(sum(v * ({O.sign('j', 'b', 1)})), 9) AS p FROM sx, range(4) t(b) GROUP BY 1, 2) JOIN nodes n USING (node_id) GROUP BY node_id, n.type_id, n.part_id"
 
@@ -345,10 +359,13 @@ def cand_bucket_multiprobe(g):
     return C.bucket_pairs(buckets_of(g), 2, 4).select("i", "j")
 
 
-@query("SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM (SELECT node_id AS i, unnest([lead(node_id, 1) OVER w, lead(node_id, 2) OVER w]) AS j FROM (SELECT node_id, round(v, 9) AS p FROM flat WHERE j = 0) JOIN nodes n USING (node_id) WINDOW w AS (PARTITION BY n.type_id, n.part_id ORDER BY p, node_id)) WHERE j IS NOT NULL")
+_RP = f"SELECT node_id, k::INTEGER AS j, round(sum(v * ({O.sign('j', 'k', 3)})) / sqrt(2.0::DOUBLE), 6) AS v FROM flat, range(2) t(k) GROUP BY 1, 2"
+
+
+@query(f"SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM (SELECT node_id AS i, unnest([lead(node_id, 1) OVER w, lead(node_id, 2) OVER w]) AS j FROM ({_RP}) r JOIN nodes n USING (node_id) WINDOW w AS (PARTITION BY r.j, n.type_id, n.part_id ORDER BY r.v, node_id)) WHERE j IS NOT NULL")
 def cand_ann_window(g):
-    first = g.features.select("node_id", F.round(F.col("x")[0], 9).alias("p"))
-    return C.ann_window(first, g.nodes, 2).select("i", "j")
+    p = P.random_projection(g.features, 2)
+    return C.ann_window(p.select("node_id", *[F.round(c, 6).alias(c) for c in L.columns(p)]), g.nodes, 2).select("i", "j")
 
 
 @query("SELECT i, j, 1e6::DOUBLE AS score, 'fallback' AS source FROM pairs")
@@ -356,7 +373,7 @@ def cand_fallback(g):
     return C.fallback(g.nodes)
 
 
-@query(f"{_CANDS}, best AS MATERIALIZED (SELECT i, j, min(score) AS score, arg_min(o, score * 10 + o) AS o, arg_min(source, score * 10 + o) AS source FROM cands GROUP BY 1, 2) SELECT i, j, score, source FROM best WHERE (i, j) IN (SELECT (i, j) FROM (SELECT i, j, row_number() OVER (PARTITION BY n ORDER BY score, o, other) AS r FROM (SELECT i AS n, j AS other, * FROM best UNION ALL SELECT j, i, * FROM best)) WHERE r <= 3 GROUP BY i, j HAVING count(*) = 2)")
+@query(f"{_CANDS}, best AS MATERIALIZED (SELECT i, j, min(score) AS score, arg_min(o, score * 10 + o) AS o, arg_min(source, score * 10 + o) AS source FROM cands GROUP BY 1, 2) SELECT b.i, b.j, b.score, b.source FROM best b JOIN (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY n ORDER BY score, o, other) AS r FROM (SELECT i AS n, j AS other, * FROM best UNION ALL SELECT j, i, * FROM best)) WHERE r <= 3 GROUP BY i, j HAVING count(*) = 2) k ON k.i = b.i AND k.j = b.j")
 def cand_retained_topk(g):
     return C.retain(all_candidates(g), 3)
 
@@ -403,14 +420,21 @@ def pair_feat(g):
     return _term(S.feature_distance(pairs_of(g), g.features), "feat")
 
 
-_RISK = "SELECT n.node_id, n.part_id, coalesce(cut, 0) + 0.05::DOUBLE * ln(1 + coalesce(deg, 0)) + (CASE WHEN coalesce(deg, 0) <= 1 THEN 1 ELSE 0 END) AS risk FROM nodes n LEFT JOIN (SELECT e.a AS node_id, max((p.part_id <> q.part_id)::INTEGER) AS cut, count(*) AS deg FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) e JOIN nodes p ON p.node_id = e.a JOIN nodes q ON q.node_id = e.b GROUP BY 1) c ON c.node_id = n.node_id"
-
-
-@query(f"WITH rk AS ({_RISK}) SELECT p.i, p.j, {O.r('greatest(a.risk, b.risk, (a.part_id <> b.part_id)::INTEGER)')} AS boundary FROM pairs p JOIN rk a ON a.node_id = i JOIN rk b ON b.node_id = j")
+@query("SELECT i, j, " + O.r("boundary") + " AS boundary FROM scored")
 def pair_boundary(g):
     return _term(S.boundary_cost(pairs_of(g), S.boundary_risk(g.edges, g.nodes), g.nodes), "boundary")
 
 
+@query("SELECT i, j, " + O.r("conv") + " AS conv FROM scored")
+def pair_conv(g):
+    return _term(scored_of(g), "conv")
+
+
+@query("SELECT i, j, type_id, " + ", ".join(f"{O.r(t)} AS {t}" for t in S.LAMBDAS) + " FROM scored")
+def pair_terms(g):
+    return scored_of(g).select("i", "j", "type_id", *[rounded(F.col(t)).alias(t) for t in S.LAMBDAS])
+
+
 @query("SELECT i, j, " + O.r("spec / s") + " AS spec FROM scored, (SELECT CASE WHEN abs(quantile_cont(spec, 0.95)) > 1e-12 THEN abs(quantile_cont(spec, 0.95)) ELSE coalesce(quantile_cont(abs(spec), 0.95) FILTER (abs(spec) > 1e-12), 1e-12) END AS s FROM scored)")
 def term_p95(g):
     return _term(S.normalize(scored_of(g), "spec", "p95"), "spec")
@@ -436,10 +460,37 @@ def relation_guard(g):
     return _term(S.relation_guard(costs_of(g)), "cost")
 
 
-@query("SELECT c.i, c.j FROM (SELECT i, j, type_id, round(spec, 9) AS spec FROM costs) c JOIN (SELECT type_id, CASE WHEN count(*) < 8 THEN max(s) ELSE quantile_cont(s, 0.95) END AS t FROM (SELECT type_id, round(spec, 9) AS s FROM costs) GROUP BY 1) t USING (type_id) WHERE spec <= t + 1e-12")
+def guarded_costs(g):
+    rows = window_costs(g)
+    source = F.when(mixed(F.col("i") + F.col("j"), 5) % 10 < 6, "onehop").otherwise("bucket")
+    spec = (mixed(F.col("i") + F.col("j"), 7) % 1000) / 1000.0 * F.when(F.col("source") == "onehop", 9).otherwise(1)
+    return rows.withColumn("source", source).withColumn("spec", spec)
+
+
+@query("WITH {wc}, {gc}, t AS (SELECT *, spec > lim + 1e-12 AS high FROM gc JOIN (SELECT type_id, CASE WHEN count(*) FILTER (source = 'bucket') < 8 THEN max(spec) FILTER (source = 'bucket') ELSE quantile_cont(spec, 0.95) FILTER (source = 'bucket') END AS lim FROM gc GROUP BY 1) USING (type_id)), e AS (SELECT i AS n, * FROM t UNION ALL SELECT j, * FROM t), have AS (SELECT n, count(*) FILTER (NOT high) AS have FROM e GROUP BY 1), back AS (SELECT i, j FROM (SELECT n, i, j, row_number() OVER (PARTITION BY n ORDER BY spec, i, j) AS r FROM e WHERE high) JOIN have USING (n) WHERE r <= 2 - have) SELECT i, j FROM t WHERE NOT high UNION SELECT i, j FROM back")
 def spectral_guard(g):
-    rows = costs_of(g).withColumn("source", F.lit("fallback")).withColumn("spec", F.round("spec", 9))
-    return S.spectral_guard(rows).select("i", "j")
+    return S.spectral_guard(guarded_costs(g)).select("i", "j")
+
+
+@query("WITH {wc}, {gc} SELECT i, j, " + O.r("cost + greatest(spec - lim, 0)") + " AS cost FROM gc JOIN (SELECT type_id, CASE WHEN count(*) FILTER (source = 'bucket') < 8 THEN max(spec) FILTER (source = 'bucket') ELSE quantile_cont(spec, 0.95) FILTER (source = 'bucket') END AS lim FROM gc GROUP BY 1) USING (type_id)")
+def spectral_guard_downrank(g):
+    return _term(S.spectral_guard(guarded_costs(g), downrank=True), "cost")
+
+
+@query("WITH {wc}, {gc}, q AS (SELECT quantile_cont(spec, 0.95) FILTER (source = 'bucket') AS q95, avg(spec) FILTER (source = 'onehop') / avg(spec) FILTER (source = 'bucket') AS ratio, avg((source = 'onehop')::INTEGER) AS share, quantile_cont(spec, 0.95) FILTER (source = 'onehop') AS tail FROM gc), k AS (SELECT gc.* FROM gc, q WHERE NOT (source = 'onehop' AND share > 0.3 AND ratio > 4 AND tail > q95 AND spec > q95)), o AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY n ORDER BY spec, cost, i, j) AS r FROM (SELECT i AS n, * FROM k WHERE source = 'onehop' UNION ALL SELECT j, * FROM k WHERE source = 'onehop')) WHERE r > 1) SELECT k.i, k.j FROM k LEFT JOIN (SELECT DISTINCT i, j, 1 AS gone FROM o) g ON g.i = k.i AND g.j = k.j, q WHERE gone IS NULL OR NOT (share > 0.3 AND ratio > 4 AND tail > q95)")
+def source_aware_guard(g):
+    return S.source_guard(guarded_costs(g), topk=1).select("i", "j")
+
+
+@query("WITH {wc}, {gc} SELECT i, j FROM gc, (SELECT quantile_cont(spec, 0.95) FILTER (source = 'bucket') AS q95 FROM gc) WHERE source <> 'onehop' OR spec <= q95 + 1e-12")
+def source_policy_filter(g):
+    return S.source_policy(guarded_costs(g)).select("i", "j")
+
+
+@query("SELECT term, count(x) AS n, " + ", ".join(f"{O.r(e)} AS {n}" for e, n in (("avg(x)", "mean"), ("quantile_cont(x, 0.5)", "p50"), ("quantile_cont(x, 0.95)", "p95"), ("quantile_cont(x, 0.99)", "p99"))) + " FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS term, {w}::DOUBLE * {t} AS x FROM scored" for t, w in S.LAMBDAS.items()) + ") GROUP BY 1")
+def score_term_contributions(g):
+    s = S.term_contributions(scored_of(g))
+    return s.select("term", "n", *[rounded(F.col(c)).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
 @query("SELECT term, count(x) AS n, " + ", ".join(f"{O.r(e)} AS {n}" for e, n in (("avg(x)", "mean"), ("quantile_cont(x, 0.5)", "p50"), ("quantile_cont(x, 0.95)", "p95"), ("quantile_cont(x, 0.99)", "p99"))) + " FROM (SELECT 'spec' AS term, spec AS x FROM scored UNION ALL SELECT 'rel', rel FROM scored) GROUP BY 1")
@@ -455,24 +506,17 @@ _CHAIN = "SELECT i, j, cost FROM costs"
 
 def window_costs(g):
     """Pairs with up to two neighbours in the order of ids, so that matchers have a choice; the cost is a hash."""
-    w = W.partitionBy("type_id", "part_id").orderBy("node_id")
-    near = F.array(F.lead("node_id", 1).over(w), F.lead("node_id", 2).over(w)).alias("near")
-    rows = g.nodes.select("type_id", "part_id", F.col("node_id").alias("i"), near).select("type_id", "part_id", "i", F.explode("near").alias("j")).where("j is not null")
+    rows = neighbours(g.nodes.select("node_id", "type_id", "part_id"), ["type_id", "part_id"], "node_id", 2)
     return rows.withColumn("cost", (mixed(F.col("i") + F.col("j"), 2) % 1000) / 1000.0)
 
 
-_WC = f"wc AS MATERIALIZED (SELECT *, ({O.mixed('i + j', '2')} % 1000) / 1000.0::DOUBLE AS cost FROM (SELECT type_id, part_id, node_id AS i, unnest([lead(node_id, 1) OVER w, lead(node_id, 2) OVER w]) AS j FROM nodes WINDOW w AS (PARTITION BY type_id, part_id ORDER BY node_id)) WHERE j IS NOT NULL)"
 
 
-@query(f"WITH {_WC}, b AS MATERIALIZED (SELECT n, other, cost FROM (SELECT i AS n, j AS other, cost FROM wc UNION ALL SELECT j, i, cost FROM wc) QUALIFY row_number() OVER (PARTITION BY n ORDER BY cost, other) = 1) SELECT a.n AS i, a.other AS j, a.cost FROM b a JOIN b c ON a.other = c.n AND c.other = a.n WHERE a.n < a.other ORDER BY a.cost, a.n LIMIT 2000")
+@query(f"WITH {_WC}, b AS MATERIALIZED (SELECT n, other, cost FROM (SELECT i AS n, j AS other, cost FROM wc UNION ALL SELECT j, i, cost FROM wc) QUALIFY row_number() OVER (PARTITION BY n ORDER BY cost, other) = 1) SELECT a.n AS i, a.other AS j, a.cost FROM b a JOIN b c ON a.other = c.n AND c.other = a.n WHERE a.n < a.other")
 def match_mutual_best(g):
     return M.mutual_best(window_costs(g))
 
 
-@query()
-def match_greedy(g):
-    return M.greedy_grouped(window_costs(g), ["type_id", "part_id"])
-
 
 @query()
 def match_greedy_cluster(g):
@@ -668,20 +712,8 @@ def label_projection_task(g):
 # --- support
 
 
-@query("SELECT node_id, label, " + O.r("p") + " AS p FROM foot")
-def class_footprint_onehop(g):
-    return T.class_footprint(g.edges, g.nodes, 0).withColumn("p", rounded(F.col("p")))
 
 
-@query("SELECT node_id, label, " + O.r("m / greatest(sum(m) OVER (PARTITION BY node_id), 1e-12)") + " AS p FROM (SELECT e.b AS node_id, f.label, sum(w * p) AS m FROM (SELECT src AS a, dst AS b, w FROM edges UNION ALL SELECT dst, src, w FROM edges) e JOIN foot f ON f.node_id = e.a JOIN nodes n ON n.node_id = e.b WHERE n.type_id <> 0 GROUP BY 1, 2)")
-def class_footprint_twohop(g):
-    return T.class_footprint_twohop(g.edges, g.nodes, 0).withColumn("p", rounded(F.col("p")))
-
-
-@query("SELECT node_id, dim, " + O.r("m / greatest(sum(m) OVER (PARTITION BY node_id), 1e-12)") + " AS p FROM (SELECT node_id, 2 * rel_id + side AS dim, sum(w) AS m FROM touch GROUP BY 1, 2)")
-def support_relation_footprint(g):
-    return T.relation_footprint(g.edges, g.nodes, 0).withColumn("p", rounded(F.col("p")))
-
 
 @query("SELECT target_id, rel_id, node_id, w FROM anchors3")
 def anchor_topk(g):
@@ -693,19 +725,8 @@ def anchor_co_support(g):
     return T.anchor_co_support(T.anchor_topk(g.edges, g.nodes, 0, 3), g.nodes, 16).withColumn("score", rounded(F.col("score")))
 
 
-_JS = "SELECT p.i, p.j, CASE WHEN sp > 0 AND sq > 0 THEN js ELSE 0 END AS js FROM pairs p LEFT JOIN (SELECT i, j, sum(p) AS sp, sum(q) AS sq, sum(((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)) / 2) AS js FROM (SELECT i, j, label, sum(a) AS p, sum(b) AS q FROM (SELECT i, j, f.label, p AS a, 0.0::DOUBLE AS b FROM pairs JOIN foot f ON f.node_id = i UNION ALL SELECT i, j, f.label, 0.0::DOUBLE, p FROM pairs JOIN foot f ON f.node_id = j) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (i, j)"
 
 
-@query(f"SELECT i, j, {O.r('js')} AS js FROM ({_JS}) WHERE round(js, 9) <= 0.35")
-def purity_gate(g):
-    d = T.footprint_divergence(pairs_of(g), T.class_footprint(g.edges, g.nodes, 0))
-    return T.purity_gate(d.withColumn("js", F.round("js", 9))).withColumn("js", rounded(F.col("js")))
-
-
-@query(f"SELECT i, j, {O.r('spec + 0.5::DOUBLE * rel + 0.75::DOUBLE * js + 0.1::DOUBLE * feat')} AS cost FROM scored JOIN ({_JS}) USING (i, j)")
-def task_first_score(g):
-    d = T.footprint_divergence(pairs_of(g), T.class_footprint(g.edges, g.nodes, 0)).withColumnRenamed("js", "pur")
-    return _term(T.task_score(scored_of(g).join(d, ["i", "j"])), "cost")
 
 
 @query("SELECT node_id, " + O.r("importance") + " AS importance FROM imp")
@@ -718,14 +739,6 @@ def support_topk(g):
     return T.select_top(importance_of(g), 0.25)
 
 
-@query("WITH b AS (SELECT type_id, round(avg(importance), 9) AS m, count(*) AS c, min(node_id) AS f FROM imp GROUP BY 1), k AS (SELECT type_id, coalesce(sum(c) OVER (ORDER BY m DESC, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM b) SELECT node_id FROM imp WHERE type_id IN (SELECT type_id FROM k WHERE b < (SELECT greatest(1, ceil(count(*) * 0.5)) FROM imp))")
-def block_select(g):
-    return T.select_blocks(importance_of(g), ["type_id"], 0.5)
-
-
-@query("SELECT node_id FROM (SELECT node_id, round(importance * pow(0.5::DOUBLE, row_number() OVER (PARTITION BY type_id ORDER BY importance DESC, node_id) - 1), 12) AS s FROM imp) ORDER BY s DESC, node_id LIMIT 20")
-def diverse_select(g):
-    return T.diverse_select(importance_of(g), ["type_id"], 20)
 
 
 @query("SELECT node_id, min(node_id) OVER (PARTITION BY type_id, (r - 1) // 4) AS prototype FROM (SELECT node_id, type_id, row_number() OVER (PARTITION BY type_id ORDER BY degree DESC, node_id) AS r FROM imp)")
@@ -746,19 +759,38 @@ def storage_ratio(g):
 # --- pruning, plans, reports
 
 
+def _scores(g, how, **more):
+    return P.edge_scores(g.edges, g.relations, how, **more).select("rel_id", "src", "dst", rounded(F.col("score")).alias("score"))
+
+
+def known_of(g):
+    """Customers whose labels may be seen: four fifths of them."""
+    return g.nodes.where("type_id = 0 AND label >= 0 AND node_id % 5 != 0")
+
+
+_ES = "FROM escore JOIN rels USING (rel_id) LEFT JOIN (SELECT node_id, 1 AS k FROM nodes WHERE type_id = 0 AND label >= 0 AND node_id % 5 <> 0) a ON a.node_id = src LEFT JOIN (SELECT node_id, 1 AS k FROM nodes WHERE type_id = 0 AND label >= 0 AND node_id % 5 <> 0) b ON b.node_id = dst"
+_KNOWN = "greatest(coalesce(a.k, 0), coalesce(b.k, 0))"
+
+
 @query("SELECT rel_id, src, dst, " + O.r("score") + " AS score FROM escore")
 def edge_scores_degree(g):
-    return P.edge_scores(g.edges, g.nodes).select("rel_id", "src", "dst", rounded(F.col("score")).alias("score"))
+    return _scores(g, "degree")
 
 
-@query("SELECT rel_id, src, dst, " + O.r("(a.type_id = 0 OR b.type_id = 0)::INTEGER + 0.25::DOUBLE / ds + 0.25::DOUBLE / dd") + " AS score FROM escore JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst")
+@query("SELECT rel_id, src, dst, " + O.r("(src_type = 0 OR dst_type = 0)::INTEGER + 0.25::DOUBLE / ds + 0.25::DOUBLE / dd") + " AS score FROM escore JOIN rels USING (rel_id)")
 def edge_scores_current(g):
-    return P.edge_scores(g.edges, g.nodes, "current").select("rel_id", "src", "dst", rounded(F.col("score")).alias("score"))
+    return _scores(g, "current")
 
 
-@query("SELECT rel_id, src, dst, " + O.r("(a.type_id = 0 OR b.type_id = 0)::INTEGER + (a.label >= 0 OR b.label >= 0)::INTEGER + score - 0.25::DOUBLE * ln(1 + greatest(ds, dd)) / 10") + " AS score FROM escore JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst")
+@query("SELECT rel_id, src, dst, " + O.r(f"score + (src_type = 0 OR dst_type = 0)::INTEGER + 0.8::DOUBLE * {_KNOWN} + (CASE rel_id WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.8::DOUBLE ELSE 0 END) * (coalesce(a.k, 0) + coalesce(b.k, 0)) + (CASE WHEN rel_id IN (0, 1) THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END) * (src_type IN (0, 1, 2, 3, 8, 9) AND dst_type IN (0, 1, 2, 3, 8, 9))::INTEGER + (xor(src * 1000003, dst * 9176) % 997) * 1e-9::DOUBLE", 9) + f" AS score {_ES}")
 def edge_scores_path_aware(g):
-    return P.edge_scores(g.edges, g.nodes, "path_aware").select("rel_id", "src", "dst", rounded(F.col("score")).alias("score"))
+    s = P.edge_scores(g.edges, g.relations, "path_aware", known=known_of(g), feature_types=(0, 1, 2, 3, 8, 9), bonus={0: 0.8, 1: 0.8}, strong=(0, 1))
+    return s.select("rel_id", "src", "dst", rounded(F.col("score"), 9).alias("score"))
+
+
+@query("SELECT rel_id, src, dst, " + O.r(f"(src_type = 0 OR dst_type = 0)::INTEGER + (src_type IN (0, 1, 2, 3, 8, 9) OR dst_type IN (0, 1, 2, 3, 8, 9))::INTEGER + {_KNOWN} + 1 - 0.25::DOUBLE * least(sqrt(ds * dd), 8) / 8 - 0.10::DOUBLE * least(ds + dd, 16) / 16.0::DOUBLE") + f" AS score {_ES}")
+def edge_scores_path_aware_v2(g):
+    return _scores(g, "path_aware_v2", known=known_of(g), feature_types=(0, 1, 2, 3, 8, 9))
 
 
 @query("SELECT rel_id, m AS edges, budget::BIGINT AS budget FROM plan")
@@ -768,7 +800,7 @@ def relation_budget_allocation(g):
 
 @query("SELECT rel_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY round(score, 9) DESC, src, dst) AS r FROM escore) JOIN plan USING (rel_id) WHERE r <= budget")
 def prune_relationwise(g):
-    return P.keep_top(P.edge_scores(g.edges, g.nodes), P.budgets(g.edges, 20000, 10)).select("rel_id", "src", "dst")
+    return P.keep_top(P.edge_scores(g.edges, g.relations), P.budgets(g.edges, 20000, 10)).select("rel_id", "src", "dst")
 
 
 @query("SELECT rel_id, src, dst FROM (SELECT DISTINCT m.rel_id, m.src, m.dst FROM (SELECT t, min(struct_pack(rel_id := rel_id, src := src, dst := dst)) AS m FROM (SELECT type_id AS t, max(node_id) AS n FROM nodes GROUP BY 1) JOIN edges ON src = n OR dst = n GROUP BY 1))")
@@ -793,7 +825,7 @@ def random_edge_sample(g):
 
 @query("SELECT rel_id, src, dst FROM escore QUALIFY row_number() OVER (PARTITION BY rel_id, src ORDER BY round(score, 9) DESC, dst) <= 5 AND row_number() OVER (PARTITION BY rel_id, dst ORDER BY round(score, 9) DESC, src) <= 5")
 def hub_capped_edges(g):
-    return P.hub_capped(P.edge_scores(g.edges, g.nodes), 5).select("rel_id", "src", "dst")
+    return P.hub_capped(P.edge_scores(g.edges, g.relations), 5).select("rel_id", "src", "dst")
 
 
 @query("WITH b AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), s0 AS (SELECT node_id AS n FROM nodes WHERE type_id = 5), s1 AS MATERIALIZED (SELECT n FROM s0 UNION SELECT b FROM b JOIN s0 ON a = n), s2 AS MATERIALIZED (SELECT n FROM s1 UNION SELECT b FROM b JOIN s1 ON a = n), s3 AS (SELECT n FROM s2 UNION SELECT b FROM b JOIN s2 ON a = n) SELECT 0 AS hop, count(*) AS reached FROM s0 UNION ALL SELECT 1, count(*) FROM s1 UNION ALL SELECT 2, count(*) FROM s2 UNION ALL SELECT 3, count(*) FROM s3")
@@ -840,5 +872,12 @@ def decision_gate(g):
     return P.rollup_gate(report_rows(g).withColumn("ok", F.col("gain") >= F.col("cost")), ["ok"])
 
 
-QUERIES = {k: f for k, (f, _) in REGISTRY.items()}
-ORACLE_SQL = {k: s for k, (_, s) in REGISTRY.items() if s}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_more  # noqa: F401  registers the others
+
+    return {k: f for k, (f, _) in REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return {k: s for k, (_, s) in REGISTRY.items() if s}
