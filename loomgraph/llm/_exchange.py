@@ -45,7 +45,6 @@ def _libc():
 
 def release() -> None:
     """Hands freed memory back to the system. Python workers outlive their tasks, and several wait beside each executor."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if _libc() is not None:
         _libc().malloc_trim(0)
@@ -60,6 +59,7 @@ def tidy(f: Callable) -> Callable:
         finally:
             for g in FORGET:
                 g()
+            gc.collect()
             release()
 
     return run

@@ -170,7 +170,7 @@ class Automaton:
         return out
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, prior: float = 50.0, fold: int = 5, held: int = 1, block_bytes: int = 3 << 20, shard_keys: int = 1 << 20) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, prior: float = 50.0, fold: int = 5, held: int = 1, block_bytes: int = 5 << 20, shard_keys: int = 1 << 21) -> DataFrame:
     """log10 probability of each text under a model learned from all documents outside the held-out fold.
 
     Tokens are lower-cased words and one end; a document is held out if crc32(doc_id as text) mod `fold` is `held`.

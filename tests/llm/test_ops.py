@@ -318,7 +318,7 @@ def test_chat_chain_of_two_and_odd_tables(spark):
 def test_quality_lines(spark, docs):
     from loomgraph.llm.quality import quality_rules as rules
 
-    own = [*docs, (900, "Home | News | About us\nReal words come here and go on, as they do. " * 8), (901, "see https://a.b/c www.x.y\n" + "good words and more of them, said the man. " * 9), (902, "All Rights Reserved.\n" + "plain text of some length " * 20), (903, "one » two » three\n" * 3 + "words " * 60), (904, "!!!! what ???? !!! no\n" + "calm words " * 40), (905, "*** ### $$$\n" * 10 + "w " * 20), (906, "\n".join(f"a{k} | b{k} | c{k}" for k in range(20)) + "\nand then some plain words.")]
+    own = [*docs, (900, "Home | News | About us\nReal words come here and go on, as they do. " * 8), (901, "see https://a.b/c www.x.y\n" + "good words and more of them, said the man. " * 9), (902, "All Rights Reserved.\n" + "plain text of some length " * 20), (903, "one » two » three\n" * 3 + "words " * 60), (904, "!!!! what ???? !!! no\n" + "calm words " * 40), (905, "*** ### $$$\n" * 10 + "w " * 20), (906, "\n".join(f"a{k} | b{k} | c{k}" for k in range(20)) + "\nand then some plain words."), (907, "All rights reserved.\n" + docs[8][1])]
     df = spark.createDataFrame([(i, t, "x") for i, t in own], "doc_id long, text string, kept string").repartition(2)
     got = rows(rules(df).select("doc_id", "base_failed", "lost_words", "kept"))
     assert got == brute.op6_lines(own)
