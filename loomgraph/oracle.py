@@ -113,17 +113,18 @@ CTE = {
     "cands": "SELECT i, j, 'onehop' AS source FROM (SELECT DISTINCT least(src, dst) AS i, greatest(src, dst) AS j FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.type_id = b.type_id AND a.part_id = b.part_id AND src <> dst) UNION ALL SELECT i, j, 'fallback' FROM pairs",
     "ecount": "SELECT rel_id, count(*) AS m, sum(w) AS vol FROM edges GROUP BY 1",
     "escore": "SELECT rel_id, src, dst, w, 1.0::DOUBLE / sqrt(count(*) OVER (PARTITION BY rel_id, src) * count(*) OVER (PARTITION BY rel_id, dst)) AS score, count(*) OVER (PARTITION BY rel_id, src) AS ds, count(*) OVER (PARTITION BY rel_id, dst) AS dd FROM edges",
-    "plan": "SELECT rel_id, m, least(m, low + whole + CASE WHEN row_number() OVER (ORDER BY round(share - whole, 9) DESC, rel_id::VARCHAR DESC) <= rest - sum(whole) OVER () THEN 1 ELSE 0 END) AS budget FROM (SELECT *, floor(share) AS whole FROM (SELECT *, rest * (m::DOUBLE / sum(m) OVER ()) AS share FROM (SELECT *, least(10, m) AS low, greatest(0, 20000 - sum(least(10, m)) OVER ()) AS rest FROM ecount)))",
+    "plan": "SELECT rel_id, m, least(m, low + whole + CASE WHEN row_number() OVER (ORDER BY round(share - whole, 9) DESC, rel_id::VARCHAR DESC) <= rest - sum(whole) OVER () THEN 1 ELSE 0 END) AS budget FROM (SELECT *, floor(share) AS whole FROM (SELECT *, rest * (m::DOUBLE / sum(m) OVER ()) AS share FROM (SELECT *, least(10, m) AS low, greatest(0, 5000 - sum(least(10, m)) OVER ()) AS rest FROM ecount WHERE rel_id < 6)))",
 }
 
 
 def needed(body: str) -> list[str]:
-    """Names of the expressions that a query uses, in the order of CTE's own dependencies."""
+    """Names of the expressions that a query uses, in the order of CTE's own dependencies. Those that it defines itself are its own."""
     found: list[str] = []
+    own = set(re.findall(r"\b(\w+)(?:\([a-z, ]+\))? AS (?:MATERIALIZED )?\(", body))
 
     def visit(text: str) -> None:
         for name in CTE:
-            if name not in found and re.search(rf"(FROM|JOIN|,)\s+\(?{name}\b", text):
+            if name not in found and name not in own and re.search(rf"(FROM|JOIN|,)\s+\(?{name}\b", text):
                 visit(CTE[name])
                 if name not in found:
                     found.append(name)
@@ -135,6 +136,8 @@ def needed(body: str) -> list[str]:
 def sql(body: str) -> str:
     names = needed(body)
     parts = ", ".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in names)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts}, {body[15:]}" if names else body
     if body.startswith("WITH "):
         return f"WITH {parts}, {body[5:]}" if names else body
     return f"WITH {parts} {body}" if names else body

@@ -467,12 +467,12 @@ def guarded_costs(g):
     return rows.withColumn("source", source).withColumn("spec", spec)
 
 
-@query("WITH {wc}, {gc}, t AS (SELECT *, spec > lim + 1e-12 AS high FROM gc JOIN (SELECT type_id, CASE WHEN count(*) FILTER (source = 'bucket') < 8 THEN max(spec) FILTER (source = 'bucket') ELSE quantile_cont(spec, 0.95) FILTER (source = 'bucket') END AS lim FROM gc GROUP BY 1) USING (type_id)), e AS (SELECT i AS n, * FROM t UNION ALL SELECT j, * FROM t), have AS (SELECT n, count(*) FILTER (NOT high) AS have FROM e GROUP BY 1), back AS (SELECT i, j FROM (SELECT n, i, j, row_number() OVER (PARTITION BY n ORDER BY spec, i, j) AS r FROM e WHERE high) JOIN have USING (n) WHERE r <= 2 - have) SELECT i, j FROM t WHERE NOT high UNION SELECT i, j FROM back")
+@query("WITH {wc}, {gc}, t AS (SELECT *, spec > lim + 1e-12 AS high FROM gc JOIN (SELECT type_id, CASE WHEN count(*) FILTER (source = 'bucket') = 0 THEN CASE WHEN count(*) < 8 THEN max(spec) ELSE quantile_cont(spec, 0.95) END WHEN count(*) FILTER (source = 'bucket') < 8 THEN max(spec) FILTER (source = 'bucket') ELSE quantile_cont(spec, 0.95) FILTER (source = 'bucket') END AS lim FROM gc GROUP BY 1) USING (type_id)), e AS (SELECT i AS n, * FROM t UNION ALL SELECT j, * FROM t), have AS (SELECT n, count(*) FILTER (NOT high) AS have FROM e GROUP BY 1), back AS (SELECT DISTINCT i, j FROM (SELECT n, i, j, row_number() OVER (PARTITION BY n ORDER BY spec, i, j) AS r FROM e WHERE high) JOIN have USING (n) WHERE r <= 2 - have) SELECT i, j FROM t WHERE NOT high UNION SELECT i, j FROM back")
 def spectral_guard(g):
     return S.spectral_guard(guarded_costs(g)).select("i", "j")
 
 
-@query("WITH {wc}, {gc} SELECT i, j, " + O.r("cost + greatest(spec - lim, 0)") + " AS cost FROM gc JOIN (SELECT type_id, CASE WHEN count(*) FILTER (source = 'bucket') < 8 THEN max(spec) FILTER (source = 'bucket') ELSE quantile_cont(spec, 0.95) FILTER (source = 'bucket') END AS lim FROM gc GROUP BY 1) USING (type_id)")
+@query("WITH {wc}, {gc} SELECT i, j, " + O.r("cost + greatest(spec - lim, 0)") + " AS cost FROM gc JOIN (SELECT type_id, CASE WHEN count(*) FILTER (source = 'bucket') = 0 THEN CASE WHEN count(*) < 8 THEN max(spec) ELSE quantile_cont(spec, 0.95) END WHEN count(*) FILTER (source = 'bucket') < 8 THEN max(spec) FILTER (source = 'bucket') ELSE quantile_cont(spec, 0.95) FILTER (source = 'bucket') END AS lim FROM gc GROUP BY 1) USING (type_id)")
 def spectral_guard_downrank(g):
     return _term(S.spectral_guard(guarded_costs(g), downrank=True), "cost")
 
@@ -793,14 +793,19 @@ def edge_scores_path_aware_v2(g):
     return _scores(g, "path_aware_v2", known=known_of(g), feature_types=(0, 1, 2, 3, 8, 9))
 
 
+def budget_plan(g):
+    """5000 edges of the six large relations, which hold more than their share of them at any size."""
+    return P.budgets(g.edges.where("rel_id < 6"), 5000, 10)
+
+
 @query("SELECT rel_id, m AS edges, budget::BIGINT AS budget FROM plan")
 def relation_budget_allocation(g):
-    return P.budgets(g.edges, 20000, 10)
+    return budget_plan(g)
 
 
 @query("SELECT rel_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY rel_id ORDER BY round(score, 9) DESC, src, dst) AS r FROM escore) JOIN plan USING (rel_id) WHERE r <= budget")
 def prune_relationwise(g):
-    return P.keep_top(P.edge_scores(g.edges, g.relations), P.budgets(g.edges, 20000, 10)).select("rel_id", "src", "dst")
+    return P.keep_top(P.edge_scores(g.edges, g.relations), budget_plan(g)).select("rel_id", "src", "dst")
 
 
 @query("SELECT rel_id, src, dst FROM (SELECT DISTINCT m.rel_id, m.src, m.dst FROM (SELECT t, min(struct_pack(rel_id := rel_id, src := src, dst := dst)) AS m FROM (SELECT type_id AS t, max(node_id) AS n FROM nodes GROUP BY 1) JOIN edges ON src = n OR dst = n GROUP BY 1))")
