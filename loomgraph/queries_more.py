@@ -794,7 +794,8 @@ def cand_task_hybrid(g):
 @query()
 def match_signatures(g):
     s = state_of(g)
-    return M.clusters(R.signature_matching(support_pairs(g), s, T.anchor_topk(g.edges, g.nodes, 0, 3), ["type_id", "part_id"], 4, 2000), g.nodes, 4)
+    merges = settled(R.signature_matching(settled(support_pairs(g)), s, settled(T.anchor_topk(g.edges, g.nodes, 0, 3)), ["type_id", "part_id"], 4, 2000))
+    return M.clusters(merges, settled(g.nodes), 4, settled)
 
 
 # --- selection
