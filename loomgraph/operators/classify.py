@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import EPS, gaussian, mixed
+from ..functions import EPS, gaussian, mixed, settled
 from ..graph import ranked
 
 
@@ -307,7 +307,7 @@ def anchor_coverage(edges: DataFrame, relations: DataFrame, target: int) -> Data
     return a.unionByName(e.where(F.col("dst_type") == target).select(F.col("dst").alias("target_id"), F.col("src").alias("node_id"))).distinct()
 
 
-def select_anchors(nodes: DataFrame, edges: DataFrame, relations: DataFrame, target: int, train: DataFrame, budget: int, per_round: int = 1, weights: dict[str, float] | None = None, settle=lambda df: df) -> DataFrame:
+def select_anchors(nodes: DataFrame, edges: DataFrame, relations: DataFrame, target: int, train: DataFrame, budget: int, per_round: int = 1, weights: dict[str, float] | None = None, settle=settled) -> DataFrame:
     """(node_id): the training targets, and by rounds those of the highest sum of confidence (weight at the node over the largest),
     margin (1 - 2 |confidence - 1/2|), share of neighbours that no pick has, distance to the nearest pick by place among the
     targets, and 1 / (1 + picks of its label), ties by id. per_round picks are made at once: 1 is the sequential choice, more trade
@@ -326,7 +326,7 @@ def select_anchors(nodes: DataFrame, edges: DataFrame, relations: DataFrame, tar
     have = chosen.count()
     want = min(n, max(budget, have))
     left = settle(rows.join(chosen.select("node_id"), "node_id", "left_anti"))
-    largest = max(left.join(cover.withColumnRenamed("target_id", "t"), F.col("node_id") == F.col("t")).groupBy("t").count().agg(F.max("count")).first()[0] or 1, 1) if have < want else 1
+    largest = max(left.join(cover.select(F.col("target_id").alias("node_id"), F.col("node_id").alias("x")), "node_id").groupBy("node_id").count().agg(F.max("count")).first()[0] or 1, 1) if have < want else 1
     while have < want:
         covered = cover.join(chosen.select(F.col("node_id").alias("target_id")), "target_id", "left_semi").select("node_id").distinct()
         fresh = cover.join(covered, "node_id", "left_anti").groupBy(F.col("target_id").alias("node_id")).agg(F.count(F.lit(1)).alias("gain"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EPS
+from ..functions import EPS, settled
 from ..graph import HeteroGraph, ranked
 from . import matching as M
 from .coarsen import coarse_edges
@@ -147,7 +147,7 @@ def envelope(graph: HeteroGraph, k: int = 1024, keep: int = 8, stages: dict[str,
     return counts.join(sample, "rel_id").join(F.broadcast(size)).withColumn("slowest", F.lit(slowest).cast("string"))
 
 
-def smoothed(edges: DataFrame, x: DataFrame, steps: int, alpha: dict[int, float], settle: Callable = lambda df: df) -> DataFrame:
+def smoothed(edges: DataFrame, x: DataFrame, steps: int, alpha: dict[int, float], settle: Callable = settled) -> DataFrame:
     e = normalized(edges)
     for _ in range(steps):
         x = settle(lazy_smoothing(e, x, alpha))
@@ -158,7 +158,7 @@ def relative(before, after):
     return F.abs(after - before) / F.greatest(F.abs(before), F.lit(EPS))
 
 
-def spectral_report(graph: HeteroGraph, coarse: DataFrame, assignment: DataFrame, x: DataFrame, alpha: dict[int, float], steps: int = 1, settle: Callable = lambda df: df) -> DataFrame:
+def spectral_report(graph: HeteroGraph, coarse: DataFrame, assignment: DataFrame, x: DataFrame, alpha: dict[int, float], steps: int = 1, settle: Callable = settled) -> DataFrame:
     """(dee, fse, wfe, ree_mean, ree_max, ree_p95, sipe): relative errors of the signals' energy over all relations, of their energy
     under the fused Laplacian, of the weighted sum of relation energies, of each relation's energy, and of the Gram matrix.
     Signals are smoothed `steps` times; those of the coarse graph begin as cluster means."""
@@ -220,7 +220,7 @@ def baseline_pairs(graph: HeteroGraph, how: str, embedding: DataFrame | None = N
     raise ValueError(f"no baseline {how}")
 
 
-def matched_to_ratio(graph: HeteroGraph, how: str, ratio: float, tolerance: float = 0.02, rounds: int = 8, embedding: DataFrame | None = None, settle: Callable = lambda df: df) -> DataFrame:
+def matched_to_ratio(graph: HeteroGraph, how: str, ratio: float, tolerance: float = 0.02, rounds: int = 8, embedding: DataFrame | None = None, settle: Callable = settled) -> DataFrame:
     """An assignment by a baseline's pairings, one after another on the coarse graph, until clusters are ratio of the nodes within
     the tolerance or pairs run out. The last pairing is cut to the merges that are still wanted."""
     n = graph.nodes.count()
@@ -280,7 +280,7 @@ def two_step_connectivity(edges: DataFrame, coarse: DataFrame, assignment: DataF
     return out.withColumn("error", relative(F.col("before"), F.col("after")))
 
 
-def label_propagation(graph: HeteroGraph, assignment: DataFrame, classes: int = 3, seed: int = 0, rounds: tuple[int, ...] = (0, 1, 3, 5), settle: Callable = lambda df: df) -> DataFrame:
+def label_propagation(graph: HeteroGraph, assignment: DataFrame, classes: int = 3, seed: int = 0, rounds: tuple[int, ...] = (0, 1, 3, 5), settle: Callable = settled) -> DataFrame:
     """(step, accuracy): labels are the largest column of smoothed Gaussian rows; clusters' shares of them are given back to their
     nodes and smoothed, and the largest column is compared with the label after some steps."""
     from .linalg import neighbour_smoothing, probe, width

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EPS, gaussian, sign
+from ..functions import EPS, gaussian, settled, sign
 
 
 def columns(x: DataFrame) -> list[str]:
@@ -122,7 +122,7 @@ def incident_mass(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.sum("w").alias("mass"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, settle=lambda df: df) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, settle=settled) -> DataFrame:
     """(node_id, rank) on undirected weights; the mass of nodes without edges is spread over all; ranks sum to 1."""
     both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     share = both.join(both.groupBy("src").agg(F.sum("w").alias("t")), "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p"))
@@ -158,7 +158,7 @@ def drop_reverse(edges: DataFrame, alpha: dict[int, float], pairs: list[tuple[in
     return {r: a * total / left for r, a in kept.items()} if left else alpha
 
 
-def operator_norm(nodes: DataFrame, edges: DataFrame, alpha: dict[int, float], rounds: int = 8, q: int = 4, settle=lambda df: df) -> float:
+def operator_norm(nodes: DataFrame, edges: DataFrame, alpha: dict[int, float], rounds: int = 8, q: int = 4, settle=settled) -> float:
     """The fused operator's norm by power iteration on a block of probes."""
     x, norm = probe(nodes, q, 7), 0.0
     for _ in range(rounds):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import settled
 from ..graph import ranked
 
 
@@ -25,7 +26,7 @@ def mutual_best(pairs: DataFrame, most: int | None = None) -> DataFrame:
     return out.orderBy("cost", "i", "j").limit(most) if most is not None else out
 
 
-def greedy(pairs: DataFrame, settle=lambda df: df) -> DataFrame:
+def greedy(pairs: DataFrame, settle=settled) -> DataFrame:
     """The matching of a scan in order of (cost, i, j), by rounds: a pair that comes first at both ends is taken. Exact for any
     strict order; a long chain of equal costs takes as many rounds as it is long."""
     left, taken = settle(pairs.select("i", "j", "cost")), None
@@ -95,7 +96,7 @@ def greedy_cluster(pairs: DataFrame, group: list[str], most_size: int = 4, most_
     return out.orderBy("cost", "i", "j").limit(most_merges) if most_merges is not None else out
 
 
-def clusters(merges: DataFrame, nodes: DataFrame, rounds: int, settle=lambda df: df) -> DataFrame:
+def clusters(merges: DataFrame, nodes: DataFrame, rounds: int, settle=settled) -> DataFrame:
     """(node_id, super_id): clusters of merges of diameter up to `rounds`, every other node alone."""
     label = nodes.select("node_id", F.col("node_id").alias("super_id"))
     both = merges.select(F.col("i").alias("node_id"), F.col("j").alias("to")).unionByName(merges.select(F.col("j").alias("node_id"), F.col("i").alias("to")))
@@ -139,7 +140,7 @@ def typed_hash_clusters(buckets: DataFrame, most_size: int = 4) -> DataFrame:
     return placed.join(first, ["bucket", "g"]).select("node_id", "super_id")
 
 
-def quota_matching(pairs: DataFrame, limit: int, bucket_share: float = 0.0, most_share: dict[str, float] | None = None, settle=lambda df: df) -> DataFrame:
+def quota_matching(pairs: DataFrame, limit: int, bucket_share: float = 0.0, most_share: dict[str, float] | None = None, settle=settled) -> DataFrame:
     """A matching (i, j, cost, source) of at most `limit` pairs under shares of sources: first the cheapest bucket pairs up to
     ceil(limit bucket_share), then the cheapest of all sources, a source with a largest share up to floor(limit share), then
     without bounds. Within each pass pairs go in the order of (cost, i, j) and a node is used once.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EPS, gaussian, mixed
+from ..functions import EPS, gaussian, mixed, settled
 from ..graph import HeteroGraph
 from .linalg import columns, masked, row_sum, transition_probe, width
 from .metrics import cluster_means, dirichlet_energy, lifted
@@ -166,7 +166,7 @@ def holdout_probe(nodes: DataFrame, q: int, seed: int = 0) -> DataFrame:
     return x.join(F.broadcast(ends), "type_id").select("node_id", *[F.when(F.col(f"s{c}") > EPS, (F.col(c) - F.col(f"m{c}")) / F.col(f"s{c}")).otherwise(0.0).alias(c) for c in names])
 
 
-def holdout_errors(graph: HeteroGraph, normal: DataFrame, coarse: DataFrame, coarse_normal: DataFrame, assignment: DataFrame, relations: list[int], q: int = 4, order: int = 5, t: float = 1.0, seed: int = 0, settle=lambda df: df) -> DataFrame:
+def holdout_errors(graph: HeteroGraph, normal: DataFrame, coarse: DataFrame, coarse_normal: DataFrame, assignment: DataFrame, relations: list[int], q: int = 4, order: int = 5, t: float = 1.0, seed: int = 0, settle=settled) -> DataFrame:
     """How the heat response to probes that no sketch has seen survives: (relative_error, lifted_error, cosine, energy_error,
     dirichlet_error, relation_error, worst_type_error). The coarse response is compared with the cluster means of the
     response, and, given to all nodes, with the response itself; the last two are a mean over relations and a maximum over types."""

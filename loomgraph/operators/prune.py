@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import mixed, sign
+from ..functions import mixed, settled, sign
 from ..graph import HeteroGraph
 
 
@@ -147,7 +147,7 @@ def hub_capped(scored: DataFrame, cap: int) -> DataFrame:
     return scored.withColumn("a", a).withColumn("b", b).where((F.col("a") <= cap) & (F.col("b") <= cap)).select("rel_id", "src", "dst", "w", "score")
 
 
-def coverage_sample(scored: DataFrame, plan: DataFrame, cap: int, settle=lambda df: df) -> DataFrame:
+def coverage_sample(scored: DataFrame, plan: DataFrame, cap: int, settle=settled) -> DataFrame:
     """(rel_id, src, dst, w, score, rescued): in the order of (score descending, ends) each relation's edges whose source and
     destination both have fewer than cap edges by then, up to its budget; then, rescued, the best others up to it.
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EPS, xlogx_ratio
+from ..functions import EPS, settled, xlogx_ratio
 from ..graph import HeteroGraph, neighbours
 from .candidates import retain
 from .coarsen import coarse_edges
@@ -38,7 +38,7 @@ def smoothing_steps(t: float) -> int:
     return max(2, math.ceil(2.0 * t))
 
 
-def filter_bank(edges: DataFrame, seed: DataFrame, relations: list[int], times: tuple[float, ...] = TIMES, settle=lambda df: df) -> dict[float, DataFrame]:
+def filter_bank(edges: DataFrame, seed: DataFrame, relations: list[int], times: tuple[float, ...] = TIMES, settle=settled) -> dict[float, DataFrame]:
     """For each time the seed after max(2, ceil(2 t)) smoothing steps; a longer time goes on from a shorter one."""
     e, alpha = normalized(edges), dict.fromkeys(relations, 1.0)
     out, x, done = {}, seed, 0
@@ -59,7 +59,7 @@ def _error(before: DataFrame, after: DataFrame, eps: float) -> float:
     return (r.d or 0.0) / max(r.n or 0.0, eps)
 
 
-def response_error(graph: HeteroGraph, assignment: DataFrame, seed: DataFrame, target: int, relations: list[int], times: tuple[float, ...] = TIMES, eps: float = EPS, settle=lambda df: df) -> float:
+def response_error(graph: HeteroGraph, assignment: DataFrame, seed: DataFrame, target: int, relations: list[int], times: tuple[float, ...] = TIMES, eps: float = EPS, settle=settled) -> float:
     """The mean over the times of the target's relative response error in the coarse graph, whose seed is the clusters' mean."""
     targets = graph.nodes_of_type(target).select("node_id")
     before = filter_bank(graph.edges, seed, relations, times, settle)
@@ -340,7 +340,7 @@ def hybrid_candidates(state: State, anchors: DataFrame, nodes: DataFrame, k: int
     return retain(anchor_pairs(anchors, nodes, most).unionByName(row_window(state, "cls", k, "footprint")).unionByName(row_window(state, "sig", k, "response")), 3 * k)
 
 
-def response_signature(graph: HeteroGraph, seed: DataFrame, target: int, known: DataFrame, classes: int, times: tuple[float, ...] = TIMES, settle=lambda df: df) -> DataFrame:
+def response_signature(graph: HeteroGraph, seed: DataFrame, target: int, known: DataFrame, classes: int, times: tuple[float, ...] = TIMES, settle=settled) -> DataFrame:
     """Dense rows of norm 1: class footprint, relation footprint and the responses of the filter bank side by side."""
     relations = graph.relations.orderBy("rel_id").collect()
     dims = 2 * (max((r.rel_id for r in relations), default=0) + 1)
@@ -350,7 +350,7 @@ def response_signature(graph: HeteroGraph, seed: DataFrame, target: int, known:
     return row_normalize(side_by_side(cls, rel, *[bank[t] for t in sorted(bank)]))
 
 
-def task_first_level(graph: HeteroGraph, target: int, known: DataFrame, classes: int, support_ratio: float, k: int = 4, anchors: int = 3, most_size: int = 4, limit: float = 0.35, settle=lambda df: df) -> tuple[DataFrame, str]:
+def task_first_level(graph: HeteroGraph, target: int, known: DataFrame, classes: int, support_ratio: float, k: int = 4, anchors: int = 3, most_size: int = 4, limit: float = 0.35, settle=settled) -> tuple[DataFrame, str]:
     """(assignment, why it stopped) of one level: hybrid candidates, what constraints allow, costs over 95th percentiles, and the
     cheapest merges of clusters within the support budget. Target nodes stay alone."""
     top = settle(anchor_topk(graph.edges, graph.nodes, target, anchors))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import EPS, sq_distance, xlogx_ratio
+from ..functions import EPS, settled, sq_distance, xlogx_ratio
 from .candidates import with_distance
 from .linalg import columns, row_sum
 

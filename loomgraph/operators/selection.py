@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import EPS
+from ..functions import EPS, settled
 from ..graph import HeteroGraph, in_range, ranges
 from .coarsen import coarse_graph
 from .linalg import row_sum, width
@@ -306,7 +306,7 @@ def fill_nodes(units: DataFrame, selected: DataFrame, k: int) -> DataFrame:
     return selected.select("node_id").distinct().unionByName(free.orderBy(*order).limit(left).select("node_id"))
 
 
-def under_budget(units: DataFrame, support: int, ratio: float, settle: Callable = lambda df: df) -> DataFrame:
+def under_budget(units: DataFrame, support: int, ratio: float, settle: Callable = settled) -> DataFrame:
     """(unit, members, score) of disjoint units (unit, source, members, score): in the order of (score descending, members
     descending, source, unit) each that still fits into ceil(support ratio) members; one that does not is passed over.
 
@@ -354,7 +354,7 @@ def target_paths(relations: list, target: int, hops: int = 2, most: int | None =
     return out if most is None else out[:most]
 
 
-def semantic_tree(graph: HeteroGraph, target: int, paths: list[tuple[int, ...]], types: list[int], settle: Callable = lambda df: df) -> DataFrame:
+def semantic_tree(graph: HeteroGraph, target: int, paths: list[tuple[int, ...]], types: list[int], settle: Callable = settled) -> DataFrame:
     """(node_id, path, a): for each target and path the features and type indicator that steps normalised at the destination
     carry there. Steps that paths share, from their beginning, are made once."""
     from .linalg import row_normalized, spmm

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import EPS, gaussian, sign
+from ..functions import EPS, gaussian, settled, sign
 from .linalg import columns, combine, fused, lazy_smoothing, masked, operator_norm, probe, row_sum, spmm, square_norm, width
 
 #: Guards the energies that weights are made of.
@@ -40,7 +40,7 @@ def side_by_side(*parts: DataFrame) -> DataFrame:
     return out.na.fill(0.0, width(n))
 
 
-def heat_filter(edges: DataFrame, x: DataFrame, alpha: dict[int, float], order: int, t: float, scale: float = 1.0, settle=lambda df: df) -> DataFrame:
+def heat_filter(edges: DataFrame, x: DataFrame, alpha: dict[int, float], order: int, t: float, scale: float = 1.0, settle=settled) -> DataFrame:
     """The heat kernel of the fused Laplacian applied to x by the Chebyshev recurrence on -scale * S."""
     c = chebyshev_coefficients(order, t)
     before, now = x, settle(combine((-scale, fused(edges, x, alpha))))
@@ -51,24 +51,24 @@ def heat_filter(edges: DataFrame, x: DataFrame, alpha: dict[int, float], order:
     return combine(*out)
 
 
-def heat_sketch(edges: DataFrame, x: DataFrame, alpha: dict[int, float], order: int, t: float, settle=lambda df: df) -> DataFrame:
+def heat_sketch(edges: DataFrame, x: DataFrame, alpha: dict[int, float], order: int, t: float, settle=settled) -> DataFrame:
     return row_normalize(heat_filter(edges, x, alpha, order, t, settle=settle))
 
 
-def heat_scale(nodes: DataFrame, edges: DataFrame, alpha: dict[int, float], tolerance: float = 1e-3, settle=lambda df: df) -> float:
+def heat_scale(nodes: DataFrame, edges: DataFrame, alpha: dict[int, float], tolerance: float = 1e-3, settle=settled) -> float:
     """What the operator is multiplied by: 1 over its norm where that is above 1 by more than the tolerance, else 1."""
     norm = operator_norm(nodes, edges, alpha, settle=settle)
     return 1.0 / norm if norm > 1.0 + tolerance else 1.0
 
 
-def heat_sketches(edges: DataFrame, nodes: DataFrame, alpha: dict[int, float], dim: int, order: int, times: list[float], scale: float = 1.0, seed: int = 0, settle=lambda df: df) -> DataFrame:
+def heat_sketches(edges: DataFrame, nodes: DataFrame, alpha: dict[int, float], dim: int, order: int, times: list[float], scale: float = 1.0, seed: int = 0, settle=settled) -> DataFrame:
     """One sketch of `dim` columns dealt out over several heat times, each from a probe of its own, then rows normalised."""
     shares = [dim // len(times) + (k < dim % len(times)) for k in range(len(times))]
     parts = [heat_filter(edges, probe(nodes, q, seed + 101 * (k + 1)), alpha, order, t, scale, settle) for k, (t, q) in enumerate(zip(times, shares, strict=True)) if q]
     return row_normalize(side_by_side(*parts))
 
 
-def lazy_sketch(edges: DataFrame, x: DataFrame, alpha: dict[int, float], steps: int, last: int = 1, settle=lambda df: df) -> DataFrame:
+def lazy_sketch(edges: DataFrame, x: DataFrame, alpha: dict[int, float], steps: int, last: int = 1, settle=settled) -> DataFrame:
     """The mean of the last smoothing steps, its columns centred, then its rows normalised."""
     kept, names = [], columns(x)
     for k in range(steps):
@@ -80,7 +80,7 @@ def lazy_sketch(edges: DataFrame, x: DataFrame, alpha: dict[int, float], steps:
     return row_normalize(mean.join(F.broadcast(centre)).select("node_id", *[(F.col(c) - F.col(f"__{c}")).alias(c) for c in names]))
 
 
-def lowpass_sketch(edges: DataFrame, nodes: DataFrame, alpha: dict[int, float], method: str = "lazy", dim: int = 16, order: int = 5, times: tuple[float, ...] = (1.0,), last: int = 1, seed: int = 0, settle=lambda df: df) -> DataFrame:
+def lowpass_sketch(edges: DataFrame, nodes: DataFrame, alpha: dict[int, float], method: str = "lazy", dim: int = 16, order: int = 5, times: tuple[float, ...] = (1.0,), last: int = 1, seed: int = 0, settle=settled) -> DataFrame:
     """The sketch of a method: `lazy` (order smoothing steps) or `chebyshev_heat`."""
     if method == "lazy":
         return lazy_sketch(edges, probe(nodes, dim, seed), alpha, order, last, settle)
