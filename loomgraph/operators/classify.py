@@ -205,11 +205,15 @@ def _together(sources: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _times(weight):
+    return lambda v: v * weight
+
+
 def _mixed_scores(n: int, weight) -> Column:
     """The sum over tables of weight(k) times their scores, rounded so that engines agree on ties."""
     total = F.transform("s0", lambda v: v * weight(0))
     for k in range(1, n):
-        total = F.zip_with(total, F.col(f"s{k}"), lambda a, v, k=k: a + v * weight(k))
+        total = F.zip_with(total, F.transform(f"s{k}", _times(weight(k))), lambda a, v: a + v)
     return F.transform(total, lambda v: F.round(v, 9))
 
 

@@ -1131,7 +1131,7 @@ _L2 = "l2 AS MATERIALIZED (SELECT node_id, label, (k + 9) % 10 AS k, s FROM logi
 
 def _gridq(z: str, params: str) -> str:
     """Accuracy and macro F1 for each setting in z(params, node_id, label, k, s)."""
-    return f"pz AS MATERIALIZED (SELECT {params}, node_id, label, k AS pred FROM ({z}) QUALIFY row_number() OVER (PARTITION BY {params}, node_id ORDER BY round(s, 9) DESC, k) = 1), cz AS (SELECT {params}, c, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM (SELECT {params}, label AS c, 1 AS t, 0 AS p, (label = pred)::INTEGER AS h FROM pz UNION ALL SELECT {params}, pred, 0, 1, 0 FROM pz) GROUP BY ALL), sz AS MATERIALIZED (SELECT {params}, sum(h) / sum(t) AS accuracy, avg(2 * h / (p + t)) AS macro FROM cz GROUP BY ALL)"
+    return f"pz AS MATERIALIZED (SELECT {params}, node_id, label, k AS pred FROM ({z}) QUALIFY row_number() OVER (PARTITION BY {params}, node_id ORDER BY round(s, 9) DESC, k) = 1), cz AS (SELECT {params}, c, sum(nt) AS nt, sum(np) AS np, sum(nh) AS nh FROM (SELECT {params}, label AS c, 1 AS nt, 0 AS np, (label = pred)::INTEGER AS nh FROM pz UNION ALL SELECT {params}, pred, 0, 1, 0 FROM pz) GROUP BY ALL), sz AS MATERIALIZED (SELECT {params}, sum(nh) / sum(nt) AS accuracy, avg(2 * nh / (np + nt)) AS macro FROM cz GROUP BY ALL)"
 
 
 @query("WITH " + _gridq("SELECT t, node_id, label, k, s / t::DOUBLE AS s FROM logits, (VALUES (0.5), (0.75), (1.0), (2.0)) q(t)", "t") + " SELECT t::DOUBLE AS temperature, " + rs(("accuracy", "accuracy"), ("macro", "macro")) + " FROM sz ORDER BY round(accuracy, 12) DESC, round(macro, 12) DESC, abs(t - 1.0) LIMIT 1")
