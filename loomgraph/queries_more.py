@@ -256,7 +256,6 @@ def _greedy_sql(rounds: int = 40) -> str:
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT i, j, cost FROM w{k}" for k in range(rounds))
 
 
-
 @query(_greedy_sql())
 def match_greedy(g):
     return M.greedy_grouped(window_costs(g), ["type_id", "part_id"])
@@ -791,13 +790,6 @@ def cand_task_hybrid(g):
     return R.hybrid_candidates(s, T.anchor_topk(g.edges, g.nodes, 0, 3), g.nodes, 2).select("i", "j", rounded(F.col("score")).alias("score"), "source")
 
 
-@query()
-def match_signatures(g):
-    s = state_of(g)
-    merges = settled(R.signature_matching(settled(support_pairs(g)), s, settled(T.anchor_topk(g.edges, g.nodes, 0, 3)), ["type_id", "part_id"], 4, 2000))
-    return M.clusters(merges, settled(g.nodes), 4, settled)
-
-
 # --- selection
 
 _SEL = "an AS MATERIALIZED (SELECT node_id, count(DISTINCT target_id) / (SELECT greatest(count(*), 1) FROM nodes WHERE type_id = 0)::DOUBLE AS a0, sum(w) AS a1, max(w) AS a2 FROM anchors3 GROUP BY 1), sf AS MATERIALIZED (SELECT n.node_id, n.type_id, coalesce(cm, 0) AS cm, coalesce(cn, 0) AS cn, coalesce(top, 0) - coalesce(sec, 0) AS margin, coalesce(cls, -1) AS cls, coalesce(rm, 0) AS rm, coalesce(rn, 0) AS rn, coalesce(rel, -1) AS rel, coalesce((a0 + a1 + a2) / sqrt(a0 * a0 + a1 * a1 + a2 * a2), 0) AS am, (a0 IS NOT NULL)::INTEGER AS an, CASE WHEN a0 IS NULL THEN -1 WHEN round(a0, 9) >= round(a1, 9) THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END AS anc FROM nodes n LEFT JOIN (SELECT node_id, sum(p) AS cm, sqrt(sum(p * p)) AS cn, max(p) AS top, arg_max(label, round(p, 9) * 1000 - label) AS cls, (list(p ORDER BY p DESC))[2] AS sec FROM cfoot GROUP BY 1) c ON c.node_id = n.node_id LEFT JOIN (SELECT node_id, sum(p) AS rm, sqrt(sum(p * p)) AS rn, arg_max(dim, round(p, 9) * 1000 - dim) AS rel FROM rfoot GROUP BY 1) q ON q.node_id = n.node_id LEFT JOIN an ON an.node_id = n.node_id WHERE n.type_id <> 0)"
@@ -855,13 +847,6 @@ def diverse_select(g):
     return N.diverse_select(scored_features(g), 25)
 
 
-@query(f"WITH {_SEL}, {_IMP}, ch AS MATERIALIZED (SELECT node_id FROM im ORDER BY s DESC, node_id LIMIT 400), kp AS MATERIALIZED (SELECT node_id FROM ch UNION ALL SELECT node_id FROM nodes WHERE type_id = 0), rs AS MATERIALIZED (SELECT im.node_id, type_id, rel, anc, cls, (row_number() OVER (PARTITION BY type_id, rel, anc, cls ORDER BY coalesce(mass, 0) DESC, im.node_id) - 1) // 8 AS q FROM im LEFT JOIN mass m ON m.node_id = im.node_id WHERE im.node_id NOT IN (SELECT node_id FROM ch)) SELECT node_id, min(node_id) OVER (PARTITION BY type_id, rel, anc, cls, q) AS super_id FROM rs UNION ALL SELECT node_id, node_id FROM kp")
-def condensed_assignment(g):
-    s = scored_features(g)
-    chosen = settled(s.orderBy(F.desc("importance"), "node_id").limit(400).select("node_id"))
-    return N.condensed(g, 0, chosen, s.select("node_id", *N.BLOCK), 8)[1]
-
-
 @query("WITH kp AS (SELECT node_id FROM nodes WHERE type_id IN (0, 4)) SELECT rel_id, count(*) AS n FROM edges WHERE src IN (SELECT node_id FROM kp) AND dst IN (SELECT node_id FROM kp) GROUP BY 1")
 def selected_graph(g):
     return N.selected_graph(g, 0, g.nodes_of_type(4)).edges.groupBy("rel_id").agg(F.count(F.lit(1)).alias("n"))
