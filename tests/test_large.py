@@ -45,3 +45,30 @@ def test_settled_keeps_what_parquet_cannot(spark):
     df = spark.range(3).select(F.lit(None).alias("n"), F.col("id").alias("x"), F.col("id").alias("X"))
     assert sorted(r[1] for r in U.settled(df).collect()) == [0, 1, 2]
     assert U.settled(spark.range(5).where("id < 0")).count() == 0
+
+
+def test_propagation_makes_the_edges_once(spark):
+    nodes = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 1, 0), (11, 1, -1, 0)], "node_id long, type_id int, label int, part_id int")
+    calls = []
+    a = nodes.select("node_id", F.col("node_id").alias("super_id"))
+    rows = G.label_propagation(HeteroGraph(nodes, edges(spark), None, None), a, settle=counted(calls)).collect()
+    assert [r.step for r in sorted(rows)] == [0, 1, 3, 5]
+    assert [c.columns for c in calls].count(["node_id", "to", "w", "n"]) == 1
+
+
+def test_smoothing_ends_join_an_edge_and_its_reverse(spark):
+    x = L.probe(spark.createDataFrame([(1,), (2,), (11,)], "node_id long"), 2, 0, "gaussian")
+    ends = L.smoothing_ends(edges(spark))
+    assert ends.count() == 6 and ends.agg(F.sum("n")).first()[0] == 10
+    rows = {r.node_id: (r.v0, r.v1) for r in x.collect()}
+    want = {k: list(v) for k, v in rows.items()}
+    share = {(0, 1, 11): 1, (0, 2, 11): 1, (1, 11, 1): 1 / 3, (1, 11, 2): 2 / 3, (2, 1, 2): 1}
+    n = dict.fromkeys(rows, 0)
+    for (_, s, d), w in share.items():
+        for a, b in ((s, d), (d, s)):
+            n[b] += 1
+            for j in (0, 1):
+                want[b][j] += w * rows[a][j]
+    for r in L.neighbour_smoothing(edges(spark), x).collect():
+        for j, v in enumerate((r.v0, r.v1)):
+            assert abs(v - want[r.node_id][j] / (1 + n[r.node_id])) < 1e-12
