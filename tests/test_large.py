@@ -72,3 +72,15 @@ def test_smoothing_ends_join_an_edge_and_its_reverse(spark):
     for r in L.neighbour_smoothing(edges(spark), x).collect():
         for j, v in enumerate((r.v0, r.v1)):
             assert abs(v - want[r.node_id][j] / (1 + n[r.node_id])) < 1e-12
+
+
+def test_a_small_graph_reads_no_other_relations(spark, monkeypatch):
+    from loomgraph import queries_more as Q
+    from loomgraph.graph import from_tables
+
+    monkeypatch.setattr(Q, "settled", lambda df: df)
+    g = from_tables(spark, SF)
+    h = Q.small(g)
+    assert "l_partkey" not in h.edges._jdf.queryExecution().optimizedPlan().toString()
+    want = g.induced(g.nodes.where("type_id IN (0, 1, 4)")).edges
+    assert sorted(h.edges.collect()) == sorted(want.collect())
