@@ -84,3 +84,15 @@ def test_a_small_graph_reads_no_other_relations(spark, monkeypatch):
     assert "l_partkey" not in h.edges._jdf.queryExecution().optimizedPlan().toString()
     want = g.induced(g.nodes.where("type_id IN (0, 1, 4)")).edges
     assert sorted(h.edges.collect()) == sorted(want.collect())
+
+
+def test_scales_read_settled_terms(spark):
+    calls = []
+    x = spark.createDataFrame([(1, 0.5), (2, 0.25), (11, 1.0)], "node_id long, v0 double")
+    nodes = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 1, 0), (11, 1, -1, 0)], "node_id long, type_id int, label int, part_id int")
+    features = spark.createDataFrame([(1, 0, [1.0]), (2, 0, [3.0])], "node_id long, type_id int, x array<double>")
+    table = S.node_table(nodes, edges(spark), [0, 1, 2], features, x, x)
+    p = {r.node_id: r.p for r in table.collect()}
+    assert p[1] == [1 / 5, 0, 0, 1 / 5, 3 / 5, 0] and p[2] == [2 / 7, 0, 0, 2 / 7, 0, 3 / 7]
+    out = S.score_pairs(spark.createDataFrame([(1, 2)], "i long, j long"), table, normalization="p95", settle=counted(calls))
+    assert len(calls) == 1 and abs(out.first().cost - sum(S.LAMBDAS.values())) < 1e-9
