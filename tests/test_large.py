@@ -96,3 +96,11 @@ def test_scales_read_settled_terms(spark):
     assert p[1] == [1 / 5, 0, 0, 1 / 5, 3 / 5, 0] and p[2] == [2 / 7, 0, 0, 2 / 7, 0, 3 / 7]
     out = S.score_pairs(spark.createDataFrame([(1, 2)], "i long, j long"), table, normalization="p95", settle=counted(calls))
     assert len(calls) == 1 and abs(out.first().cost - sum(S.LAMBDAS.values())) < 1e-9
+
+
+def test_filter_bank_normalizes_once(spark):
+    calls = []
+    seed = spark.createDataFrame([(1, 1.0), (2, 0.0), (11, 0.0)], "node_id long, v0 double")
+    bank = R.filter_bank(edges(spark), seed, [0, 1, 2], settle=counted(calls))
+    assert sorted(bank) == sorted(R.TIMES)
+    assert [c.columns for c in calls].count(["rel_id", "src", "dst", "w"]) == 1
