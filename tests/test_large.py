@@ -74,6 +74,16 @@ def test_smoothing_ends_join_an_edge_and_its_reverse(spark):
             assert abs(v - want[r.node_id][j] / (1 + n[r.node_id])) < 1e-12
 
 
+def test_retained_candidates_are_made_once(spark, monkeypatch):
+    from loomgraph import queries as Q
+    from loomgraph.graph import from_tables
+
+    calls = []
+    monkeypatch.setattr(Q, "settled", counted(calls))
+    Q.cand_retained_topk(from_tables(spark, SF))
+    assert [c.columns for c in calls].count(["i", "j", "score", "source"]) == 4
+
+
 def test_a_small_graph_reads_no_other_relations(spark, monkeypatch):
     from loomgraph import queries_more as Q
     from loomgraph.graph import from_tables
