@@ -74,6 +74,13 @@ def test_smoothing_ends_join_an_edge_and_its_reverse(spark):
             assert abs(v - want[r.node_id][j] / (1 + n[r.node_id])) < 1e-12
 
 
+def test_pairs_are_not_sorted(spark):
+    nodes = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 1, 0), (11, 1, -1, 0)], "node_id long, type_id int, label int, part_id int")
+    for found in (C.onehop(edges(spark), nodes), C.twohop(edges(spark), nodes, 8, 20)):
+        assert found.collect() == [(1, 2, 0.0, found.first().source)]
+        assert "SortAggregate" not in plan(found)
+
+
 def test_retained_candidates_are_made_once(spark, monkeypatch):
     from loomgraph import queries as Q
     from loomgraph.graph import from_tables
