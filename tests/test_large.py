@@ -91,6 +91,21 @@ def test_retained_candidates_are_made_once(spark, monkeypatch):
     assert [c.columns for c in calls].count(["i", "j", "score", "source"]) == 4
 
 
+def test_scales_of_a_term_read_settled_pairs(spark, monkeypatch):
+    from loomgraph import queries as Q
+    from loomgraph.graph import from_tables
+
+    calls = []
+
+    def settle(df):
+        calls.append(df.columns)
+        return U.settled(df)
+
+    monkeypatch.setattr(Q, "settled", settle)
+    assert Q.term_median_mad(from_tables(spark, SF)).count() > 0
+    assert sum("rel" in c and "feat" in c for c in calls) == 1
+
+
 def test_a_small_graph_reads_no_other_relations(spark, monkeypatch):
     from loomgraph import queries_more as Q
     from loomgraph.graph import from_tables
