@@ -118,6 +118,21 @@ def test_a_small_graph_reads_no_other_relations(spark, monkeypatch):
     assert sorted(h.edges.collect()) == sorted(want.collect())
 
 
+def test_task_first_level_makes_its_terms_once(spark):
+    from loomgraph import queries_more as Q
+    from loomgraph.graph import from_tables
+
+    calls = []
+
+    def settle(df):
+        calls.append(df.columns)
+        return U.settled(df)
+
+    g = from_tables(spark, SF)
+    assert R.task_first_level(g, 0, Q.known(g), 5, 0.7, settle=settle)[0].count() == g.nodes.count()
+    assert calls.count(["i", "j", "spec", "rel", "cov", "pur", "feat"]) == 1
+
+
 def test_scales_read_settled_terms(spark):
     calls = []
     x = spark.createDataFrame([(1, 0.5), (2, 0.25), (11, 1.0)], "node_id long, v0 double")
