@@ -151,3 +151,40 @@ def test_filter_bank_normalizes_once(spark):
     bank = R.filter_bank(edges(spark), seed, [0, 1, 2], settle=counted(calls))
     assert sorted(bank) == sorted(R.TIMES)
     assert [c.columns for c in calls].count(["rel_id", "src", "dst", "w"]) == 1
+
+
+def test_portions_of_a_product_equal_the_whole(spark):
+    calls = []
+
+    def settle(df):
+        calls.append(df.columns)
+        return U.settled(df)
+
+    # 15 links and their reverse, chains within a type, a node without edges (9) and an edge to what is no node (99)
+    links = [(p, 10 + p * k % 4, float(1 + p + k)) for p in range(1, 6) for k in range(3)] + [(2, 99, 3.0)]
+    rows = [(0, a, b, w) for a, b, w in links] + [(1, b, a, w) for a, b, w in links] + [(2, p, p + 1, 1.0) for p in range(1, 5)]
+    nodes = spark.createDataFrame([(n, int(n >= 10), -1, n % 2) for n in [*range(1, 7), 9, 10, 11, 12, 13]], "node_id long, type_id int, label int, part_id int")
+    features = spark.createDataFrame([(n, 0, [n / 3]) for n in range(1, 6)], "node_id long, type_id int, x array<double>")
+    g = HeteroGraph(nodes, spark.createDataFrame(rows, "rel_id int, src long, dst long, w double"), None, features, {1: 0})
+    alpha = {0: 0.5, 1: 0.25, 2: 0.25}
+    table, slices = S.product_table(g, alpha, 2, 12, settle)
+    assert slices == 4 and sum(c[:4] == ["dim", "node_id", "v0", "v1"] for c in calls) == 2 * 6
+    # no table of edges carries normalized weights
+    assert [c for c in calls if "src" in c] == [["rel_id", "src", "dst", "w"]]
+    e = L.normalized(g.edges)
+    z = L.fused(e, L.probe(nodes, 2), alpha)
+    whole = S.node_table(nodes, g.edges, list(alpha), features, z, L.fused(e, z, alpha))
+    pairs = spark.createDataFrame([(1, 2), (1, 9), (3, 5), (4, 6), (10, 11), (11, 13), (5, 12)], "i long, j long")
+    want = {(r.i, r.j): r for r in S.pair_terms(pairs, whole).collect()}
+    got = S.pair_terms(pairs, table, slices=slices).collect()
+    assert len(got) == len(want) == 6
+    for r in got:
+        assert all(abs(r[t] - want[r.i, r.j][t]) < 1e-9 for t in S.LAMBDAS)
+
+
+def test_quantile_of_many_rows_is_exact(spark):
+    for x in (F.col("id") * F.col("id") % 10007 / 7.0, F.lit(3.0), F.when(F.col("id") % 3 > 0, F.col("id") % 5 * 1.0)):
+        rows = spark.range(5000).select(x.alias("x"))
+        for q in (0.0, 0.5, 0.95, 1.0):
+            assert abs(S.quantile(rows, F.col("x"), q, 100) - rows.agg(F.percentile("x", F.lit(q))).first()[0]) < 1e-9
+    assert S.quantile(spark.range(0).select(F.col("id").alias("x")), F.col("x"), 0.95) is None
