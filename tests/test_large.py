@@ -188,3 +188,11 @@ def test_quantile_of_many_rows_is_exact(spark):
         for q in (0.0, 0.5, 0.95, 1.0):
             assert abs(S.quantile(rows, F.col("x"), q, 100) - rows.agg(F.percentile("x", F.lit(q))).first()[0]) < 1e-9
     assert S.quantile(spark.range(0).select(F.col("id").alias("x")), F.col("x"), 0.95) is None
+
+
+
+def test_block_keys_lead_as_in_the_sql(spark):
+    none, row = [0.0] * 3, "node_id long, type_id int, rel array<double>, anchor array<double>, cls array<double>"
+    df = spark.createDataFrame([(1, 3, none, none, [0.3004, 0.3001, 0.0, 0.3995]), (2, 3, [0.0, 0.4996, 0.5004], [0.1, 0.9, 0.2], [0.2, 0.2004, 0.2, 0.2]), (3, 3, [0.2, 0.3, 0.5], none, [0.0, 0.0, 0.0, 0.002])], row)
+    got = {r.node_id: (r.rel_block, r.anchor_block, r.class_block) for r in N.block_keys(df).collect()}
+    assert got == {1: (-1, -1, 3), 2: (1, 1, 0), 3: (2, -1, 3)}
