@@ -41,6 +41,15 @@ def test_settled_tables_are_compressed_columns(spark):
     assert not os.path.exists(s._settled.removeprefix("file:"))
 
 
+def test_settled_tables_are_as_large_as_their_rows(spark):
+    s = U.settled(spark.range(3_000_000).select("id", F.lit(1).alias("t")))
+    assert sum(os.path.getsize(f.removeprefix("file:")) for f in s.inputFiles()) < 10_000_000
+    big = spark.range(9_000_000).select("id", (F.col("id") * 2).alias("v"))
+    assert "BroadcastHashJoin" not in plan(big.join(s.select("id"), "id"))
+    assert "BroadcastHashJoin" in plan(big.join(U.settled(spark.range(9)), "id"))
+    assert s.where("id < 2 or id > 2999998").count() == 3 and s.sparkSession is spark
+
+
 def test_settled_keeps_what_parquet_cannot(spark):
     df = spark.range(3).select(F.lit(None).alias("n"), F.col("id").alias("x"), F.col("id").alias("X"))
     assert sorted(r[1] for r in U.settled(df).collect()) == [0, 1, 2]
