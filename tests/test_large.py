@@ -10,6 +10,7 @@ from loomgraph.operators import candidates as C
 from loomgraph.operators import diagnostics as G
 from loomgraph.operators import linalg as L
 from loomgraph.operators import metrics as D
+from loomgraph.operators import matching as M
 from loomgraph.operators import response as R
 from loomgraph.operators import scoring as S
 from loomgraph.operators import selection as N
@@ -215,3 +216,20 @@ def test_energies_of_several_signals_come_from_one_pass(spark):
     one = lambda *c: {r.rel_id: r.energy for r in D.dirichlet_energy(edges(spark), x.select("node_id", *c)).collect()}
     p, q = one("v0", "v1"), one("v2")
     assert got.keys() == p.keys() and all(abs(got[r][0] - p[r]) < 1e-12 and abs(got[r][1] - q[r]) < 1e-12 for r in p)
+
+
+
+def test_cheapest_merges_go_by_cost_and_ids(spark):
+    pairs = [(k, 500 + k, (k * 7 % 5) / 4) for k in range(300)]
+    df = spark.createDataFrame(pairs, "i long, j long, cost double").repartition(3)
+    for most in (0, 1, 97, 300, 400):
+        got = M.cheapest(df, most)
+        assert sorted((r.cost, r.i, r.j) for r in got.collect()) == sorted((c, i, j) for i, j, c in pairs)[:most]
+        assert "TakeOrderedAndProject" not in plan(got) and "GlobalLimit" not in plan(got)
+
+
+
+def test_a_scan_of_clusters_gets_no_more_columns_than_it_reads(spark):
+    df = spark.createDataFrame([(1, 2, 0.5, 7, "onehop"), (2, 3, 0.1, 7, "bucket")], "i long, j long, cost double, g int, source string")
+    out = M.greedy_cluster(df, ["g"], 2)
+    assert "source" not in out._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0] and [(r.i, r.j) for r in out.collect()] == [(2, 3)]
